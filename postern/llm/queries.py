@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import audio, chat, decontaminate, packing
+from postern.llm import audio, chat, decontaminate, langid, linededup, neardup, packing, pii, toxicity, urlfilter
 from postern.llm.common import table
 
 ESCAPED = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, words=2, percent=80, keep=["doc_id"]).drop("rid")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,15 +35,27 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.mark_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_packing": op3_packing,
-    "op4_chat": op4_chat,
-    "op5_audio": op5_audio,
-    "op7_decontaminate": op7_decontaminate,
-}
-SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("span_list")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_neardup, op3_packing, op4_chat, op5_audio, op6_urlfilter, op7_decontaminate, op8_pii, op9_toxicity, op10_linededup)}
+SQL: dict[str, str] = {"op2_neardup": neardup.SQL, "op6_urlfilter": urlfilter.SQL, "op7_decontaminate": decontaminate.SQL, "op10_linededup": linededup.SQL}
