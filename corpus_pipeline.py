@@ -1,16 +1,75 @@
-"""Corpus pipeline over ``documents``: toxicity, line dedup, near-duplicates, benchmark decontamination, packing."""
+"""Corpus pipeline over ``documents``: toxicity, line dedup, near-duplicates, benchmark decontamination, packing.
+
+Each stage takes and returns whole tables. All but the last return the columns of ``documents``; the last returns the pieces
+of packed sequences. ``n_chars`` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postern.llm import decontaminate, linededup, neardup, packing, toxicity
+from postern.llm.common import cut, table
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """``text`` becomes the text; n_chars is its length where it changed."""
+    changed = ~F.col(text).eqNullSafe(F.col("text"))
+    made = {"text": F.col(text), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return docs.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in columns])
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity rejects them go; the model is fitted on the labelled documents of this input."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("not rejected").select(*_columns(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go but for the first; a document of which nothing stays goes as well."""
+    done = linededup.dedup_lines(docs).where("n_removed = 0 or trim(clean_text) <> ''")
+    return _with_text(done, "clean_text", docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the least doc_id, and of its repeated rows the first."""
+    marked = neardup.near_duplicates(docs)
+    with_set = marked.where("kept and n_shingles > 0")
+    # repeated rows of one doc_id: number only those ids that occur twice
+    twice = with_set.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("rid").alias("first")).where("c > 1").select(F.col("doc_id").alias("again"), "first")
+    single = with_set.join(twice, F.col("doc_id").eqNullSafe(F.col("again")), "left").where("first is null or first = rid")
+    return single.select(*_columns(docs)).unionByName(marked.where("n_shingles = 0").select(*_columns(docs)))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are little else go."""
+    kept = decontaminate.remove_overlaps(docs.withColumn("before_", F.col("text")), table(spark, sf_dir, "benchmark"))
+    return kept.select(*[F.when(F.col("text").eqNullSafe(F.col("before_")), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
-#: No SQL expresses trained models or a tokenizer; tests compare each stage with brute force.
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("near-duplicates", dedup_documents),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("packing", pack),
+]
+#: No SQL expresses a trained model or a tokenizer; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
