@@ -12,8 +12,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a Python worker turns into objects at once.
@@ -59,6 +63,40 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+#: Bits of a membership filter: its size is fixed, whatever it holds; where it is full it passes everything, and the exact join that follows decides.
+FILTER_BITS = 1 << 26
+
+
+def slot_of(column: Column) -> Column:
+    """Place of a 64-bit hash in a membership filter."""
+    return column.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def filter_of(hashes: DataFrame, column: str) -> Broadcast:
+    """A filter over a column of 64-bit hashes, built by executors in blocks of 4 KB and broadcast as one array of 8 MB."""
+    slot = slot_of(F.col(column))
+    blocks = hashes.groupBy(F.shiftright(slot, 15).alias("block")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    packed = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in blocks.toLocalIterator():
+        packed[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(packed)
+
+
+def passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = np.asarray(hashes, np.int64) & (FILTER_BITS - 1)
+    return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def flagged(df: DataFrame, hashed: Column, packed: Broadcast) -> DataFrame:
+    """``df`` with ``flag_``: whether the filter passes the row's hash."""
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(packed.value, h.to_numpy(np.int64)))
+
+    return df.withColumn("flag_", test(hashed))
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[list]]], fields: Sequence[T.StructField], text: str | Sequence[str] = "text", keep: Sequence[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Append columns computed from text columns, a slice of rows at a time, in Arrow batches.
 

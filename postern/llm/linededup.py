@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, long, map_texts, string
+from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, string
 
 #: A chunk ends where the rolling hash is 0 modulo this; words of a line that is a passage by itself.
 MODULUS, LONG = 3, 50
@@ -75,6 +75,7 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     seen = map_texts(rows, hashes, [T.StructField("h", T.ArrayType(T.LongType()))], keep=[]).select(F.explode("h").alias("h"))
     often = cut(seen.groupBy("h").count().where("count > 1").select("h"))
+    packed = filter_of(often, "h")  # keeps most other chunks out of the shuffle
 
     piece = T.StructType([long("h"), long("line"), T.StructField("chunk", T.BinaryType())])
 
@@ -84,7 +85,8 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for t in texts:
                 lines = t.split(b"\n")
                 made = [(lo, bytes_of(lines, lo, hi)) for lo, hi, ok in chunks_of(t) if ok]
-                out.append([{"h": _hash(c), "line": lo, "chunk": c} for lo, c in made])
+                h = [_hash(c) for _, c in made]
+                out.append([{"h": x, "line": lo, "chunk": c} for x, (lo, c), ok in zip(h, made, passes(packed.value, h), strict=True) if ok])
             return [out]
 
         return fn
@@ -106,11 +108,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Lines end at ``\\n``. A null text has no lines and stays null; an empty one has one empty line. A text whose chunks all
     go becomes empty. Rows equal in id and text are one occurrence: they keep or lose the same chunks.
     """
-    gone = repeated_chunks(docs, doc_id, text)
-    names = [c for c in docs.columns if c not in {f.name for f in REPORT} | {"gone", "text_hash"}]
-    left = docs.select(*[f"`{c}`" for c in names]).withColumn("text_hash", F.xxhash64(F.col(f"`{text}`")))
+    gone = cut(repeated_chunks(docs, doc_id, text))
+    packed = filter_of(gone.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h")
+    names = [c for c in docs.columns if c not in {f.name for f in REPORT} | {"gone", "text_hash", "gone_id", "gone_hash", "flag_"}]
+    rows = docs.select(*[f"`{c}`" for c in names]).withColumn("text_hash", F.xxhash64(F.col(f"`{text}`")))
+    rows = flagged(rows, F.xxhash64(F.col(f"`{doc_id}`"), "text_hash"), packed)
     right = gone.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
-    joined = left.join(right, left[f"`{doc_id}`"].eqNullSafe(right.gone_id) & (left.text_hash == right.gone_hash), "left")
+    # texts that lose nothing are not shuffled
+    met = rows.where("flag_").join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    columns = [f"`{c}`" for c in names]
+    joined = met.select(*columns, "gone").union(rows.where("not flag_").select(*columns, F.lit(None).cast("array<bigint>").alias("gone")))
 
     def make():
         def fn(texts, marks):

@@ -1,14 +1,15 @@
 """Near-duplicate groups by a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form one class. Classes are branched by selected minwise tokens: ``TREES`` independent
-trees each begin with one minwise coordinate; a node of more than ``SMALL`` classes branches again by coordinates that its
-own path chooses, and a small node is compared exhaustively. A large node also compares all its classes with one pivot, so
-a group of near copies of any size connects without listing its pairs; what is still large at the last level is settled by
-comparing only classes that no link connects yet. A pair at the threshold is missed by all trees with a probability of
+Documents with equal shingle sets form one class. Classes are branched by selected minwise tokens: each of ``TREES``
+independent trees begins with ``ROOT`` minwise coordinates of its own; a node of at most ``SMALL`` classes is compared
+exhaustively, and a larger node compares all its classes with one pivot and branches again by coordinates that its own path
+chooses. Before that, what is found so far is confirmed and grouped, and nodes whose classes are in one group already go no
+further. So a group of near copies of any size connects without listing its pairs. What is still large and mixed at the
+last level is compared in full, group against group. A pair at the threshold is missed by all trees with a probability of
 about 1e-5. Sketches only select candidates: each link is confirmed on the full sets.
 
-Only links that can still join two groups are confirmed: first each class with its least candidate, then the candidates
-between different groups. Groups come from hooking and pointer jumping over tables in the shared folder. Nothing is
+Only links that can still join two groups are confirmed: twice each class with its nearest candidate by sketch, then all
+candidates between different groups. Groups come from hooking and pointer jumping over tables in the shared folder. Nothing is
 collected, and hot nodes meet only joins that adaptive execution can split, or pre-aggregated counts.
 """
 
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, long, map_texts
+from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes
 
 #: Words of a shingle and similarity in percent where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Independent trees, children of a node by level, classes of a small node, minwise coordinates, mismatches of 2-bit sketches that a candidate may have.
-TREES, BRANCH, SMALL, COORDS, SLACK = 8, (3, 2, 2, 2), 24, 64, 26
+#: Independent trees, coordinates of a root, (children, coordinates of each) by level, classes of a small node.
+TREES, ROOT, BRANCH, SMALL = 32, 4, ((2, 2), (2, 4), (2, 4)), 24
+#: Minwise coordinates, and mismatches of 2-bit sketches that a candidate may have.
+COORDS, SLACK = 64, 25
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(20240229)
@@ -92,61 +95,64 @@ def signed(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame
     return map_texts(docs, make, SIGNED, text, keep=keep)
 
 
+def apart(a: str, b: str) -> Column:
+    """Mismatches of two sketches. Column name patterns with {} for b1, b2."""
+    return reduce(lambda x, y: x + y, (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555))) for x in (F.col(a.format(k)).bitwiseXOR(F.col(b.format(k))) for k in ("b1", "b2"))))
+
+
 def alike(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow the similarity. Column name patterns with {} for n, b1, b2."""
     small, large = F.least(a.format("n"), b.format("n")), F.greatest(a.format("n"), b.format("n"))
-    apart = reduce(lambda x, y: x + y, (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555))) for x in (F.col(a.format(k)).bitwiseXOR(F.col(b.format(k))) for k in ("b1", "b2"))))
-    slack = SLACK if percent >= 80 else COORDS
-    return (small * 100 >= large * percent) & (apart <= slack)
-
-
-def _token(at: Column | int) -> Column:
-    return F.substring(F.col("sig"), at, F.lit(4)) if isinstance(at, Column) else F.substring("sig", at, 4)
-
-
-def branch(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a < b) of classes, and the rows of nodes that are still large at the last level."""
-    roots = F.array(*[F.xxhash64(F.lit(t), _token(4 * t + 1)) for t in range(TREES)])
-    frontier = classes.select("cid", "n", "b1", "b2", F.explode(roots).alias("key"))
-    found: list[DataFrame] = []
-    for level in range(len(BRANCH) + 1):
-        counts = frontier.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("cid", "n", "b1", "b2")).alias("p")).where("c > 1")
-        nodes = cut(frontier.join(counts.select("key", "c", *[F.col(f"p.{k}").alias(f"p_{k}") for k in ("cid", "n", "b1", "b2")]), "key"))
-        large = nodes.where(F.col("c") > SMALL)
-        found.append(large.where((F.col("cid") != F.col("p_cid")) & alike("{}", "p_{}", percent)).select(F.col("p_cid").alias("a"), F.col("cid").alias("b")))
-        members = nodes.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cid", "n", "b1", "b2"))).alias("m")).select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y.cid > F.col("x.cid"))).alias("y"))
-        found.append(members.where(alike("x.{}", "y.{}", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-        if large.isEmpty():
-            large = None
-            break
-        if level < len(BRANCH):
-            paths = large.groupBy("cid").agg(F.collect_set("key").alias("keys"))
-            coordinate = lambda j: F.pmod(F.xxhash64("key", F.lit(level)) + F.lit(21 * j), F.lit(COORDS)).cast("int")
-            children = F.array(*[F.xxhash64("key", coordinate(j), _token(coordinate(j) * 4 + 1)) for j in range(BRANCH[level])])
-            frontier = classes.join(paths, "cid").select("cid", "n", "b1", "b2", "sig", F.explode("keys").alias("key")).select("cid", "n", "b1", "b2", F.explode(children).alias("key"))
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    return cut(pairs), large
+    return (small * 100 >= large * percent) & (apart(a, b) <= (SLACK if percent >= 80 else COORDS))
+
+
+def _token(at: Column) -> Column:
+    return F.substring(F.col("sig"), at * 4 + 1, F.lit(4))
+
+
+ROW = ("cid", "n", "b1", "b2", "root")
+
+
+def split(frontier: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b, of different groups, d mismatches) from one level's nodes, and the rows of its large nodes. Nodes of one class or one group go no further."""
+    counts = cut(frontier.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("cid").alias("p_cid")).where("r0 <> r1").select("key", "c", "p_cid"))
+    shared = flagged(frontier, F.col("key"), filter_of(counts, "key")).where("flag_").drop("flag_")
+    nodes = cut(shared.join(counts, "key"))
+    large = nodes.where(F.col("c") > SMALL)
+    heads = large.groupBy("key").agg(F.min("p_cid").alias("p_cid")).join(classes.select(F.col("cid").alias("p_cid"), *[F.col(k).alias(f"p_{k}") for k in ("n", "b1", "b2")]), "p_cid")
+    pivots = large.drop("p_cid").join(heads, "key").where((F.col("cid") != F.col("p_cid")) & alike("{}", "p_{}", percent)).select(F.col("p_cid").alias("a"), F.col("cid").alias("b"), apart("{}", "p_{}").alias("d"))
+    members = nodes.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*ROW))).alias("m")).select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y.cid > F.col("x.cid")) & (y.root != F.col("x.root")))).alias("y"))
+    pairs = members.where(alike("x.{}", "y.{}", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), apart("x.{}", "y.{}").alias("d"))
+    return pairs.union(pivots).distinct(), large.select("key", *ROW)
+
+
+def roots_of(classes: DataFrame) -> DataFrame:
+    draw = np.random.default_rng(7)
+    keys = F.array(*[F.xxhash64(F.lit(t), *[_token(F.lit(int(c))) for c in draw.choice(COORDS, ROOT, replace=False)]) for t in range(TREES)])
+    return classes.select("cid", "n", "b1", "b2", F.col("cid").alias("root"), F.explode(keys).alias("key"))
 
 
-BITMAP = 1 << 23
+def children_of(classes: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """The next frontier: each row of a large node goes to its children, along coordinates chosen by the node's key."""
+    count, width = BRANCH[level]
+    paths = large.groupBy("cid", "root").agg(F.collect_set("key").alias("keys"))
+    coordinate = lambda j, k: F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)) + F.lit(13 * k), F.lit(COORDS)).cast("int")
+    children = F.array(*[F.xxhash64("key", F.lit(j), *[_token(coordinate(j, k)) for k in range(width)]) for j in range(count)])
+    rows = classes.join(paths, "cid").select("cid", "n", "b1", "b2", "root", "sig", F.explode("keys").alias("key"))
+    return rows.select(*ROW, F.explode(children).alias("key"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(cid, shingles) of the wanted classes, from one more read of the texts. A bitmap of fixed size keeps most other texts out."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(BITMAP)).cast("int")
-    bits = np.zeros(BITMAP, bool)
-    for r in wanted.select(slot.alias("m")).distinct().toLocalIterator():
-        bits[r.m] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    """(cid, shingles) of the wanted classes, from one more read of the texts. A filter of fixed size keeps most other texts out."""
+    packed = filter_of(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def make():
-        passes = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
         seen: set[bytes] = set()  # copies of a text are given once a task
 
-        def fn(texts, slots):
+        def fn(texts, hashes):
             out = []
-            for t, m in zip(texts, slots, strict=True):
-                s = shingles_of(t, words) if passes[m] else ()
+            for t, ok in zip(texts, passes(packed.value, hashes), strict=True):
+                s = shingles_of(t, words) if ok else ()
                 digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
                 if not digest or digest in seen:
                     out.append((None, None, None))
@@ -159,8 +165,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: s
 
         return fn
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("slot", slot)
-    given = map_texts(rows, make, [long("s1"), long("s2"), T.StructField("shingles", T.BinaryType())], ["text", "slot"], keep=[]).where("shingles is not null")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("doc_id"))
+    given = map_texts(rows, make, [long("s1"), long("s2"), T.StructField("shingles", T.BinaryType())], ["text", "h"], keep=[]).where("shingles is not null")
     # copies whose ids differ are rows of other tasks: few, and equal
     return given.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).select("cid", "shingles")
 
@@ -219,15 +225,37 @@ def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(to, F.col(column) == F.col("id_"), "left").withColumn(column, F.coalesce("root_", column)).drop("id_", "root_")
 
 
-def unsettled(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def unsettled(nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes in different groups, from nodes that stayed large: all classes outside a node's largest group, against all of the node."""
-    rows = cut(relabel(nodes.select("key", "cid", "n", "b1", "b2").withColumn("root", F.col("cid")), labels, "root"))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    mixed = cut(rows.join(main, "key"))
-    other = mixed.where("root <> main").select("key", *[F.col(k).alias(f"o_{k}") for k in ("cid", "n", "b1", "b2", "root")])
+    sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    mixed = cut(nodes.join(main, "key"))
+    other = mixed.where("root <> main").select("key", *[F.col(k).alias(f"o_{k}") for k in ROW])
     met = mixed.join(other, "key").where((F.col("root") != F.col("o_root")) & alike("{}", "o_{}", percent))
-    return met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b")).distinct()
+    return met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"), apart("{}", "o_{}").alias("d")).distinct()
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Each class with the candidate of the fewest mismatches: (a, b)."""
+    sides = pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = sides.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs that lie between groups, with the groups as ra and rb."""
+    return relabel(relabel(pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")}), labels, "ra"), labels, "rb").where("ra <> rb")
+
+
+def merged(labels: DataFrame, upper: DataFrame) -> DataFrame:
+    """Groups of groups: ids keep their label's root, and roots that only ``upper`` knows join in."""
+    new = upper.join(labels.select("id"), "id", "left_anti")
+    return cut(relabel(labels, upper, "root").select("id", "root").union(new.select("id", "root")))
+
+
+def wanted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    return classes.join(ends, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -241,24 +269,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = cut(signed(docs.select(*[f"`{c}`" for c in need]), words, text, list(dict.fromkeys([*names, doc_id]))).withColumn("rid", F.monotonically_increasing_id()))
     least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col(f"`{doc_id}`").alias("d"), F.col("n_shingles").alias("n"), "b1", "b2", "sig")).alias("r"), F.min(f"`{doc_id}`").alias("first_id"))
     classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), "r.n", "r.b1", "r.b2", "r.sig", "first_id"))
-    pairs, rest = branch(classes.select("cid", "n", "b1", "b2", "sig"), percent)
-    # every class with its least candidate, then whatever still lies between groups
-    stars = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
-    sets = cut(sets_of(docs, cut(wanted), words, doc_id, text))
-    labels = groups(confirm(stars, sets, percent))
-    between = pairs
-    if rest is not None:
-        more = cut(unsettled(rest, labels, percent))
-        between = pairs.union(more)
-        new = classes.join(more.select(F.col("a").alias("cid")).union(more.select("b")).distinct(), "cid", "left_semi").join(ends, "cid", "left_anti").select("cid", "s1", "s2", "doc_id")
-        new = cut(new)
-        if not new.isEmpty():
-            sets = sets.union(cut(sets_of(docs, new, words, doc_id, text)))
-    tagged = relabel(relabel(between.withColumns({"ra": F.col("a"), "rb": F.col("b")}), labels, "ra"), labels, "rb").where("ra <> rb")
-    tagged = cut(tagged.join(stars, ["a", "b"], "left_anti").distinct())
-    links = confirm(tagged.select("a", "b"), sets, percent).join(tagged, ["a", "b"])
+    shapes = classes.select("cid", "n", "b1", "b2", "sig")
+    pairs, large = split(roots_of(shapes), shapes, percent)
+    pairs = cut(pairs)
+    sets = cut(sets_of(docs, cut(wanted(classes, pairs)), words, doc_id, text))
+    # each class with its nearest candidate, twice: most groups are whole then
+    first = cut(nearest(pairs))
+    labels = groups(confirm(first, sets, percent))
+    left = cut(between(pairs.join(first, ["a", "b"], "left_anti"), labels))
+    second = cut(nearest(left))
+    links = confirm(second, sets, percent).join(left, ["a", "b"])
+    labels = merged(labels, groups(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    # then whatever still lies between groups, and what large mixed nodes hold
+    found = [left.select("a", "b", "d").join(second, ["a", "b"], "left_anti")]
+    large = cut(relabel(large, labels, "root"))
+    for level in range(len(BRANCH)):
+        if large.isEmpty():
+            break
+        more, large = split(children_of(shapes, large, level), shapes, percent)
+        found.append(cut(more))
+    else:
+        if not large.isEmpty():
+            found.append(cut(unsettled(large, percent)))
+    rest = cut(between(reduce(DataFrame.union, found).distinct().join(first, ["a", "b"], "left_anti"), labels))
+    new = cut(wanted(classes, rest).join(wanted(classes, pairs).select("cid"), "cid", "left_anti"))
+    if not new.isEmpty():
+        sets = sets.union(cut(sets_of(docs, new, words, doc_id, text)))
+    links = confirm(rest.select("a", "b"), sets, percent).join(rest, ["a", "b"])
     upper = groups(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     roots = relabel(relabel(classes.select("s1", "s2", "first_id", F.col("cid").alias("root")), labels, "root"), upper, "root")
     roots = cut(roots)

@@ -14,17 +14,16 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, long, map_texts, string
+from postern.llm.common import cut, filter_of, long, map_texts, passes, string
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity, rows of a pair, P(e | t), bits, and bits of the candidates' bitmap.
-NEAR, SUPPORT, SHARE, BITS, BITMAP = 6, 4, 0.8, 6.0, 1 << 23
+#: Words on either side of an entity, rows of a pair, P(e | t), bits.
+NEAR, SUPPORT, SHARE, BITS = 6, 4, 0.8, 6.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,42 +142,40 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     n = docs.count()
     pairs = found.where(F.size("near") > 0).select("rid", F.inline("near")).select("rid", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = cut(pairs)
-    # at most BITMAP numbers, whatever the corpus
-    marks = pairs.select(F.pmod("t", F.lit(BITMAP)).cast("int").alias("m")).distinct()
-    bits = np.zeros(BITMAP, bool)
-    for r in marks.toLocalIterator():
-        bits[r.m] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    packed = filter_of(pairs, "t")
+    none = pairs.isEmpty()
+
+    schema = T.StructType([long("t"), long("k")])
+
+    def count(batches):
+        import pyarrow as pa
+
+        known: dict[str, int] = {}  # hash of a word that passes, else 0
+        held: dict[int, int] = {}  # rows of this task that hold a term; emptied when it is full
+
+        def drain():
+            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["t", "k"])
+            held.clear()
+            return batch
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words = set(re.split(r"[\W\d_]+", t.lower())) if t else ()
+                if len(known) > 300_000:
+                    known.clear()
+                new = [w for w in words if len(w) >= 4 and w not in known]
+                h = [term_hash(w) for w in new]
+                known.update(zip(new, (x if ok else 0 for x, ok in zip(h, passes(packed.value, h), strict=True)), strict=True))
+                for x in {known.get(w, 0) for w in words} - {0}:
+                    held[x] = held.get(x, 0) + 1
+                if len(held) > 200_000:
+                    yield drain()
+        yield drain()
 
-    def make():
-        passes = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
-        known: dict[bytes, int] = {}  # hash of a word that passes, else 0
-
-        def fn(texts):
-            out = []
-            for t in texts:
-                words = set(re.split(r"[\W\d_]+", t.decode().lower())) if t else ()
-                got = set()
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = term_hash(w) if len(w) >= 4 else 0
-                        h = h if h and passes[h % BITMAP] else 0
-                        if len(known) > 300_000:
-                            known.clear()
-                        known[w] = h
-                    if h:
-                        got.add(h)
-                out.append(sorted(got))
-            return [out]
-
-        return fn
-
-    held = map_texts(docs, make, [T.StructField("t", T.ArrayType(T.LongType()))], text, keep=[]) if bits.any() else None
     n_e = found.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    if held is None:
+    if none:
         return pairs.select("e", "t")
-    n_t = held.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(text).mapInArrow(count, schema).groupBy("t").agg(F.sum("k").alias("n_t"))
     share = F.col("n_te") / F.greatest("n_t", "n_te")
     bits_of = F.log2(share * F.lit(float(max(n, 1))) / F.col("n_e"))
     return pairs.join(n_t, "t").join(n_e, "e").where((share >= SHARE) & (bits_of >= BITS)).select("e", "t")

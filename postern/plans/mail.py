@@ -143,7 +143,7 @@ def body_text(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, sha256(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[a-zA-Z/][^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS projection_sha256 FROM pages
+SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[a-zA-Z/][^>]*>', '', 'g'), '&copy;', '©'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&')) AS projection_sha256 FROM pages
 """)
 def html_projection(spark, sf_dir):
     return parse.rows_of(pages(spark, sf_dir), "views", *PAGE).where("media = 'projection'").select(*PAGE, F.sha2("text", 256).alias("projection_sha256"))
