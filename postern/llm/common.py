@@ -77,7 +77,7 @@ def filter_of(hashes: DataFrame, column: str) -> Broadcast:
     slot = slot_of(F.col(column))
     blocks = hashes.groupBy(F.shiftright(slot, 15).alias("block")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
     packed = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():  # at most 2048 blocks
         packed[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(packed)
 

@@ -1,24 +1,29 @@
 """Near-duplicate groups by a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form one class. Classes are branched by selected minwise tokens: each of ``TREES``
-independent trees begins with ``ROOT`` minwise coordinates of its own; a node of at most ``SMALL`` classes is compared
-exhaustively, and a larger node compares all its classes with one pivot and branches again by coordinates that its own path
-chooses. Before that, what is found so far is confirmed and grouped, and nodes whose classes are in one group already go no
-further. So a group of near copies of any size connects without listing its pairs. What is still large and mixed at the
-last level is compared in full, group against group. A pair at the threshold is missed by all trees with a probability of
-about 1e-5. Sketches only select candidates: each link is confirmed on the full sets.
-
-Only links that can still join two groups are confirmed: twice each class with its nearest candidate by sketch, then all
-candidates between different groups. Groups come from hooking and pointer jumping over tables in the shared folder. Nothing is
-collected, and hot nodes meet only joins that adaptive execution can split, or pre-aggregated counts.
+Documents with equal shingle sets form one class. Independent trees branch the classes by selected minwise tokens: the root
+nodes of a tree share ``ROOT`` coordinates of its own. A node of at most ``SMALL`` classes is compared exhaustively by
+sketch; in a larger node of the first ``PIVOT_TREES`` trees, each class meets the node's pivot. Of these candidates, each
+class confirms its nearest and its least on full sets, which makes most groups whole. A large node whose classes are in one
+group by then goes no further. In a mixed one, the classes outside its largest group are compared with all of the node if
+they are at most ``SMALL``; else the node branches again by coordinates that its own path chooses, where only children that
+such outsiders reach are made. So a group of near copies of any size connects without listing its pairs, and a row meets a
+bounded number of others at each level. Last, all candidates between different groups are confirmed on full sets.
+
+A pair at the threshold is missed by all trees with a probability of ``LOSS``, and by its sketches with about 1e-5. Sketches
+only select candidates. Groups come from local contraction in blocks of bounded size, then hooking and pointer jumping
+over tables in the shared folder. Nothing is collected but filters of fixed size, and hot nodes meet only joins that
+adaptive execution can split, or pre-aggregated counts.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +33,10 @@ from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes
 
 #: Words of a shingle and similarity in percent where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Independent trees, coordinates of a root, (children, coordinates of each) by level, classes of a small node.
-TREES, ROOT, BRANCH, SMALL = 32, 4, ((2, 2), (2, 4), (2, 4)), 24
-#: Minwise coordinates, and mismatches of 2-bit sketches that a candidate may have.
-COORDS, SLACK = 64, 25
+#: Coordinates of a root, chance that no tree joins a pair at the threshold, trees with pivots, (children, coordinates of each) by level, classes of a small node.
+ROOT, LOSS, PIVOT_TREES, BRANCH, SMALL = 4, 3e-6, 8, ((2, 2), (2, 4), (2, 4)), 24
+#: Minwise coordinates; edges that a task contracts at once.
+COORDS, BLOCK = 128, 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(20240229)
@@ -40,6 +45,16 @@ _B = _DRAW.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def trees_of(percent: int) -> int:
+    return math.ceil(math.log(LOSS) / math.log1p(-((percent / 100) ** ROOT)))
+
+
+def slack_of(percent: int) -> int:
+    """Mismatches of 2-bit sketches that a pair at the threshold stays within, but for about one in 100,000."""
+    q = 0.75 * (1 - percent / 100)
+    return math.floor(COORDS * q + 4.3 * math.sqrt(COORDS * q * (1 - q)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     return x ^ (x >> np.uint64(29))
@@ -59,35 +74,39 @@ def shingles_of(text: bytes | None, words: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least values of the coordinates, 32 bits each."""
+    """A hash of the least value of each coordinate."""
     least = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[at : at + 2048, None] * _A + _B).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[at : at + 256, None] * _A + _B).min(axis=0), out=least)
+    return _mix(least + _M1)
 
 
-def sketch(sig: np.ndarray) -> tuple[int, int]:
-    """Two bits of each coordinate in two signed numbers."""
-    bits = (_mix(sig.astype(np.uint64) + np.uint64(1)) >> np.uint64(7)) & np.uint64(3)
-    packed = (bits.reshape(2, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
-    return tuple(packed.view(np.int64).tolist())
+B = ("b1", "b2", "b3", "b4")
 
 
-SIGNED = [long("n_shingles"), long("s1"), long("s2"), long("b1"), long("b2"), T.StructField("sig", T.BinaryType())]
+def sketch(sig: np.ndarray) -> list[int]:
+    """Two bits of each coordinate, in signed numbers."""
+    bits = ((sig >> np.uint64(7)) & np.uint64(3)).reshape(len(B), 32)
+    return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+SIGNED = [long("n_shingles"), long("s1"), long("s2"), *map(long, B), T.StructField("sig", T.BinaryType())]
 
 
 def signed(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
+    """Per row the size and digest of its set, its sketch, and 16 bits of each coordinate."""
+
     def make():
         def fn(texts):
             rows = []
             for t in texts:
                 s = shingles_of(t, words)
                 if not len(s):
-                    rows.append((0, None, None, None, None, None))
+                    rows.append((0, *[None] * (len(SIGNED) - 1)))
                     continue
                 sig = signature(s)
                 both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                rows.append((len(s), *both, *sketch(sig), sig.astype(">u4").tobytes()))
+                rows.append((len(s), *both, *sketch(sig), (sig >> np.uint64(40)).astype(">u2").tobytes()))
             return [list(c) for c in zip(*rows, strict=True)] or [[]] * len(SIGNED)
 
         return fn
@@ -95,51 +114,62 @@ def signed(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame
     return map_texts(docs, make, SIGNED, text, keep=keep)
 
 
-def apart(a: str, b: str) -> Column:
-    """Mismatches of two sketches. Column name patterns with {} for b1, b2."""
-    return reduce(lambda x, y: x + y, (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555))) for x in (F.col(a.format(k)).bitwiseXOR(F.col(b.format(k))) for k in ("b1", "b2"))))
+Side = Callable[[str], Column]
 
 
-def alike(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity. Column name patterns with {} for n, b1, b2."""
-    small, large = F.least(a.format("n"), b.format("n")), F.greatest(a.format("n"), b.format("n"))
-    return (small * 100 >= large * percent) & (apart(a, b) <= (SLACK if percent >= 80 else COORDS))
+def apart(x: Side, y: Side) -> Column:
+    """Mismatches of two sketches."""
+    differ = [x(k).bitwiseXOR(y(k)) for k in B]
+    return reduce(lambda p, q: p + q, (F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ))
 
 
-def _token(at: Column) -> Column:
-    return F.substring(F.col("sig"), at * 4 + 1, F.lit(4))
+def alike(x: Side, y: Side, percent: int) -> Column:
+    """Sizes and sketches allow the similarity."""
+    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (apart(x, y) <= slack_of(percent))
 
 
-ROW = ("cid", "n", "b1", "b2", "root")
+def side(prefix: str = "") -> Side:
+    return lambda k: F.col(prefix + k)
 
 
-def split(frontier: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, of different groups, d mismatches) from one level's nodes, and the rows of its large nodes. Nodes of one class or one group go no further."""
-    counts = cut(frontier.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("cid").alias("p_cid")).where("r0 <> r1").select("key", "c", "p_cid"))
-    shared = flagged(frontier, F.col("key"), filter_of(counts, "key")).where("flag_").drop("flag_")
-    nodes = cut(shared.join(counts, "key"))
-    large = nodes.where(F.col("c") > SMALL)
-    heads = large.groupBy("key").agg(F.min("p_cid").alias("p_cid")).join(classes.select(F.col("cid").alias("p_cid"), *[F.col(k).alias(f"p_{k}") for k in ("n", "b1", "b2")]), "p_cid")
-    pivots = large.drop("p_cid").join(heads, "key").where((F.col("cid") != F.col("p_cid")) & alike("{}", "p_{}", percent)).select(F.col("p_cid").alias("a"), F.col("cid").alias("b"), apart("{}", "p_{}").alias("d"))
-    members = nodes.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*ROW))).alias("m")).select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y.cid > F.col("x.cid")) & (y.root != F.col("x.root")))).alias("y"))
-    pairs = members.where(alike("x.{}", "y.{}", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), apart("x.{}", "y.{}").alias("d"))
-    return pairs.union(pivots).distinct(), large.select("key", *ROW)
+SHAPE = ("cid", "n", *B)
 
 
-def roots_of(classes: DataFrame) -> DataFrame:
+def root_nodes(classes: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, t, c, pivot, and the class) of all root nodes of two classes or more."""
     draw = np.random.default_rng(7)
-    keys = F.array(*[F.xxhash64(F.lit(t), *[_token(F.lit(int(c))) for c in draw.choice(COORDS, ROOT, replace=False)]) for t in range(TREES)])
-    return classes.select("cid", "n", "b1", "b2", F.col("cid").alias("root"), F.explode(keys).alias("key"))
+    token = lambda at: F.substring("sig", 2 * int(at) + 1, 2)
+    keys = F.array(*[F.xxhash64(F.lit(t), *[token(c) for c in draw.choice(COORDS, ROOT, replace=False)]) for t in range(trees_of(percent))])
+    rows = classes.select(*SHAPE, F.posexplode(keys).alias("t", "key"))
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("c > 1"))
+    shared = flagged(rows, F.col("key"), filter_of(counts, "key")).where("flag_")
+    return cut(shared.join(counts, "key").select("key", "t", "c", F.when(F.col("t") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("pivot"), *SHAPE))
 
 
-def children_of(classes: DataFrame, large: DataFrame, level: int) -> DataFrame:
-    """The next frontier: each row of a large node goes to its children, along coordinates chosen by the node's key."""
-    count, width = BRANCH[level]
-    paths = large.groupBy("cid", "root").agg(F.collect_set("key").alias("keys"))
-    coordinate = lambda j, k: F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)) + F.lit(13 * k), F.lit(COORDS)).cast("int")
-    children = F.array(*[F.xxhash64("key", F.lit(j), *[_token(coordinate(j, k)) for k in range(width)]) for j in range(count)])
-    rows = classes.join(paths, "cid").select("cid", "n", "b1", "b2", "root", "sig", F.explode("keys").alias("key"))
-    return rows.select(*ROW, F.explode(children).alias("key"))
+def within(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Candidates (a < b, d mismatches) of small nodes, all against all; with ``root`` in ``more``, between groups only."""
+    members = nodes.groupBy("key").agg(F.collect_list(F.struct(*SHAPE, *more)).alias("m")).select("m", F.explode("m").alias("x"))
+    x: Side = lambda k: F.col(f"x.{k}")
+    meets = lambda y: (y["cid"] > x("cid")) & alike(x, y.getField, percent) & (y["root"] != x("root") if "root" in more else F.lit(True))
+    pairs = members.select("x", F.explode(F.filter("m", meets)).alias("y"))
+    return pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), apart(x, lambda k: F.col(f"y.{k}")).alias("d"))
+
+
+def with_pivots(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates of large nodes: each class with its node's pivot."""
+    large = nodes.where((F.col("c") > SMALL) & (F.col("t") < PIVOT_TREES))
+    heads = large.where("cid = pivot").select("key", *[F.col(k).alias(f"p_{k}") for k in SHAPE])
+    met = large.join(heads, "key").where((F.col("cid") != F.col("p_cid")) & alike(side(), side("p_"), percent))
+    return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"), apart(side(), side("p_")).alias("d"))
+
+
+def best(pairs: DataFrame, percent: int) -> DataFrame:
+    """Each class with its candidate of the fewest mismatches and the least one that is likely similar: (a, b)."""
+    sides = pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    likely = (F.col("d") <= int(0.75 * COORDS * (1 - percent / 100))) & (F.col("b") < F.col("a"))
+    chosen = sides.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"), F.min(F.when(likely, F.col("b"))).alias("first"))
+    each = chosen.select("a", F.explode(F.array_compact(F.array_distinct(F.array("m.b", "first")))).alias("b"))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -171,52 +201,41 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: s
     return given.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).select("cid", "shingles")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """The pairs (a, b, and other numbers of theirs) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    schema = T.StructType([long("a"), long("b")])
-
-    def run(batches):
-        import pyarrow as pa
+    names = ["a", "b", *more]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = []
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    ok.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], names=["a", "b"])
+                ok.append(100 * same >= percent * (len(x) + len(y) - same))
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, schema).distinct()
+    return both.select(*names, "x", "y").mapInArrow(run, T.StructType([long(n) for n in names]))
 
 
-def groups(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id of the connected component of each id that has an edge. Columns of ``edges``: a, b."""
-    labels: DataFrame | None = None
-    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while not left.isEmpty():
-        # hook every id to its least neighbour if that is smaller, then jump to the roots
-        parents = cut(left.groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("x"), "p"))
-        while True:
-            up = parents.select(F.col("x").alias("y"), F.col("p").alias("q"))
-            jumped = cut(parents.join(up, F.col("p") == F.col("y"), "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-            parents = jumped.select("x", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        to = parents.select(F.col("x").alias("y"), F.col("p").alias("q"))
-        ids = left.select(F.col("a").alias("x")).union(left.select("b")).distinct() if labels is None else None
-        if labels is None:
-            labels = cut(ids.join(to, F.col("x") == F.col("y"), "left").select(F.col("x").alias("id"), F.coalesce("q", "x").alias("root")))
-        else:
-            labels = cut(labels.join(to, F.col("root") == F.col("y"), "left").select("id", F.coalesce("q", "root").alias("root")))
-        a = left.join(to, F.col("a") == F.col("y"), "left").select(F.coalesce("q", "a").alias("a"), "b")
-        b = a.join(to, F.col("b") == F.col("y"), "left").select("a", F.coalesce("q", "b").alias("b"))
-        left = cut(b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if labels is None:
-        return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return labels
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of every id of a task's edges: the least id that these edges reach."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    for at in range(0, len(ids), 1 << 16):
+        part = ids[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["id", "root"])
 
 
 def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -225,21 +244,31 @@ def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(to, F.col(column) == F.col("id_"), "left").withColumn(column, F.coalesce("root_", column)).drop("id_", "root_")
 
 
-def unsettled(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of classes in different groups, from nodes that stayed large: all classes outside a node's largest group, against all of the node."""
-    sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    mixed = cut(nodes.join(main, "key"))
-    other = mixed.where("root <> main").select("key", *[F.col(k).alias(f"o_{k}") for k in ROW])
-    met = mixed.join(other, "key").where((F.col("root") != F.col("o_root")) & alike("{}", "o_{}", percent))
-    return met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"), apart("{}", "o_{}").alias("d")).distinct()
-
+def groups(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, root): the least id of the connected component of each id that has an edge. Columns of ``edges``: a, b.
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """Each class with the candidate of the fewest mismatches: (a, b)."""
-    sides = pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    best = sides.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Tasks contract ``block`` edges each; what ids of several tasks still connect is contracted again.
+    """
+    ordered = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = cut(ordered(edges.select("a", "b")))
+    schema = T.StructType([long("id"), long("root")])
+    labels: DataFrame | None = None
+    while n := left.count():
+        tasks = -(-n // block)
+        stars = cut(left.repartition(tasks).mapInArrow(contract, schema))
+        parents = stars
+        if tasks > 1:
+            parents = cut(stars.groupBy("id").agg(F.min("root").alias("root")))
+            while True:
+                jumped = cut(relabel(parents.withColumn("was", F.col("root")), parents, "root"))
+                parents = jumped.select("id", "root")
+                if jumped.where("was <> root").isEmpty():
+                    break
+        labels = parents if labels is None else cut(relabel(labels, parents, "root"))
+        if tasks == 1:
+            break
+        left = cut(ordered(relabel(relabel(stars.select(F.col("id").alias("a"), F.col("root").alias("b")), parents, "a"), parents, "b")))
+    return left.sparkSession.createDataFrame([], schema) if labels is None else labels
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,10 +276,65 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return relabel(relabel(pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")}), labels, "ra"), labels, "rb").where("ra <> rb")
 
 
-def merged(labels: DataFrame, upper: DataFrame) -> DataFrame:
-    """Groups of groups: ids keep their label's root, and roots that only ``upper`` knows join in."""
-    new = upper.join(labels.select("id"), "id", "left_anti")
-    return cut(relabel(labels, upper, "root").select("id", "root").union(new.select("id", "root")))
+def mixed(nodes: DataFrame) -> DataFrame:
+    """Nodes (key, root, class) of several groups, with ``main``, the largest, and ``outside``, how many classes are not of it."""
+    sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"))
+    heads = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("n_groups")).where("n_groups > 1")
+    return cut(nodes.join(heads.select("key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside")), "key"))
+
+
+def outsiders(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates of mixed nodes: the classes outside the main group against all of their node."""
+    other = nodes.where("root <> main").select("key", *[F.col(k).alias(f"o_{k}") for k in (*SHAPE, "root")])
+    met = nodes.join(other, "key").where((F.col("root") != F.col("o_root")) & alike(side(), side("o_"), percent))
+    return met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"), apart(side(), side("o_")).alias("d")).distinct()
+
+
+def children(classes: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """Rows (key, root, class) of the children of mixed nodes, along coordinates chosen by the node's key. Only children that hold an outsider are made."""
+    count, width = BRANCH[level]
+    paths = nodes.groupBy("cid").agg(F.first("root").alias("root"), F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("root") != F.col("main"), F.col("key"))).alias("out"))
+    near = flagged(classes.select(*SHAPE, "sig"), F.col("cid"), filter_of(nodes, "cid")).where("flag_").drop("flag_")
+    rows = cut(near.join(paths, "cid"))
+
+    def child_keys(packed=None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = []
+                for sig, keys in zip(batch.column("sig").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                    found = []
+                    for key in keys:
+                        for j in range(count):
+                            at = np.random.default_rng([key & (2**63 - 1), level, j]).choice(COORDS, width, replace=False)
+                            found.append(xxhash.xxh3_64_intdigest(key.to_bytes(8, "big", signed=True) + bytes([j]) + b"".join(sig[2 * k : 2 * k + 2] for k in at)) - (1 << 63))
+                    if packed is not None and found:
+                        found = np.asarray(found, np.int64)[passes(packed.value, np.asarray(found, np.int64))].tolist()
+                    made.append(found)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*SHAPE, "root")], pa.array(made, pa.list_(pa.int64()))], names=[*SHAPE, "root", "made"])
+
+        return run
+
+    schema = T.StructType([*[long(k) for k in (*SHAPE, "root")], T.StructField("made", T.ArrayType(T.LongType()))])
+    shape = [F.col(k).cast("long").alias(k) for k in (*SHAPE, "root")]
+    reached = rows.where(F.size("out") > 0).select(*shape, "sig", F.col("out").alias("keys")).mapInArrow(child_keys(), schema)
+    packed = filter_of(reached.select(F.explode("made").alias("key")), "key")
+    return rows.select(*shape, "sig", "keys").mapInArrow(child_keys(packed), schema).select(*SHAPE, "root", F.explode("made").alias("key"))
+
+
+def branched(classes: DataFrame, nodes: DataFrame, percent: int) -> list[DataFrame]:
+    """Candidates between groups from large root nodes (key, root, class): mixed nodes are compared or branch."""
+    found = []
+    for level in range(len(BRANCH) + 1):
+        nodes = mixed(nodes)
+        if nodes.isEmpty():
+            break
+        last = level == len(BRANCH)
+        found.append(cut(outsiders(nodes if last else nodes.where(F.col("outside") <= SMALL), percent)))
+        nodes = nodes.where(F.col("outside") > SMALL)
+        if last or nodes.isEmpty():
+            break
+        nodes = children(classes, nodes, level)
+    return found
 
 
 def wanted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -267,40 +351,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in SIGNED} | {"component_id", "kept", "rid", "n", "cid"}]
     need = list(dict.fromkeys([*names, doc_id, text]))
     rows = cut(signed(docs.select(*[f"`{c}`" for c in need]), words, text, list(dict.fromkeys([*names, doc_id]))).withColumn("rid", F.monotonically_increasing_id()))
-    least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col(f"`{doc_id}`").alias("d"), F.col("n_shingles").alias("n"), "b1", "b2", "sig")).alias("r"), F.min(f"`{doc_id}`").alias("first_id"))
-    classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), "r.n", "r.b1", "r.b2", "r.sig", "first_id"))
-    shapes = classes.select("cid", "n", "b1", "b2", "sig")
-    pairs, large = split(roots_of(shapes), shapes, percent)
-    pairs = cut(pairs)
-    sets = cut(sets_of(docs, cut(wanted(classes, pairs)), words, doc_id, text))
-    # each class with its nearest candidate, twice: most groups are whole then
-    first = cut(nearest(pairs))
+    least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col(f"`{doc_id}`").alias("d"), F.col("n_shingles").alias("n"), *B, "sig")).alias("r"), F.min(f"`{doc_id}`").alias("first_id"))
+    classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
+    nodes = root_nodes(classes, percent)
+    pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
+    known = cut(wanted(classes, pairs))
+    sets = cut(sets_of(docs, known, words, doc_id, text))
+    first = cut(best(pairs, percent))
     labels = groups(confirm(first, sets, percent))
-    left = cut(between(pairs.join(first, ["a", "b"], "left_anti"), labels))
-    second = cut(nearest(left))
-    links = confirm(second, sets, percent).join(left, ["a", "b"])
-    labels = merged(labels, groups(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    # then whatever still lies between groups, and what large mixed nodes hold
-    found = [left.select("a", "b", "d").join(second, ["a", "b"], "left_anti")]
-    large = cut(relabel(large, labels, "root"))
-    for level in range(len(BRANCH)):
-        if large.isEmpty():
-            break
-        more, large = split(children_of(shapes, large, level), shapes, percent)
-        found.append(cut(more))
-    else:
-        if not large.isEmpty():
-            found.append(cut(unsettled(large, percent)))
-    rest = cut(between(reduce(DataFrame.union, found).distinct().join(first, ["a", "b"], "left_anti"), labels))
-    new = cut(wanted(classes, rest).join(wanted(classes, pairs).select("cid"), "cid", "left_anti"))
-    if not new.isEmpty():
-        sets = sets.union(cut(sets_of(docs, new, words, doc_id, text)))
-    links = confirm(rest.select("a", "b"), sets, percent).join(rest, ["a", "b"])
-    upper = groups(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    roots = relabel(relabel(classes.select("s1", "s2", "first_id", F.col("cid").alias("root")), labels, "root"), upper, "root")
-    roots = cut(roots)
-    named = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = roots.join(named, "root").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component_id")
+    large = relabel(nodes.where(F.col("c") > SMALL).select("key", *SHAPE, F.col("cid").alias("root")), labels, "root")
+    more = branched(classes, large, percent)
+    rest = cut(between(reduce(DataFrame.union, [pairs, *more]).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), labels))
+    if more:
+        new = cut(wanted(classes, rest).join(known.select("cid"), "cid", "left_anti"))
+        if not new.isEmpty():
+            sets = sets.union(cut(sets_of(docs, new, words, doc_id, text)))
+    upper = groups(confirm(rest, sets, percent, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    linked = relabel(labels, upper, "root").select("id", "root").union(upper.join(labels.select("id"), "id", "left_anti").select("id", "root"))
+    of_id = classes.select("cid", "first_id").join(linked, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
+    named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id"))
+    of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"))
     out = rows.join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     own = F.col(f"`{doc_id}`")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own)
