@@ -4,10 +4,11 @@ Documents with equal shingle sets form one class. Independent trees branch the c
 nodes of a tree share ``ROOT`` coordinates of its own. A node of at most ``SMALL`` classes is compared exhaustively by
 sketch; in a larger node of the first ``PIVOT_TREES`` trees, each class meets the node's pivot. Of these candidates, each
 class confirms its nearest and its least on full sets, which makes most groups whole. A large node whose classes are in one
-group by then goes no further. In a mixed one, the classes outside its largest group are compared with all of the node if
-they are at most ``SMALL``; else the node branches again by coordinates that its own path chooses, where only children that
-such outsiders reach are made. So a group of near copies of any size connects without listing its pairs, and a row meets a
-bounded number of others at each level. Last, all candidates between different groups are confirmed on full sets.
+group by then goes no further. In a mixed one, the classes outside its largest group are compared with all of the node on
+full sets, block by block, if they are at most ``OUTSIDE``; else the node branches again by coordinates that its own path
+chooses, where only children that outsiders reach are made. So a group of near copies of any size connects without listing
+its pairs, and a row meets a bounded number of others at each level. Last, the candidates of small nodes that lie between
+different groups are confirmed on full sets.
 
 A pair at the threshold is missed by all trees with a probability of ``LOSS``, and by its sketches with about 1e-5. Sketches
 only select candidates. Groups come from local contraction in blocks of bounded size, then hooking and pointer jumping
@@ -35,6 +36,8 @@ from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes
 WORDS, PERCENT = 5, 80
 #: Coordinates of a root, chance that no tree joins a pair at the threshold, trees with pivots, (children, coordinates of each) by level, classes of a small node.
 ROOT, LOSS, PIVOT_TREES, BRANCH, SMALL = 4, 3e-6, 8, ((2, 2), (2, 4), (2, 4)), 24
+#: Outsiders of a large node that are compared with all of it, and classes of either side of a block of such comparisons.
+OUTSIDE, SIDE = 2048, 256
 #: Minwise coordinates; edges that a task contracts at once.
 COORDS, BLOCK = 128, 1 << 20
 
@@ -277,17 +280,72 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed(nodes: DataFrame) -> DataFrame:
-    """Nodes (key, root, class) of several groups, with ``main``, the largest, and ``outside``, how many classes are not of it."""
+    """Nodes (key, root, class) of several groups, with ``main``, the largest, ``all``, their classes, and ``outside``, how many of them are not of it."""
     sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"))
     heads = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    return cut(nodes.join(heads.select("key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside")), "key"))
+    return cut(nodes.join(heads.select("key", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outside")), "key"))
 
 
-def outsiders(nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidates of mixed nodes: the classes outside the main group against all of their node."""
-    other = nodes.where("root <> main").select("key", *[F.col(k).alias(f"o_{k}") for k in (*SHAPE, "root")])
-    met = nodes.join(other, "key").where((F.col("root") != F.col("o_root")) & alike(side(), side("o_"), percent))
-    return met.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"), apart(side(), side("o_")).alias("d")).distinct()
+class Guests:
+    """Shingle sets as an inverted index: how many shingles each shares with a given set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.vocab, starts = np.unique(values[order], return_index=True)
+        self.starts = np.append(starts, len(values))
+
+    def similar(self, other: np.ndarray, percent: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.vocab, other), len(self.vocab) - 1)
+        at = at[self.vocab[at] == other]
+        lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        each = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        same = np.bincount(self.owners[each], minlength=len(self.sizes))
+        return np.flatnonzero(100 * same >= percent * (self.sizes + len(other) - same))
+
+
+def compared(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (ra, rb) between groups that classes outside a node's main group have with any of the node, on full sets.
+
+    Members and outsiders are dealt into blocks of about ``SIDE``; each task holds one block of outsiders and streams members.
+    """
+    count = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    place = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), count(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    members = nodes.select("cid", "key", "root", place("all", 1).alias("block"), every("outside").alias("part"), F.lit(1).alias("role"))
+    guests = nodes.where("root <> main").select("cid", "key", "root", every("all").alias("block"), place("outside", 2).alias("part"), F.lit(0).alias("role"))
+    rows = members.union(guests).join(sets, "cid").select("key", "block", "part", "role", "root", "shingles")
+    dealt = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, roots, guests, links = None, [], [], None, set()
+
+        def drain() -> pa.RecordBatch:
+            pairs = sorted(links)
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["ra", "rb"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for key, block, part, role, root, shingles in zip(*columns, batch.column(5), strict=True):
+                if (key, block, part) != at:
+                    at, held, roots, guests = (key, block, part), [], [], None
+                shingles = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if role == 0:
+                    held.append(shingles.copy())
+                    roots.append(root)
+                    continue
+                if not held:
+                    continue
+                guests = guests or Guests(held)
+                links.update((min(root, roots[k]), max(root, roots[k])) for k in guests.similar(shingles, percent).tolist() if roots[k] != root)
+            if len(links) > 1 << 16:
+                yield drain()
+        yield drain()
+
+    return dealt.mapInArrow(run, T.StructType([long("ra"), long("rb")])).distinct()
 
 
 def children(classes: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
@@ -321,25 +379,14 @@ def children(classes: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     return rows.select(*shape, "sig", "keys").mapInArrow(child_keys(packed), schema).select(*SHAPE, "root", F.explode("made").alias("key"))
 
 
-def branched(classes: DataFrame, nodes: DataFrame, percent: int) -> list[DataFrame]:
-    """Candidates between groups from large root nodes (key, root, class): mixed nodes are compared or branch."""
-    found = []
-    for level in range(len(BRANCH) + 1):
-        nodes = mixed(nodes)
-        if nodes.isEmpty():
-            break
-        last = level == len(BRANCH)
-        found.append(cut(outsiders(nodes if last else nodes.where(F.col("outside") <= SMALL), percent)))
-        nodes = nodes.where(F.col("outside") > SMALL)
-        if last or nodes.isEmpty():
-            break
-        nodes = children(classes, nodes, level)
-    return found
+def merged(labels: DataFrame, upper: DataFrame) -> DataFrame:
+    """Groups of groups: ids keep their label's root, and roots that only ``upper`` knows join in."""
+    new = upper.join(labels.select("id"), "id", "left_anti").select("id", "root")
+    return cut(relabel(labels, upper, "root").select("id", "root").union(new))
 
 
-def wanted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    return classes.join(ends, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -355,20 +402,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
     nodes = root_nodes(classes, percent)
     pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
-    known = cut(wanted(classes, pairs))
+    of_ids = lambda ids: classes.join(ids, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
+    known = cut(of_ids(ends_of(pairs)))
     sets = cut(sets_of(docs, known, words, doc_id, text))
+    # each class with its nearest and its least candidate: most groups are whole then
     first = cut(best(pairs, percent))
     labels = groups(confirm(first, sets, percent))
-    large = relabel(nodes.where(F.col("c") > SMALL).select("key", *SHAPE, F.col("cid").alias("root")), labels, "root")
-    more = branched(classes, large, percent)
-    rest = cut(between(reduce(DataFrame.union, [pairs, *more]).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), labels))
-    if more:
-        new = cut(wanted(classes, rest).join(known.select("cid"), "cid", "left_anti"))
+    links = []
+    nodes = relabel(nodes.where(F.col("c") > SMALL).select("key", *SHAPE, F.col("cid").alias("root")), labels, "root")
+    for level in range(len(BRANCH) + 1):
+        nodes = mixed(nodes)
+        if nodes.isEmpty():
+            break
+        new = cut(of_ids(nodes.select("cid").distinct().join(known.select("cid"), "cid", "left_anti")))
         if not new.isEmpty():
-            sets = sets.union(cut(sets_of(docs, new, words, doc_id, text)))
-    upper = groups(confirm(rest, sets, percent, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    linked = relabel(labels, upper, "root").select("id", "root").union(upper.join(labels.select("id"), "id", "left_anti").select("id", "root"))
-    of_id = classes.select("cid", "first_id").join(linked, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
+            known, sets = known.union(new), sets.union(cut(sets_of(docs, new, words, doc_id, text)))
+        last = level == len(BRANCH)
+        links.append(cut(compared(nodes if last else nodes.where(F.col("outside") <= OUTSIDE), sets, percent)))
+        nodes = nodes.where(F.col("outside") > OUTSIDE)
+        if last or nodes.isEmpty():
+            break
+        nodes = children(classes, nodes, level)
+    # what small nodes hold between groups
+    rest = between(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
+    links.append(confirm(rest, sets, percent, "ra", "rb").select("ra", "rb"))
+    labels = merged(labels, groups(reduce(DataFrame.union, links).toDF("a", "b")))
+    of_id = classes.select("cid", "first_id").join(labels, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
     named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id"))
     of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"))
     out = rows.join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
