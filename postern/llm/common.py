@@ -63,6 +63,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+def wrap(df: DataFrame, names: Sequence[str], **columns: str) -> DataFrame:
+    """``df`` with the columns ``names`` in one struct, row_, so that they clash with no name of an operator's own, and some columns under new names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    return df.select(row.alias("row_"), *[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+
+
+def unwrap(names: Sequence[str], **columns: str) -> list[Column]:
+    """The columns ``names`` from row_; ``columns`` says which come from elsewhere: new name, name."""
+    there = {c: k for k, c in columns.items()}
+    return [(F.col(there[c]) if c in there else F.col("row_").getField(c)).alias(c) for c in names]
+
+
 #: Bits of a membership filter: its size is fixed, whatever it holds; where it is full it passes everything, and the exact join that follows decides.
 FILTER_BITS = 1 << 26
 

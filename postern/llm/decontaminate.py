@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import boolean, cut, long, map_texts, string
+from postern.llm.common import boolean, cut, long, map_texts, string, unwrap, wrap
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -208,7 +208,9 @@ def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, max
     """``docs`` without the passages of the benchmark: hit spans are cut out of the text, and a document of which more than
     ``max_coverage`` of the words is hit goes as a whole. Other texts, null and empty ones too, pass unchanged.
     """
-    marked = mark_overlaps(docs, items, window, text, shard_words=shard_words)
+    names = docs.columns
+    docs = wrap(docs, [c for c in names if c != text], text=text)
+    marked = mark_overlaps(docs, items, window, shard_words=shard_words)
 
     def make():
         def fn(texts, ranges, ns):
@@ -228,9 +230,8 @@ def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, max
 
         return fn
 
-    cleaned = map_texts(marked, make, [string("cleaned_text"), boolean("dropped_")], [text, "hit_ranges", "n_words"])
-    others = [c for c in docs.columns]
-    return cleaned.where("not dropped_").select(*[F.col("cleaned_text").alias(c) if c == text else F.col(f"`{c}`") for c in others])
+    cleaned = map_texts(marked, make, [string("cleaned"), boolean("dropped")], ["text", "hit_ranges", "n_words"], keep=["row_"])
+    return cleaned.where("not dropped").select(*unwrap(names, cleaned=text))
 
 
 def digest(marked: DataFrame) -> DataFrame:

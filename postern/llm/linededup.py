@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, string
+from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, string, unwrap, wrap
 
 #: A chunk ends where the rolling hash is 0 modulo this; words of a line that is a passage by itself.
 MODULUS, LONG = 3, 50
@@ -110,14 +110,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     gone = cut(repeated_chunks(docs, doc_id, text))
     packed = filter_of(gone.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h")
-    names = [c for c in docs.columns if c not in {f.name for f in REPORT} | {"gone", "text_hash", "gone_id", "gone_hash", "flag_"}]
-    rows = docs.select(*[f"`{c}`" for c in names]).withColumn("text_hash", F.xxhash64(F.col(f"`{text}`")))
-    rows = flagged(rows, F.xxhash64(F.col(f"`{doc_id}`"), "text_hash"), packed)
+    names = [c for c in docs.columns if c.lower() not in {f.name for f in REPORT}]
+    rows = wrap(docs, [c for c in names if c != text], doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
+    rows = flagged(rows, F.xxhash64("doc_id", "text_hash"), packed)
     right = gone.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
     # texts that lose nothing are not shuffled
-    met = rows.where("flag_").join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
-    columns = [f"`{c}`" for c in names]
-    joined = met.select(*columns, "gone").union(rows.where("not flag_").select(*columns, F.lit(None).cast("array<bigint>").alias("gone")))
+    met = rows.where("flag_").join(right, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    joined = met.select("row_", "text", "gone").union(rows.where("not flag_").select("row_", "text", F.lit(None).cast("array<bigint>").alias("gone")))
 
     def make():
         def fn(texts, marks):
@@ -136,7 +135,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
         return fn
 
-    return map_texts(joined, make, REPORT, [text, "gone"], keep=names)
+    done = map_texts(joined, make, REPORT, ["text", "gone"], keep=["row_", "text"])
+    return done.select(*unwrap(names, text=text), *[f.name for f in REPORT])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes
+from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, unwrap, wrap
 
 #: Words of a shingle and similarity in percent where no contract says otherwise.
 WORDS, PERCENT = 5, 80
@@ -175,7 +175,7 @@ def best(pairs: DataFrame, percent: int) -> DataFrame:
     return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(cid, shingles) of the wanted classes, from one more read of the texts. A filter of fixed size keeps most other texts out."""
     packed = filter_of(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
 
@@ -198,7 +198,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: s
 
         return fn
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.select("text", F.xxhash64("doc_id").alias("h"))
     given = map_texts(rows, make, [long("s1"), long("s2"), T.StructField("shingles", T.BinaryType())], ["text", "h"], keep=[]).where("shingles is not null")
     # copies whose ids differ are rows of other tasks: few, and equal
     return given.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).select("cid", "shingles")
@@ -395,16 +395,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Null texts and texts without words have an empty set, link with nothing and are their own group. Rows of one set, repeated
     rows too, are one class. A null doc_id takes part but never names a group. ``rid`` numbers the rows of the result.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in SIGNED} | {"component_id", "kept", "rid", "n", "cid"}]
-    need = list(dict.fromkeys([*names, doc_id, text]))
-    rows = cut(signed(docs.select(*[f"`{c}`" for c in need]), words, text, list(dict.fromkeys([*names, doc_id]))).withColumn("rid", F.monotonically_increasing_id()))
-    least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col(f"`{doc_id}`").alias("d"), F.col("n_shingles").alias("n"), *B, "sig")).alias("r"), F.min(f"`{doc_id}`").alias("first_id"))
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"n_shingles", "component_id", "kept", "rid"}]
+    docs = wrap(docs, names, doc_id=doc_id, text=text)
+    rows = cut(signed(docs, words, "text", ["row_", "doc_id"]).withColumn("rid", F.monotonically_increasing_id()))
+    least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), *B, "sig")).alias("r"), F.min("doc_id").alias("first_id"))
     classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
     nodes = root_nodes(classes, percent)
     pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
     of_ids = lambda ids: classes.join(ids, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
     known = cut(of_ids(ends_of(pairs)))
-    sets = cut(sets_of(docs, known, words, doc_id, text))
+    sets = cut(sets_of(docs, known, words))
     # each class with its nearest and its least candidate: most groups are whole then
     first = cut(best(pairs, percent))
     labels = groups(confirm(first, sets, percent))
@@ -416,7 +416,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             break
         new = cut(of_ids(nodes.select("cid").distinct().join(known.select("cid"), "cid", "left_anti")))
         if not new.isEmpty():
-            known, sets = known.union(new), sets.union(cut(sets_of(docs, new, words, doc_id, text)))
+            known, sets = known.union(new), sets.union(cut(sets_of(docs, new, words)))
         last = level == len(BRANCH)
         links.append(cut(compared(nodes if last else nodes.where(F.col("outside") <= OUTSIDE), sets, percent)))
         nodes = nodes.where(F.col("outside") > OUTSIDE)
@@ -431,9 +431,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id"))
     of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"))
     out = rows.join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    own = F.col(f"`{doc_id}`")
+    own = F.col("doc_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own)
-    return out.select(*[f"`{c}`" for c in names], "n_shingles", component.alias("component_id"), own.eqNullSafe(component).alias("kept"), "rid")
+    return out.select(*unwrap(names), "n_shingles", component.alias("component_id"), own.eqNullSafe(component).alias("kept"), "rid")
 
 
 #: DuckDB: full sets, counts of shared shingles, components by recursion.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, long, map_texts, passes, string
+from postern.llm.common import cut, filter_of, long, map_texts, passes, string, unwrap, wrap
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity, rows of a pair, P(e | t), bits.
@@ -186,15 +186,17 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
     Spans are code-point offsets, end exclusive. A null text counts as empty and has none. Repeated rows count as rows of the corpus and get equal spans.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in BASE} | {"rid", "spans", "span_list"}]
+    made = {*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list"}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    docs = wrap(docs, names, text=text)
     # the numbers are written before anything reads them twice
-    found = cut(find_base(docs.select(*[f"`{c}`" for c in dict.fromkeys([*names, text])]), text, keep=names).withColumn("rid", F.monotonically_increasing_id()))
-    pairs = disclosing(found, docs.select(F.col(f"`{text}`").alias(text)), text)
+    found = cut(find_base(docs, keep=["row_"]).withColumn("rid", F.monotonically_increasing_id()))
+    pairs = disclosing(found, docs)
     terms = found.where(F.size("near") > 0).select("rid", F.inline("near")).join(pairs, ["e", "t"]).groupBy("rid").agg(F.collect_set(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<s:bigint,k:bigint,f:bigint>>"))))
     names_of = F.array(*[F.lit(k) for k in KINDS])
     shown = F.array_join(F.transform("span_list", lambda x: F.concat_ws(":", F.element_at(names_of, (x.k + 1).cast("int")), x.s.cast("string"), x.f.cast("string"))), ",")
-    return found.join(terms, "rid", "left").withColumn("span_list", every).withColumn("spans", shown).select(*[f"`{c}`" for c in names], *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
+    return found.join(terms, "rid", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

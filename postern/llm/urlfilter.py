@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from postern.llm.common import unwrap, wrap
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)"
 
@@ -39,8 +41,8 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     A null or malformed URL, or a capture without a date, is covered by nothing. Repeated captures get equal verdicts.
     """
     new = ("host", "blocked", "n_entries", "entry")
-    rows = captures.select(*[f"`{c}`" for c in captures.columns if c.lower() not in (*new, "seg_", "day_")])
-    rows = rows.withColumns({"host": host_of(F.col(f"`{url}`")), "seg_": F.regexp_extract(F.col(f"`{url}`"), SEGMENT, 1), "day_": F.col(f"`{fetched}`")})
+    names = [c for c in captures.columns if c.lower() not in new]
+    rows = wrap(captures, names, url=url, day_=fetched).select("row_", host_of(F.col("url")).alias("host"), F.regexp_extract("url", SEGMENT, 1).alias("seg_"), "day_")
     keys = rows.where("host is not null and day_ is not null").select(F.col("host").alias("h"), F.col("seg_").alias("s"), F.col("day_").alias("d")).distinct()
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -50,7 +52,7 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     active = asked.join(spans, (F.col("asked") == F.col("pattern")) & (F.col("since") <= F.col("d")) & (F.col("until").isNull() | (F.col("until") > F.col("d"))))
     verdicts = active.groupBy("h", "s", "d").agg(F.count("*").alias("n_entries"), F.min("pattern").alias("entry"))
     joined = rows.join(verdicts, (F.col("host") == F.col("h")) & (F.col("seg_") == F.col("s")) & (F.col("day_") == F.col("d")), "left")
-    return joined.withColumns({"n_entries": F.coalesce("n_entries", F.lit(0)), "blocked": F.col("n_entries").isNotNull()}).drop("h", "s", "d", "seg_", "day_")
+    return joined.select(*unwrap(names), "host", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "entry")
 
 
 def _number(text: Column, salt: str, modulus: int) -> Column:
