@@ -264,11 +264,12 @@ def time_conflicts(spark, sf_dir):
     return corpus.time_conflicts(_evidence(spark, sf_dir))
 
 
-def _evidence(spark, sf_dir):
+def _evidence(spark, sf_dir, whole: bool = False):
     from pyspark.sql import Window as W
 
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("k", k).where("k <= 12")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    if not whole:
+        rows = rows.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("k <= 12")
     return rows.select(F.col("user_id").alias("doc"), "event_id", F.when(F.col("event_id") % 4 == 0, "received").otherwise("date").alias("source"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("utc"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 5 != 0).alias("usable"))
 
 
@@ -279,9 +280,30 @@ SELECT doc, 'header_date_claimed' AS policy, event_id, CASE WHEN usable AND utc
 UNION ALL SELECT doc, 'received_chain_header_order', event_id, CASE WHEN hop THEN CAST(row_number() OVER (PARTITION BY doc, hop ORDER BY -event_id) AS INTEGER) END FROM x
 """)
 def time_orders(spark, sf_dir):
+    """Positions of the first twelve events of each user, as its SQL has it; time_orders_whole() takes all."""
     return corpus.time_orders(_evidence(spark, sf_dir))
 
 
+@query("""
+WITH x AS (SELECT user_id AS doc, event_id, CASE WHEN event_id % 4 = 0 THEN 'received' ELSE 'date' END AS source, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id AS ordinal FROM events)
+SELECT a.doc, a.event_id AS a_event_id, b.event_id AS b_event_id FROM x a JOIN x b ON a.doc = b.doc AND a.event_id < b.event_id
+WHERE CASE WHEN a.utc IS NULL OR b.utc IS NULL THEN true WHEN a.utc = b.utc THEN false WHEN a.source = 'received' AND b.source = 'received' THEN (a.utc < b.utc) <> (a.ordinal > b.ordinal) ELSE true END
+""")
+def time_conflicts_whole(spark, sf_dir):
+    """Unreconciled pairs among all events of each user."""
+    return corpus.time_conflicts(_evidence(spark, sf_dir, whole=True))
+
+
+@query("""
+WITH x AS (SELECT user_id AS doc, event_id, event_id % 4 = 0 AS hop, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id % 5 <> 0 AS usable FROM events)
+SELECT doc, 'header_date_claimed' AS policy, event_id, CASE WHEN usable AND utc IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY doc, usable AND utc IS NOT NULL ORDER BY utc, event_id) AS INTEGER) END AS position FROM x
+UNION ALL SELECT doc, 'received_chain_header_order', event_id, CASE WHEN hop THEN CAST(row_number() OVER (PARTITION BY doc, hop ORDER BY -event_id) AS INTEGER) END FROM x
+""")
+def time_orders_whole(spark, sf_dir):
+    """Positions of all events of each user."""
+    return corpus.time_orders(_evidence(spark, sf_dir, whole=True))
+
+
 @query("""
 WITH t AS (SELECT DISTINCT regexp_extract(text, '[\\p{L}\\p{N}_]+') AS term FROM benchmark WHERE text IS NOT NULL),
 w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+')) AS term FROM documents)
@@ -322,6 +344,24 @@ def citations(spark, sf_dir):
     return corpus.cite(views, parse.rows_of(parsed, "parts", *CONV), spans, *CONV).select(*CONV, F.col("size").cast("long").alias("size"))
 
 
+@query("""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') AS body FROM conversations),
+m AS (SELECT a.conv_id, a.turn, a.body || CASE WHEN b.body IS NULL THEN '' ELSE chr(13) || chr(10) || chr(13) || chr(10) || 'On Tuesday, ' || b.role || ' wrote:' || chr(13) || chr(10) || '> ' || replace(b.body, chr(13) || chr(10), chr(13) || chr(10) || '> ') END AS text
+  FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+s AS (SELECT *, unnest(range(0, greatest(length(text), 1), 64)) AS start FROM m)
+SELECT conv_id, turn, start, least(start + 64, length(text)) AS "end", CAST(octet_length(encode(substr(text, 1, start))) AS BIGINT) AS "offset", CAST(octet_length(encode(substr(text, start + 1, 64))) AS BIGINT) AS size FROM s
+""")
+def citations_whole(spark, sf_dir):
+    """The raw bytes behind every stretch of 64 characters of each body, from the first to the last; offsets count from the body's first byte."""
+    parsed = conversations(spark, sf_dir)
+    views = parse.rows_of(parsed, "views", *CONV)
+    parts = parse.rows_of(parsed, "parts", *CONV)
+    starts = views.select(*CONV, "path", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(64))).alias("start"))
+    spans = starts.select(*CONV, "path", "start", F.least(F.col("start") + 64, F.col("n")).alias("end"))
+    cited = corpus.cite(views, parts, spans, *CONV).join(parts.select(*CONV, "path", "body_at"), [*CONV, "path"])
+    return cited.select(*CONV, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("at") - F.col("body_at")).cast("long").alias("offset"), F.col("size").cast("long").alias("size"))
+
+
 @query("SELECT role || '.' AS sender_prefix, count(*) AS messages, count(DISTINCT conv_id) AS threads FROM conversations WHERE turn % 5 <> 4 GROUP BY 1")
 def messages_by_sender(spark, sf_dir):
     """Flagship: parse, take the sender of each message, aggregate."""

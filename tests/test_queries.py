@@ -71,3 +71,23 @@ def test_untiled_finds_a_planted_hole(spark):
 
 def test_keys_change_with_limits():
     assert Limits().stamp() != Limits(max_parts=3).stamp()
+
+
+def test_whole_time_queries_take_every_event(spark):
+    from pyspark.sql import functions as F
+
+    events = plans.mail.table(spark, DATA, "events")
+    n = events.count()
+    orders = plans.QUERIES["time_orders_whole"](spark, DATA)
+    assert orders.count() == 2 * n and orders.select("event_id").distinct().count() == n
+    late = plans.QUERIES["time_conflicts_whole"](spark, DATA).groupBy("doc").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+    assert late > 12 * 11 // 2
+
+
+def test_whole_citations_reach_the_end_of_each_body(spark):
+    rows = plans.QUERIES["citations_whole"](spark, DATA).collect()
+    ends = {}
+    for r in rows:
+        ends[r.conv_id, r.turn] = max(ends.get((r.conv_id, r.turn), 0), r.offset + r.size)
+    assert all(r.size is not None for r in rows) and max(ends.values()) > 64
+    assert sum(ends.values()) == sum(r.size for r in rows)
