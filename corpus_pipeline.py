@@ -31,8 +31,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go but for the first; a document of which nothing stays goes as well."""
-    done = linededup.dedup_lines(docs).where("n_removed = 0 or trim(clean_text) <> ''")
+    """Repeated passages and chunks of lines go but for the first; a document of which nothing stays goes as well."""
+    whole = linededup.dedup_passages(docs).where("passage_lines_removed = 0 or trim(clean_text) <> ''")
+    passages = cut(_with_text(whole, "clean_text", docs.columns))
+    done = linededup.dedup_lines(passages).where("n_removed = 0 or trim(clean_text) <> ''")
     return _with_text(done, "clean_text", docs.columns)
 
 

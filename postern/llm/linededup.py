@@ -7,12 +7,17 @@ first occurrence (least doc_id, then position), after their bytes, not only thei
 
 Hashes are counted first, with partial sums, and only chunks whose hash repeats travel with their bytes. Grouping by the
 bytes is the comparison; it is pre-aggregated too, so a chunk that a third of all documents share travels once a task.
+
+Chunk boundaries next to a passage depend on what surrounds it, so a short passage of several lines may lie in no chunk of
+its own. dedup_passages() finds these whatever surrounds them, by windows: see there.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +144,91 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return done.select(*unwrap(names, text=text), *[f.name for f in REPORT])
 
 
+def windows_of(lines: list[bytes], least: int = LONG) -> list[tuple[int, int]]:
+    """From each line the fewest lines onwards, and the fewest lines back, that hold ``least`` words: (first line, line after the last).
+
+    Any run of adjacent lines with ``least`` words or more is the union of the windows inside it.
+    """
+    total = np.cumsum([0, *(len(x.split()) for x in lines)])
+    at = np.arange(len(lines))
+    ends = np.searchsorted(total, total[:-1] + least)
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ahead, back = ends <= len(lines), starts >= 0
+    return sorted({*zip(at[ahead].tolist(), ends[ahead].tolist(), strict=True), *zip(starts[back].tolist(), (at[back] + 1).tolist(), strict=True)})
+
+
+def _window_hashes(text: bytes) -> list[tuple[int, int, int, int]]:
+    """(first line, line after the last, two halves of a 128-bit hash) of each window."""
+    lines = text.split(b"\n")
+    begin = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+    view = memoryview(text)
+    return [(lo, hi, *np.frombuffer(xxhash.xxh3_128_digest(view[begin[lo] : begin[hi] - 1]), np.int64).tolist()) for lo, hi in windows_of(lines)]
+
+
+PASSAGES = [long("passage_lines_removed"), string("clean_text")]
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with passage_lines_removed and clean_text: every repeated run of lines of ``LONG`` words or more goes but for its first occurrence.
+
+    A window of lines that occurs again anywhere (128-bit hashes) keeps its first occurrence (least doc_id, then line, then
+    text) whole; lines of its other occurrences go unless they lie in a first occurrence of another repeated window. Null
+    texts stay null. Rows equal in id and text are one occurrence.
+    """
+    names = [c for c in docs.columns if c.lower() not in {f.name for f in PASSAGES}]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= 2 * LONG - 1)
+
+    def hashes():
+        return lambda texts: [[[h for *_, h in _window_hashes(t)] for t in texts]]
+
+    seen = map_texts(rows, hashes, [T.StructField("h", T.ArrayType(T.LongType()))], keep=[]).select(F.explode("h").alias("h"))
+    packed = filter_of(cut(seen.groupBy("h").count().where("count > 1").select("h")), "h")
+    piece = T.StructType([long("lo"), long("hi"), long("g"), long("h")])
+
+    def pieces():
+        def fn(texts):
+            out = []
+            for t in texts:
+                made = _window_hashes(t)
+                out.append([dict(zip(("lo", "hi", "g", "h"), x, strict=True)) for x, ok in zip(made, passes(packed.value, [x[3] for x in made]), strict=True) if ok])
+            return [out]
+
+        return fn
+
+    found = cut(map_texts(rows, pieces, [T.StructField("p", T.ArrayType(piece))], keep=["doc_id", "text_hash"], slice_rows=64).select("doc_id", "text_hash", F.inline("p")))
+    place = F.struct("doc_id", "lo", "text_hash")
+    again = found.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("g").alias("same_g"), F.col("h").alias("same_h"), "first")
+    marks = found.join(again, (F.col("g") == F.col("same_g")) & (F.col("h") == F.col("same_h")))
+    marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", place.eqNullSafe(F.col("first")).alias("stays"))).alias("marks"))
+    marks = cut(marks.where(F.exists("marks", lambda m: ~m["stays"])))
+    met = filter_of(marks.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h")
+    all_rows = wrap(docs, [c for c in names if c != text], doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
+    all_rows = flagged(all_rows, F.xxhash64("doc_id", "text_hash"), met)
+    right = marks.withColumnsRenamed({"doc_id": "mark_id", "text_hash": "mark_hash"})
+    touched = all_rows.where("flag_").join(right, F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("text_hash") == F.col("mark_hash")), "left")
+    joined = touched.select("row_", "text", "marks").union(all_rows.where("not flag_").select("row_", "text", F.lit(None).cast(right.schema["marks"].dataType).alias("marks")))
+
+    def make():
+        def fn(texts, marks):
+            out = []
+            for t, found in zip(texts, marks, strict=True):
+                if t is None or not found:
+                    out.append((0, None if t is None else t.decode()))
+                    continue
+                lines = t.split(b"\n")
+                gone, stay = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
+                for m in found:
+                    (stay if m["stays"] else gone)[m["lo"] : m["hi"]] = True
+                gone &= ~stay
+                out.append((int(gone.sum()), b"\n".join(x for x, lost in zip(lines, gone, strict=True) if not lost).decode()))
+            return [list(c) for c in zip(*out, strict=True)] or [[]] * 2
+
+        return fn
+
+    done = map_texts(joined, make, PASSAGES, ["text", "marks"], keep=["row_", "text"])
+    return done.select(*unwrap(names, text=text), *[f.name for f in PASSAGES])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: n_lines, n_chunks, n_removed, lines_removed and the hash of what stays."""
     return dedup_lines(docs).select("doc_id", "n_lines", "n_chunks", "n_removed", "lines_removed", F.sha2("clean_text", 256).alias("clean_sha256"))

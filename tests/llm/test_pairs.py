@@ -155,6 +155,42 @@ def test_line_dedup_of_nothing_and_with_other_columns(spark):
     assert (r.gone, r.text_hash, r.n_lines, r.clean_text) == (1, 2, 2, "a\nb")
 
 
+def passages_by_hand(rows):
+    """dedup_passages() in one loop over all runs of lines with 50 words or more, of which those are windows that lose them without their first or last line."""
+    places, keys = {}, sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    for i, t in keys:
+        lines = t.split("\n")
+        words = [len(x.split()) for x in lines]
+        for lo in range(len(lines)):
+            for hi in range(lo + 1, len(lines) + 1):
+                if sum(words[lo:hi]) >= 50 and (sum(words[lo : hi - 1]) < 50 or sum(words[lo + 1 : hi]) < 50):
+                    places.setdefault("\n".join(lines[lo:hi]), []).append(((i is not None, i or 0), lo, hi, t))
+    gone, stay = set(), set()
+    for found in places.values():
+        if len(found) > 1:
+            first = min(found, key=lambda x: x[:2])
+            for x in found:
+                (stay if x is first else gone).update((x[0], x[3], k) for k in range(x[1], x[2]))
+    return {(i, t): "\n".join(line for k, line in enumerate(t.split("\n")) if ((i is not None, i or 0), t, k) not in gone - stay) for i, t in keys}
+
+
+def test_passages_of_50_to_100_words_go_whatever_surrounds_them(spark):
+    draw = random.Random(12)
+    line = lambda n: " ".join(draw.choice(WORDS) for _ in range(n))
+    passages = [[line(n) for n in sizes] for sizes in ((26, 26), (30, 15, 30), (20, 20, 20), (45, 3, 2), (24, 0, 26), (10, 49, 9, 12))]
+    rows = []
+    for k in range(60):
+        p = passages[k % len(passages)]
+        rows.append((k, "\n".join([*(line(draw.randrange(1, 30)) for _ in range(draw.randrange(4))), *p, *(line(draw.randrange(1, 30)) for _ in range(draw.randrange(4)))])))
+    rows += [(70, None), (71, ""), (None, "\n".join(passages[0])), (3, rows[3][1])]
+    rows += [(80, "\n".join(passages[1] + passages[2])), (81, "own\n" + "\n".join(passages[1] + passages[2])), (82, "\n".join(["row"] * 120))]
+    got = {(r.doc_id, r.text): r.clean_text for r in linededup.dedup_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k: v for k, v in got.items() if k[1] is not None} == passages_by_hand(rows)
+    assert got[70, None] is None and len(got) == len({(i, t) for i, t in rows})
+    kept = [sum("\n".join(p) in (t or "") for (i, _), t in got.items() if i is None or i < 80) for p in passages]
+    assert kept == [1] * len(passages)
+
+
 def overlaps(text, items, window=10):
     words = decontaminate.words_of((text or "").encode())
     hit, names = set(), set()
