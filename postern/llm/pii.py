@@ -1,19 +1,24 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found in the whole text. Each base value
-is a protected entity. Words near an entity may reveal it: over the whole corpus, n(t, e) rows hold term t near entity e,
-n(t) rows hold t at all, n(e) rows hold e. A term discloses e when n(t, e) is at least ``SUPPORT``, P(e | t) at least
-``SHARE`` and log2(P(e | t) / P(e)) at least ``BITS``. In rows with e, such terms near it become spans of kind ``term``.
-
-Counting is partial within tasks, then by key. Document counts are made only for words that pass a fixed-size bitmap of
-candidate terms, so neither the shuffle nor the broadcast grows with the vocabulary; the exact join follows.
+is a protected entity. Words may reveal it: over the whole corpus, n(t, e) rows hold term t and entity e, anywhere in the
+row, n(t) rows hold t, n(e) rows hold e. A term discloses e when n(t, e) is at least ``SUPPORT``, P(e | t) at least
+``SHARE``, more than P(e), and n(t) times the divergence of P(e | t) from P(e) at least ``BITS`` and the logarithm of the
+number of pairs tested: chance gives any such pair with about 2^-BITS. A frequent entity reaches that by terms of more rows.
+Every occurrence of a disclosing term, in all rows, is a span of kind ``term``.
+
+Counting is partial within tasks, then by key. Terms are paired with entities of ``SUPPORT`` rows only, and
+only terms rare enough to reach ``SHARE`` are, by bitmaps of fixed size; the exact joins follow. Term counts are shuffled once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +27,10 @@ from pyspark.sql import types as T
 from postern.llm.common import cut, filter_of, long, map_texts, passes, string, unwrap, wrap
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity, rows of a pair, P(e | t), bits.
-NEAR, SUPPORT, SHARE, BITS = 6, 4, 0.8, 6.0
+#: Rows of a pair, P(e | t), bits.
+SUPPORT, SHARE, BITS = 4, 0.8, 6.0
+#: Rows of an entity up to which it is of a level.
+LEVELS = (16, 256, 4096)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,50 +93,58 @@ def term_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode()) - (1 << 63)
 
 
-def context(text: str, spans: list[tuple[int, int, int, str]], near: int = NEAR) -> list[dict]:
-    """Words of at least four letters within ``near`` words of an entity: entity and term hashes, and the term's span."""
-    covered = [(a, b) for a, _, b, _ in spans]
-    out, seen = [], set()
-    for a, k, b, value in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{k}:{value}".encode()) - (1 << 63)
-        words: list[tuple[int, int]] = []
-        lo = max(0, a - 40 * near)
-        if lo:
-            while lo < a and text[lo - 1].isalpha():
-                lo += 1
-        words += [m.span() for m in _WORDS.finditer(text, lo, a)][-near:]
-        after = []
-        for m in _WORDS.finditer(text, b, min(len(text), b + 40 * near)):
-            if m.end() == b + 40 * near and m.end() < len(text) and text[m.end()].isalpha():
-                break
-            after.append(m.span())
-            if len(after) == near:
-                break
-        for s, e in words + after:
-            if (entity, s) not in seen and not any(s < y and x < e for x, y in covered):
-                seen.add((entity, s))
-                out.append({"e": entity, "t": term_hash(text[s:e]), "s": s, "f": e})
+def entity_hash(kind: int, value: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind}:{value}".encode()) - (1 << 63)
+
+
+class Terms:
+    """Hashes of words, if they pass a filter (None passes all), else 0. Known words are kept; a full store is emptied."""
+
+    def __init__(self, packed: np.ndarray | None = None):
+        self.packed, self.known = packed, {}
+
+    def of(self, words: set[str]) -> dict[str, int]:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        h = [term_hash(w) for w in new]
+        ok = [True] * len(h) if self.packed is None else passes(self.packed, h)
+        self.known.update(zip(new, (x if good else 0 for x, good in zip(h, ok, strict=True)), strict=True))
+        return {w: self.known[w] for w in words if self.known[w]}
+
+
+def words_of(text: str, spans: list[tuple]) -> list[tuple[int, int]]:
+    """Words of at least four letters that meet no base span: (start, end)."""
+    out, k = [], 0
+    covered: list[list[int]] = []
+    for a, b in sorted((x[0], x[2]) for x in spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
+    for m in _WORDS.finditer(text):
+        s, e = m.span()
+        while k < len(covered) and covered[k][1] <= s:
+            k += 1
+        if k == len(covered) or e <= covered[k][0]:
+            out.append((s, e))
     return out
 
 
-PAIR = T.StructType([long("e"), long("t"), long("s"), long("f")])
 SPAN = T.StructType([long("s"), long("k"), long("f")])
-BASE = [*[long(f"n_{k}") for k in KINDS[:4]], string("base_sha256"), T.StructField("base", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(PAIR)), T.StructField("entities", T.ArrayType(T.LongType()))]
+BASE = [*[long(f"n_{k}") for k in KINDS[:4]], string("base_sha256"), T.StructField("base", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.LongType()))]
 
 
 def find_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans and their context, row by row. A null text counts as empty."""
+    """Base spans and the entities they hold, row by row. A null text counts as empty."""
 
     def make():
         def fn(texts):
             rows = []
             for t in texts:
-                s = t.decode() if t else ""
-                spans = base_spans(s)
-                pairs = context(s, spans) if spans else []
+                spans = base_spans(t.decode()) if t else []
                 counts = [sum(k == kind for _, k, _, _ in spans) for kind in range(4)]
-                entities = sorted({xxhash.xxh3_64_intdigest(f"{k}:{v}".encode()) - (1 << 63) for _, k, _, v in spans})
-                rows.append((*counts, hashlib.sha256(joined(spans).encode()).hexdigest(), [{"s": a, "k": k, "f": b} for a, k, b, _ in spans], pairs, entities))
+                rows.append((*counts, hashlib.sha256(joined(spans).encode()).hexdigest(), [{"s": a, "k": k, "f": b} for a, k, b, _ in spans], sorted({entity_hash(k, v) for _, k, _, v in spans})))
             return [list(c) for c in zip(*rows, strict=True)] or [[]] * len(BASE)
 
         return fn
@@ -137,48 +152,97 @@ def find_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None
     return map_texts(docs, make, BASE, text, keep=keep)
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(e, t): terms that disclose an entity, by counts over all rows. ``found``: rid and near of find_base()."""
-    n = docs.count()
-    pairs = found.where(F.size("near") > 0).select("rid", F.inline("near")).select("rid", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = cut(pairs)
-    packed = filter_of(pairs, "t")
-    none = pairs.isEmpty()
-
-    schema = T.StructType([long("t"), long("k")])
-
-    def count(batches):
-        import pyarrow as pa
-
-        known: dict[str, int] = {}  # hash of a word that passes, else 0
-        held: dict[int, int] = {}  # rows of this task that hold a term; emptied when it is full
-
-        def drain():
-            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["t", "k"])
-            held.clear()
-            return batch
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = set(re.split(r"[\W\d_]+", t.lower())) if t else ()
-                if len(known) > 300_000:
-                    known.clear()
-                new = [w for w in words if len(w) >= 4 and w not in known]
-                h = [term_hash(w) for w in new]
-                known.update(zip(new, (x if ok else 0 for x, ok in zip(h, passes(packed.value, h), strict=True)), strict=True))
-                for x in {known.get(w, 0) for w in words} - {0}:
+def spans_by_row(texts: list, bases: list) -> Iterator[list[tuple[str, int, int]]]:
+    """(word, start, end) of each text's words that meet no base span."""
+    for t, base in zip(texts, bases, strict=True):
+        text = t.decode() if t else ""
+        yield [(text[s:f].lower(), s, f) for s, f in words_of(text, [(x["s"], x["k"], x["f"]) for x in base])]
+
+
+def term_rows(found: DataFrame) -> DataFrame:
+    """(t, n_t): rows of the corpus that hold each term, counted within tasks first."""
+
+    def make():
+        terms, held = Terms(), {}
+
+        def fn(texts, bases):
+            for at in spans_by_row(texts, bases):
+                for x in terms.of({w for w, _, _ in at}).values():
                     held[x] = held.get(x, 0) + 1
-                if len(held) > 200_000:
-                    yield drain()
-        yield drain()
+            out = [[] for _ in texts]
+            if out:  # the counts so far leave with the slice's first row
+                out[0] = [{"t": t, "k": k} for t, k in held.items()]
+                held.clear()
+            return [out]
+
+        return fn
+
+    kind = T.StructType([long("t"), long("k")])
+    counted = map_texts(found, make, [T.StructField("c", T.ArrayType(kind))], ["text", "base"], keep=[], slice_rows=8192)
+    return counted.select(F.inline("c")).groupBy("t").agg(F.sum("k").alias("n_t")).where(F.col("n_t") >= SUPPORT)
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """(e, t): terms that disclose an entity, by counts over whole rows of all the corpus. ``found``: text, base and entities of find_base().
+
+    P(e | t) of ``SHARE`` needs n(t) <= n(e) / SHARE. So entities of each level meet only terms of at most its bound; both
+    filters may pass more, never less.
+    """
+    n = max(found.count(), 1)
+    n_e = cut(found.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    if n_e.isEmpty():
+        return found.sparkSession.createDataFrame([], T.StructType([long("e"), long("t")]))
+    n_t = cut(term_rows(found))
+    levels = []
+    for low, high in zip((0, *LEVELS), (*LEVELS, None), strict=True):
+        of_level = n_e.where(F.col("n_e") > low) if high is None else n_e.where((F.col("n_e") > low) & (F.col("n_e") <= high))
+        levels.append((filter_of(of_level, "e"), filter_of(n_t if high is None else n_t.where(F.col("n_t") * SHARE <= high), "t")))
+
+    def make():
+        terms = [Terms(t.value) for _, t in levels]
+
+        def fn(texts, bases, entities):
+            out = [[] for _ in texts]
+            for k, es in enumerate(entities):
+                level = {e: i for i, (wanted, _) in enumerate(levels) for e, ok in zip(es, passes(wanted.value, es), strict=True) if ok}
+                if level:
+                    words = {w for w, _, _ in next(spans_by_row(texts[k : k + 1], bases[k : k + 1]))}
+                    by_level = {i: sorted(set(terms[i].of(words).values())) for i in set(level.values())}
+                    out[k] = [{"e": e, "t": t} for e, i in level.items() for t in by_level[i]]
+            return [out]
+
+        return fn
+
+    kind = T.StructType([long("e"), long("t")])
+    both = map_texts(found.where(F.size("entities") > 0), make, [T.StructField("p", T.ArrayType(kind))], ["text", "base", "entities"], keep=[], slice_rows=64).select(F.inline("p"))
+    pairs = cut(both.groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(n_e, "e").join(n_t, "t"))
+    share = F.col("n_te") / F.col("n_t")
+    p = F.col("n_e") / F.lit(float(n))
+    # 0 log 0 is 0; an entity in every row tells nothing
+    rest = F.when((share < 1) & (p < 1), (1 - share) * F.log2((1 - share) / (1 - p))).otherwise(F.lit(0.0))
+    bits = F.col("n_t") * (share * F.log2(share / p) + rest)
+    return pairs.where((share >= SHARE) & (share > p) & (bits >= BITS + math.log2(max(pairs.count(), 1)))).select("e", "t")
+
+
+def occurrences(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(rid, t, s, f): every occurrence, in all rows, of the terms ``told``."""
+    packed = filter_of(told, "t")
+
+    def make():
+        terms = Terms(packed.value)
+
+        def fn(texts, bases):
+            out = []
+            for at in spans_by_row(texts, bases):
+                h = terms.of({w for w, _, _ in at})
+                out.append([{"t": h[w], "s": s, "f": f} for w, s, f in at if w in h])
+            return [out]
+
+        return fn
 
-    n_e = found.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    if none:
-        return pairs.select("e", "t")
-    n_t = docs.select(text).mapInArrow(count, schema).groupBy("t").agg(F.sum("k").alias("n_t"))
-    share = F.col("n_te") / F.greatest("n_t", "n_te")
-    bits_of = F.log2(share * F.lit(float(max(n, 1))) / F.col("n_e"))
-    return pairs.join(n_t, "t").join(n_e, "e").where((share >= SHARE) & (bits_of >= BITS)).select("e", "t")
+    kind = T.StructType([long("t"), long("s"), long("f")])
+    made = map_texts(found, make, [T.StructField("ts", T.ArrayType(kind))], ["text", "base"], keep=["rid"])
+    return made.select("rid", F.inline("ts")).join(told, "t")
 
 
 def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -190,13 +254,13 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     docs = wrap(docs, names, text=text)
     # the numbers are written before anything reads them twice
-    found = cut(find_base(docs, keep=["row_"]).withColumn("rid", F.monotonically_increasing_id()))
-    pairs = disclosing(found, docs)
-    terms = found.where(F.size("near") > 0).select("rid", F.inline("near")).join(pairs, ["e", "t"]).groupBy("rid").agg(F.collect_set(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
+    found = cut(find_base(docs, keep=["row_", "text"]).withColumn("rid", F.monotonically_increasing_id()))
+    told = cut(disclosing(found).select("t").distinct())
+    terms = occurrences(found, told).groupBy("rid").agg(F.collect_list(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<s:bigint,k:bigint,f:bigint>>"))))
     names_of = F.array(*[F.lit(k) for k in KINDS])
     shown = F.array_join(F.transform("span_list", lambda x: F.concat_ws(":", F.element_at(names_of, (x.k + 1).cast("int")), x.s.cast("string"), x.f.cast("string"))), ",")
-    return found.join(terms, "rid", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
+    return found.drop("text").join(terms, "rid", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

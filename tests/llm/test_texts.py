@@ -197,6 +197,20 @@ def test_disclosing_terms_are_found_and_redacted(spark):
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_terms_count_whole_rows_and_are_marked_everywhere(spark):
+    filler = "these words stand between without end " * 3
+    rows = [(k, f"Zanzibarov {filler} wrote to z@corp.example and then Zanzibarov left") for k in range(12)]
+    rows += [(50, "Zanzibarov alone, zanzibarov again")] + [(100 + k, f"plain text {filler} here, then wrote and left") for k in range(300)]
+    out = {r.doc_id: [s.s for s in r.span_list if s.k == 4] for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    text = rows[0][1]
+    assert out[0] == [0, text.rindex("Zanzibarov")]
+    assert out[50] == [0, 18] and out[150] == []
+    # an entity in a third of few rows
+    often = [(k, "Quillington speaks hot@corp.example" if k < 30 else "other people speak here") for k in range(90)]
+    out = {r.doc_id: r.spans for r in pii.sanitise(spark.createDataFrame(often, DOCS)).collect()}
+    assert "term:0:11" in out[0] and out[60] == ""
+
+
 # -- language and toxicity -------------------------------------------------------------------------
 
 
