@@ -39,13 +39,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the least doc_id, and of its repeated rows the first."""
-    marked = neardup.near_duplicates(docs)
+    """One document of each near-duplicate group stays: the least doc_id, and of its repeated rows in the group the first."""
+    marked = neardup.near_duplicates(docs, group=True)
+    out = _columns(docs)
     with_set = marked.where("kept and n_shingles > 0")
-    # repeated rows of one doc_id: number only those ids that occur twice
-    twice = with_set.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("rid").alias("first")).where("c > 1").select(F.col("doc_id").alias("again"), "first")
-    single = with_set.join(twice, F.col("doc_id").eqNullSafe(F.col("again")), "left").where("first is null or first = rid")
-    return single.select(*_columns(docs)).unionByName(marked.where("n_shingles = 0").select(*_columns(docs)))
+    # kept rows of one group have one doc_id: number only those groups that keep two
+    twice = with_set.groupBy("group_id").agg(F.count("*").alias("c"), F.min("rid").alias("first")).where("c > 1").select(F.col("group_id").alias("again"), "first")
+    single = with_set.join(twice, F.col("group_id") == F.col("again"), "left").where("first is null or first = rid")
+    return single.select(*out).unionByName(marked.where("n_shingles = 0").select(*out))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,7 +389,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, group: bool = False) -> DataFrame:
     """``keep`` columns (default: all others) with n_shingles, component_id (least doc_id of the group) and kept.
 
     Null texts and texts without words have an empty set, link with nothing and are their own group. Rows of one set, repeated
@@ -402,6 +402,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
     nodes = root_nodes(classes, percent)
     pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
+    With ``group``, group_id is the same for the rows of one group only, whatever their ids; rows without a set have none.
     of_ids = lambda ids: classes.join(ids, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
     known = cut(of_ids(ends_of(pairs)))
     sets = cut(sets_of(docs, known, words))
@@ -428,12 +429,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links.append(confirm(rest, sets, percent, "ra", "rb").select("ra", "rb"))
     labels = merged(labels, groups(reduce(DataFrame.union, links).toDF("a", "b")))
     of_id = classes.select("cid", "first_id").join(labels, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
-    named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id"))
-    of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"))
+    named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id", F.col("root").alias("group_root")))
+    of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("group_root", "cid").alias("group_id"))
     out = rows.join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     own = F.col("doc_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own)
-    return out.select(*unwrap(names), "n_shingles", component.alias("component_id"), own.eqNullSafe(component).alias("kept"), "rid")
+    return out.select(*unwrap(names), "n_shingles", component.alias("component_id"), own.eqNullSafe(component).alias("kept"), "rid", *["group_id"] * group)
 
 
 #: DuckDB: full sets, counts of shared shingles, components by recursion.

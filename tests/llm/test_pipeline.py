@@ -42,3 +42,11 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, table(spark, DATA, "documents").schema)
     out = corpus_pipeline.dedup_documents(spark, docs, DATA).collect()
     assert [r.doc_id for r in out] == [3]
+
+
+def test_unlike_texts_with_null_or_equal_ids_all_stay(spark):
+    text = lambda k: " ".join(f"v{k}x{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], table(spark, DATA, "documents").schema)
+    out = corpus_pipeline.dedup_documents(spark, docs, DATA).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))], key=repr)
