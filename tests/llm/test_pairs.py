@@ -92,6 +92,16 @@ def test_contraction_in_many_blocks(spark):
         assert {r.id: r.root for r in got.collect()} == want
 
 
+def test_trees_meet_the_loss_at_every_depth():
+    for percent in (50, 80, 90):
+        n = neardup.trees_of(percent)
+        for depth in range(len(neardup.BRANCH) + 1):
+            reach = (percent / 100) ** neardup.ROOT
+            for count, width in neardup.BRANCH[:depth]:
+                reach *= 1 - (1 - (percent / 100) ** width) ** count
+            assert (1 - reach) ** n <= 3e-6, (percent, depth)
+
+
 def test_sketches_allow_the_threshold():
     draw = np.random.default_rng(5)
     missed = 0
