@@ -1,7 +1,7 @@
 """URL filtering against dated lists: every capture is judged by the entries that were active when it was fetched.
 
 List events (pattern, action, at) become validity intervals: an ``add`` holds until the pattern's next event. A pattern is a
-domain, which covers its subdomains, or a host and the first segment of a path. Captures are reduced to distinct (host,
+domain of one label or more, which covers its subdomains, or a host and the first segment of a path. Captures are reduced to distinct (host,
 segment, day) keys before they meet the list, so a host with a third of all captures is joined once a day, and verdicts are
 joined back. Both joins are equi-joins with a range condition that adaptive execution can split.
 """
@@ -27,9 +27,10 @@ def validity(events: DataFrame) -> DataFrame:
     """Intervals [since, until) in which a pattern is listed; until is null while it still is.
 
     ``events``: pattern, action (``add`` or ``remove``), at (date). Repeated events count once, rows with a null take no
-    part; on one day a removal comes after an addition. A repeated ``add`` only continues the interval.
+    part; on one day a removal comes after an addition. Hosts are compared without case, paths with it. A repeated ``add`` only continues the interval.
     """
-    rows = events.select(F.lower(F.col("pattern")).alias("pattern"), "action", "at").where("pattern is not null and at is not null and action in ('add', 'remove')").distinct()
+    host, path = F.substring_index("pattern", "/", 1), F.regexp_extract("pattern", "(?s)/.*", 0)
+    rows = events.select(F.concat(F.lower(host), path).alias("pattern"), "action", "at").where("pattern is not null and at is not null and action in ('add', 'remove')").distinct()
     order = W.partitionBy("pattern").orderBy("at", "action")
     spans = rows.withColumn("until", F.lead("at").over(order)).where("action = 'add' and (until is null or until > at)")
     return spans.select("pattern", F.col("at").alias("since"), "until")
@@ -45,9 +46,9 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     rows = wrap(captures, names, url=url, day_=fetched).select("row_", host_of(F.col("url")).alias("host"), F.regexp_extract("url", SEGMENT, 1).alias("seg_"), "day_")
     keys = rows.where("host is not null and day_ is not null").select(F.col("host").alias("h"), F.col("seg_").alias("s"), F.col("day_").alias("d")).distinct()
     labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     patterns = F.array_distinct(F.when(F.col("s") != "", F.concat(suffixes, F.array(F.concat("h", "s")))).otherwise(suffixes))
-    asked = keys.select("h", "s", "d", F.explode(patterns).alias("asked"))
+    asked = keys.select("h", "s", "d", F.explode(patterns).alias("asked")).where("asked <> ''")
     spans = validity(events)
     active = asked.join(spans, (F.col("asked") == F.col("pattern")) & (F.col("since") <= F.col("d")) & (F.col("until").isNull() | (F.col("until") > F.col("d"))))
     verdicts = active.groupBy("h", "s", "d").agg(F.count("*").alias("n_entries"), F.min("pattern").alias("entry"))

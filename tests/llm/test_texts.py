@@ -296,3 +296,12 @@ def test_query_against_sql(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+def test_single_labels_and_paths_with_case(spark):
+    day = date(2024, 1, 5)
+    events = [("zip", "add", day), ("Host.example/Ads", "add", day), ("", "add", day)]
+    urls = ["http://a.b.zip/", "http://zip/", "http://HOST.example/Ads/1", "http://host.example/ads", "http://zip.example/", "http://end.example./"]
+    frame = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    out = urlfilter.judge(frame, spark.createDataFrame(events, "pattern string, action string, at date")).orderBy("page_id").collect()
+    assert [r.entry for r in out] == ["zip", "zip", "host.example/Ads", None, None, None]
+
+
