@@ -4,7 +4,7 @@ The kernel is the blended spectrum of byte n-grams (1 to 3) with presence featur
 the n-grams of the landmarks. Nystroem landmarks map a text to k(x, landmarks) K_mm^(-1/2); kernel ridge regression, one
 language against the rest, is solved there. As the kernel is linear in presence features, landmarks, whitening and ridge
 weights fold into one matrix and a batch is scored by one matrix product. A text is scored whole, in segments of
-``SEGMENT`` bytes whose scores are averaged by length.
+``SEGMENT`` bytes whose scores are averaged by length. All n-grams of the landmarks take part, however many languages there are.
 
 The fit takes at most ``per_lang`` labelled texts of each language (those of least hash), and segments of them; that bound
 is the only sample here.
@@ -67,6 +67,24 @@ class Presence:
             row[self.at[grams(s)]] = 1
         return x[:, 1:]
 
+    def of(self, segment: np.ndarray) -> np.ndarray:
+        """Sorted places of the n-grams of a segment."""
+        at = np.unique(self.at[grams(segment)]).astype(np.int32)
+        return at[at > 0] - 1
+
+
+#: N-grams and texts that the fit holds densely at once.
+COLUMNS, ROWS = 8192, 1024
+
+
+def dense(found: list[np.ndarray], lo: int) -> np.ndarray:
+    """Presence rows of the n-grams ``lo`` to ``lo + COLUMNS``."""
+    x = np.zeros((len(found), COLUMNS), np.float32)
+    for row, f in zip(x, found, strict=True):
+        a, b = np.searchsorted(f, (lo, lo + COLUMNS))
+        row[f[a:b] - lo] = 1
+    return x
+
 
 class Model:
     def __init__(self, langs: list[str], known: np.ndarray, weights: np.ndarray, bias: np.ndarray):
@@ -82,9 +100,13 @@ class Model:
 
             def flush() -> None:
                 if segments:
-                    x = presence.rows(segments)
-                    size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-                    made = (x @ self.weights) / size + self.bias
+                    if presence.width <= COLUMNS:
+                        x = presence.rows(segments)
+                        size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+                        made = (x @ self.weights) / size + self.bias
+                    else:
+                        found = [presence.of(s) for s in segments]
+                        made = np.array([self.weights[f].sum(axis=0) / np.sqrt(max(len(f), 1)) for f in found]) + self.bias
                     w = np.array([len(s) for s in segments], np.float64)
                     np.add.at(sums, owners, made * w[:, None])
                     np.add.at(weight, owners, w)
@@ -121,15 +143,21 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
     y = np.array([k for k, _ in picked])
     chosen = [i for k in range(len(langs)) for i in np.flatnonzero(y == k)[:landmarks]]
-    known = np.unique(np.concatenate([grams(picked[i][1]) for i in chosen]))[:60_000]
+    known = np.unique(np.concatenate([grams(picked[i][1]) for i in chosen]))
     presence = Presence(known)
-    x = presence.rows([s for _, s in picked])
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    base = x[chosen]
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    found = [presence.of(s) for _, s in picked]
+    size = np.sqrt(np.array([max(len(f), 1) for f in found], np.float64))
+    # n-grams by blocks of columns, texts by blocks of rows: memory grows with neither
+    near = np.zeros((len(found), len(chosen)))
+    for lo in range(0, len(known), COLUMNS):
+        base = dense([found[i] for i in chosen], lo)
+        for at in range(0, len(found), ROWS):
+            near[at : at + ROWS] += dense(found[at : at + ROWS], lo) @ base.T
+    near /= size[:, None] * size[chosen]
+    values, vectors = np.linalg.eigh(near[chosen])
     keep = values > 1e-8 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
-    phi = x @ base.T @ white
+    phi = near @ white
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     balance = 1 / np.bincount(y, minlength=len(langs))[y]  # languages count alike
     balance *= len(y) / balance.sum()
@@ -138,7 +166,12 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     centred = (phi - mean) * balance[:, None]
     ridge_matrix = centred.T @ (phi - mean) + ridge * len(y) * np.eye(phi.shape[1]) / phi.shape[1]
     solved = np.linalg.solve(ridge_matrix, centred.T @ (target - middle))
-    return Model(langs, known, (base.T @ (white @ solved)).astype(np.float32), middle - mean @ solved)
+    folded = (white @ solved) / size[chosen][:, None]
+    weights = np.empty((len(known), len(langs)), np.float32)
+    for lo in range(0, len(known), COLUMNS):
+        base = dense([found[i] for i in chosen], lo)
+        weights[lo : lo + COLUMNS] = (base.T @ folded)[: len(known) - lo]
+    return Model(langs, known, weights, middle - mean @ solved)
 
 
 def training_rows(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> list[tuple[str, bytes]]:

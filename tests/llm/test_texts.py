@@ -247,6 +247,21 @@ def test_toxicity_on_labels(spark):
     assert not any(x.rejected for x in toxicity.score(odd, model).collect())
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs, none).where("rejected").count() == 0
+def test_landmarks_keep_all_their_ngrams():
+    draw = np.random.default_rng(3)
+    alphabets = {lang: [chr(c) for c in range(a, a + 2500)] for lang, a in (("x", 0x4E00), ("y", 0x5E00), ("z", 0xAC00))}
+    rows = [(lang, "".join(draw.choice(abc, 600)).encode()) for lang, abc in alphabets.items() for _ in range(60)]
+    model = langid.fit(rows)
+    seen = np.unique(np.concatenate([langid.grams(s) for _, t in rows for s in langid.segments_of(t)]))
+    assert len(model.known) == len(model.weights) > 60_000 // 2 and set(seen) >= set(model.known)
+    assert model.known.max() == seen.max()  # single bytes have the highest codes
+    new = [(lang, "".join(draw.choice(abc, 300)).encode()) for lang, abc in alphabets.items() for _ in range(5)]
+    assert model.scorer()([t for _, t in new])[0] == [lang for lang, _ in new]
+    rough = draw.integers(97, 123, (300, 2000)).astype(np.uint8)
+    wide = langid.fit([("a", bytes(r)) for r in rough] + [("b", bytes(draw.integers(128, 256, 2000).astype(np.uint8))) for _ in range(60)])
+    assert len(wide.known) > 60_000 and wide.known.max() == (1 << 24) + (1 << 16) + 255
+
+
 
 
 def test_ordered_thresholds_share_weights():
