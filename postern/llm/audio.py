@@ -42,7 +42,7 @@ STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 3
 
 
 def decode_ima(data: bytes, block: int) -> np.ndarray:
-    """PCM of mono IMA ADPCM. All blocks advance together, a nibble at a time; a last short block is left out."""
+    """PCM of mono IMA ADPCM. All blocks advance together, a nibble at a time; decode_clip() adds a last short block."""
     n = len(data) // block
     if block < 5 or not n:
         return np.zeros(0, np.int16)
@@ -61,6 +61,20 @@ def decode_ima(data: bytes, block: int) -> np.ndarray:
     return out.ravel()
 
 
+def decode_clip(data: bytes, block: int) -> np.ndarray:
+    """PCM of a whole IMA ADPCM stream: its whole blocks, then the last short block by itself. ValueError where that holds no header."""
+    if block < 5:
+        raise ValueError(f"IMA block of {block} bytes")
+    tail = data[len(data) // block * block :]
+    whole = decode_ima(data, block)
+    if not tail:
+        return whole
+    if len(tail) < 4:
+        raise ValueError(f"last IMA block of {len(tail)} bytes has no header")
+    last = decode_ima(tail, len(tail)) if len(tail) > 4 else np.frombuffer(tail, "<i2", 1).astype(np.int16)
+    return np.concatenate([whole, last])
+
+
 def resample(x: np.ndarray, old: int, new: int, half: int = 16) -> np.ndarray:
     """Polyphase windowed-sinc resampling of 16-bit PCM."""
     g = gcd(old, new)
@@ -119,7 +133,7 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
     if tag in TABLES:
         return TABLES[tag][np.frombuffer(data, np.uint8)], rate
     if tag == IMA:
-        return decode_ima(data, block), rate
+        return decode_clip(data, block), rate
     if tag == PCM and block == 2:
         return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
     raise ValueError(f"format {tag} is not supported")
@@ -128,7 +142,8 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
 def expand_audio(df: DataFrame, media: str = "media", rate: int = 16000) -> DataFrame:
     """``df`` with pcm (16-bit little endian at ``rate``), n_samples and audio_error.
 
-    Null media give nulls; media that cannot be decoded give null pcm and the reason in audio_error. Other columns pass.
+    IMA clips are decoded to the last byte, a short last block too; one too short for its header is an error. Null media
+    give nulls; media that cannot be decoded give null pcm and the reason in audio_error. Other columns pass.
     """
 
     def make():

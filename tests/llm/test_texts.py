@@ -171,6 +171,18 @@ def plain_spans(text):
     return sorted(out)
 
 
+def test_a_last_short_ima_block_is_decoded(spark):
+    data = np.random.default_rng(4).integers(0, 256, 64 * 3, dtype=np.uint8).tobytes()
+    short = data[128:148]
+    want = np.concatenate([audio.decode_ima(data[:128], 64), audio.decode_ima(short, 20)])
+    clips = [data[:148], short, data[:130], data[:132], data[:128], b""]
+    rows = [(k, audio.write_wave(c, audio.IMA, block=64, bits=4)) for k, c in enumerate(clips)]
+    out = {r.i: r for r in audio.expand_audio(spark.createDataFrame(rows, "i int, media binary"), rate=8000).collect()}
+    assert np.frombuffer(out[0].pcm, "<i2").tolist() == want.tolist()
+    assert [out[k].n_samples for k in range(6)] == [2 * 121 + 33, 33, None, 2 * 121 + 1, 2 * 121, 0]
+    assert "header" in out[2].audio_error and out[1].audio_error is None
+
+
 def test_base_spans_equal_the_patterns():
     draw = random.Random(8)
     parts = ["a.b@c-d.example", "@", "@@", "x@y", "10.0.0.255", "1.2.3.4.5", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+49", "0", "7", " ", "-", ".", "+", "é", "😀", "word", "%_", "\n"]
@@ -235,18 +247,6 @@ def test_training_ignores_held_out_labels(spark):
     assert a == b and all(p == ("a" if i % 2 else "x") for i, p, _ in a)
 
 
-def test_toxicity_on_labels(spark):
-    docs, labels = (spark.read.parquet(f"{SAMPLE}/{t}.parquet") for t in ("documents", "labels"))
-    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    model = toxicity.train(docs, labels.where(even))
-    r = toxicity.score(docs.select("doc_id", "text"), model).join(labels.where(~even), "doc_id").toPandas()
-    assert (r.rejected == (r.toxic > 0)).mean() > 0.95
-    assert r[r.toxic == 0].rejected.mean() < 0.01
-    assert (np.diff(model.thresholds) > 0).all()
-    odd = spark.createDataFrame([(1, None), (2, "")], DOCS)
-    assert not any(x.rejected for x in toxicity.score(odd, model).collect())
-    none = toxicity.train(docs, labels.limit(0))
-    assert toxicity.score(docs, none).where("rejected").count() == 0
 def test_landmarks_keep_all_their_ngrams():
     draw = np.random.default_rng(3)
     alphabets = {lang: [chr(c) for c in range(a, a + 2500)] for lang, a in (("x", 0x4E00), ("y", 0x5E00), ("z", 0xAC00))}
@@ -262,6 +262,18 @@ def test_landmarks_keep_all_their_ngrams():
     assert len(wide.known) > 60_000 and wide.known.max() == (1 << 24) + (1 << 16) + 255
 
 
+def test_toxicity_on_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SAMPLE}/{t}.parquet") for t in ("documents", "labels"))
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = toxicity.train(docs, labels.where(even))
+    r = toxicity.score(docs.select("doc_id", "text"), model).join(labels.where(~even), "doc_id").toPandas()
+    assert (r.rejected == (r.toxic > 0)).mean() > 0.95
+    assert r[r.toxic == 0].rejected.mean() < 0.01
+    assert (np.diff(model.thresholds) > 0).all()
+    odd = spark.createDataFrame([(1, None), (2, "")], DOCS)
+    assert not any(x.rejected for x in toxicity.score(odd, model).collect())
+    none = toxicity.train(docs, labels.limit(0))
+    assert toxicity.score(docs, none).where("rejected").count() == 0
 
 
 def test_ordered_thresholds_share_weights():
@@ -297,6 +309,15 @@ def test_captures_against_dated_entries(spark):
     assert urlfilter.judge(frame.limit(0), spark.createDataFrame([], "pattern string, action string, at date")).count() == 0
 
 
+def test_single_labels_and_paths_with_case(spark):
+    day = date(2024, 1, 5)
+    events = [("zip", "add", day), ("Host.example/Ads", "add", day), ("", "add", day)]
+    urls = ["http://a.b.zip/", "http://zip/", "http://HOST.example/Ads/1", "http://host.example/ads", "http://zip.example/", "http://end.example./"]
+    frame = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    out = urlfilter.judge(frame, spark.createDataFrame(events, "pattern string, action string, at date")).orderBy("page_id").collect()
+    assert [r.entry for r in out] == ["zip", "zip", "host.example/Ads", None, None, None]
+
+
 # -- registered queries ----------------------------------------------------------------------------
 
 
@@ -311,12 +332,3 @@ def test_query_against_sql(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
-def test_single_labels_and_paths_with_case(spark):
-    day = date(2024, 1, 5)
-    events = [("zip", "add", day), ("Host.example/Ads", "add", day), ("", "add", day)]
-    urls = ["http://a.b.zip/", "http://zip/", "http://HOST.example/Ads/1", "http://host.example/ads", "http://zip.example/", "http://end.example./"]
-    frame = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_on date")
-    out = urlfilter.judge(frame, spark.createDataFrame(events, "pattern string, action string, at date")).orderBy("page_id").collect()
-    assert [r.entry for r in out] == ["zip", "zip", "host.example/Ads", None, None, None]
-
-
