@@ -16,11 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,22 +151,24 @@ def find_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None
     return map_texts(docs, make, BASE, text, keep=keep)
 
 
-def spans_by_row(texts: list, bases: list) -> Iterator[list[tuple[str, int, int]]]:
-    """(word, start, end) of each text's words that meet no base span."""
-    for t, base in zip(texts, bases, strict=True):
-        text = t.decode() if t else ""
-        yield [(text[s:f].lower(), s, f) for s, f in words_of(text, [(x["s"], x["k"], x["f"]) for x in base])]
+def vocabulary(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORDS.findall(text))}
 
 
-def term_rows(found: DataFrame) -> DataFrame:
+def located(text: str, spans: list[tuple]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words that meet no base span."""
+    return [(text[s:f].lower(), s, f) for s, f in words_of(text, spans)]
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
     """(t, n_t): rows of the corpus that hold each term, counted within tasks first."""
 
     def make():
         terms, held = Terms(), {}
 
-        def fn(texts, bases):
-            for at in spans_by_row(texts, bases):
-                for x in terms.of({w for w, _, _ in at}).values():
+        def fn(texts):
+            for t in texts:
+                for x in terms.of(vocabulary(t.decode()) if t else set()).values():
                     held[x] = held.get(x, 0) + 1
             out = [[] for _ in texts]
             if out:  # the counts so far leave with the slice's first row
@@ -178,12 +179,12 @@ def term_rows(found: DataFrame) -> DataFrame:
         return fn
 
     kind = T.StructType([long("t"), long("k")])
-    counted = map_texts(found, make, [T.StructField("c", T.ArrayType(kind))], ["text", "base"], keep=[], slice_rows=8192)
+    counted = map_texts(docs, make, [T.StructField("c", T.ArrayType(kind))], keep=[], slice_rows=8192)
     return counted.select(F.inline("c")).groupBy("t").agg(F.sum("k").alias("n_t")).where(F.col("n_t") >= SUPPORT)
 
 
-def disclosing(found: DataFrame) -> DataFrame:
-    """(e, t): terms that disclose an entity, by counts over whole rows of all the corpus. ``found``: text, base and entities of find_base().
+def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(e, t): terms that disclose an entity, by counts over whole rows of all the corpus. ``found``: entities of find_base().
 
     P(e | t) of ``SHARE`` needs n(t) <= n(e) / SHARE. So entities of each level meet only terms of at most its bound; both
     filters may pass more, never less.
@@ -192,7 +193,7 @@ def disclosing(found: DataFrame) -> DataFrame:
     n_e = cut(found.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
     if n_e.isEmpty():
         return found.sparkSession.createDataFrame([], T.StructType([long("e"), long("t")]))
-    n_t = cut(term_rows(found))
+    n_t = cut(term_rows(docs))
     levels = []
     for low, high in zip((0, *LEVELS), (*LEVELS, None), strict=True):
         of_level = n_e.where(F.col("n_e") > low) if high is None else n_e.where((F.col("n_e") > low) & (F.col("n_e") <= high))
@@ -201,12 +202,15 @@ def disclosing(found: DataFrame) -> DataFrame:
     def make():
         terms = [Terms(t.value) for _, t in levels]
 
-        def fn(texts, bases, entities):
+        def fn(texts):
             out = [[] for _ in texts]
-            for k, es in enumerate(entities):
-                level = {e: i for i, (wanted, _) in enumerate(levels) for e, ok in zip(es, passes(wanted.value, es), strict=True) if ok}
+            for k, t in enumerate(texts):
+                text = t.decode() if t else ""
+                spans = base_spans(text)
+                es = sorted({entity_hash(kind, v) for _, kind, _, v in spans})
+                level = {e: i for i, (wanted, _) in enumerate(levels) for e, ok in zip(es, passes(wanted.value, es), strict=True) if ok} if es else {}
                 if level:
-                    words = {w for w, _, _ in next(spans_by_row(texts[k : k + 1], bases[k : k + 1]))}
+                    words = {w for w, _, _ in located(text, spans)}
                     by_level = {i: sorted(set(terms[i].of(words).values())) for i in set(level.values())}
                     out[k] = [{"e": e, "t": t} for e, i in level.items() for t in by_level[i]]
             return [out]
@@ -214,7 +218,7 @@ def disclosing(found: DataFrame) -> DataFrame:
         return fn
 
     kind = T.StructType([long("e"), long("t")])
-    both = map_texts(found.where(F.size("entities") > 0), make, [T.StructField("p", T.ArrayType(kind))], ["text", "base", "entities"], keep=[], slice_rows=64).select(F.inline("p"))
+    both = map_texts(docs, make, [T.StructField("p", T.ArrayType(kind))], keep=[], slice_rows=64).select(F.inline("p"))
     pairs = cut(both.groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(n_e, "e").join(n_t, "t"))
     share = F.col("n_te") / F.col("n_t")
     p = F.col("n_e") / F.lit(float(n))
@@ -224,25 +228,31 @@ def disclosing(found: DataFrame) -> DataFrame:
     return pairs.where((share >= SHARE) & (share > p) & (bits >= BITS + math.log2(max(pairs.count(), 1)))).select("e", "t")
 
 
-def occurrences(found: DataFrame, told: DataFrame) -> DataFrame:
-    """(rid, t, s, f): every occurrence, in all rows, of the terms ``told``."""
+def key_of(text: str) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, t, s, f): every occurrence, in all texts, of the terms ``told``."""
     packed = filter_of(told, "t")
 
     def make():
         terms = Terms(packed.value)
 
-        def fn(texts, bases):
+        def fn(texts):
             out = []
-            for at in spans_by_row(texts, bases):
-                h = terms.of({w for w, _, _ in at})
-                out.append([{"t": h[w], "s": s, "f": f} for w, s, f in at if w in h])
+            for t in texts:
+                text = t.decode() if t else ""
+                h = terms.of(vocabulary(text))
+                out.append([{"t": h[w], "s": s, "f": f} for w, s, f in located(text, base_spans(text)) if w in h] if h else [])
             return [out]
 
         return fn
 
     kind = T.StructType([long("t"), long("s"), long("f")])
-    made = map_texts(found, make, [T.StructField("ts", T.ArrayType(kind))], ["text", "base"], keep=["rid"])
-    return made.select("rid", F.inline("ts")).join(told, "t")
+    made = map_texts(docs.select("text", key_of("text").alias("key")), make, [T.StructField("ts", T.ArrayType(kind))], keep=["key"])
+    return made.select("key", F.inline("ts")).join(told, "t")
 
 
 def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -253,14 +263,13 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     made = {*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list"}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     docs = wrap(docs, names, text=text)
-    # the numbers are written before anything reads them twice
-    found = cut(find_base(docs, keep=["row_", "text"]).withColumn("rid", F.monotonically_increasing_id()))
-    told = cut(disclosing(found).select("t").distinct())
-    terms = occurrences(found, told).groupBy("rid").agg(F.collect_list(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
+    found = cut(find_base(docs, keep=["row_", "text"]).withColumn("key", key_of("text")).drop("text"))
+    told = cut(disclosing(found, docs).select("t").distinct())
+    terms = occurrences(docs, told).groupBy("key").agg(F.collect_set(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<s:bigint,k:bigint,f:bigint>>"))))
     names_of = F.array(*[F.lit(k) for k in KINDS])
     shown = F.array_join(F.transform("span_list", lambda x: F.concat_ws(":", F.element_at(names_of, (x.k + 1).cast("int")), x.s.cast("string"), x.f.cast("string"))), ",")
-    return found.drop("text").join(terms, "rid", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
+    return found.join(terms, "key", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
