@@ -4,8 +4,9 @@ A window holds the conversation's system turn, up to ``history`` tokens of turns
 turns up to ``budget`` tokens in all. Prefix sums of the turns' token counts choose the spans. Targets are the texts of
 assistant turns; repeated turns are masked, so each target counts once. A single turn over the budget has a window to itself.
 
-Rows are dealt by conversation and sorted by turn; a task streams them, holding one window's turns at a time. A
-conversation of any length is thus formatted in bounded memory.
+Turns are tokenised before they are dealt, so a conversation that holds a third of all rows costs many tasks that work. Rows
+are then dealt by conversation and sorted by turn; a task streams them, holding one window's turns at a time. A conversation of
+any length is thus formatted in bounded memory; only its windows follow one another, as each begins where the last one ended.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import boolean, long, string
+from postern.llm.common import boolean, long, map_texts, string
 from postern.llm.tokens import Ids
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
-#: Turns whose token counts a task looks ahead over at most.
-AHEAD = 256
 
 _OPEN, _CLOSED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 
@@ -81,7 +80,7 @@ def windows(turns: Iterator[Turn], budget: int = BUDGET, history: int = HISTORY)
     ended = False
     first = True
     while True:
-        while not ended and len(buffer) < AHEAD and sums[-1] <= budget:
+        while not ended and sums[-1] <= budget:
             turn = next(source, None)
             if turn is None:
                 ended = True
@@ -126,6 +125,12 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     have one order; each row is a turn of its own. Rows without conv_id are together the conversation without id. Other columns do not pass.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def tokens():
+        count = Ids(tokenizer).count
+        return lambda roles, texts: [[count(render(r.decode(), t.decode())[0]) for r, t in zip(roles, texts, strict=True)]]
+
+    rows = map_texts(rows, tokens, [long("n_tokens")], ["role", "text"])
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = T.StructType(WINDOW_FIELDS)
 
@@ -133,7 +138,6 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        count = Ids(tokenizer).count
         out: list[list] = [[] for _ in WINDOW_FIELDS]
         held = 0
 
@@ -146,8 +150,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             return batch
 
         for conv, turns in conversations_of(batches):
-            counted = ((role, text, count(render(role, text)[0])) for role, text in turns)
-            for k, (shown, repeated, base) in enumerate(windows(counted, budget, history)):
+            for k, (shown, repeated, base) in enumerate(windows(turns, budget, history)):
                 parts, spans, at, tokens = [], [], 0, 0
                 for j, (role, text, n) in enumerate(shown):
                     piece, begins = render(role, text)
@@ -167,18 +170,18 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     return rows.mapInArrow(run, schema)
 
 
-def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[tuple[str, str]]]]:
-    """Conversations of a sorted stream (conv_id, turn, role, text), each a lazy stream of its turns."""
+def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[Turn]]]:
+    """Conversations of a sorted stream (conv_id, turn, role, text, n_tokens), each a lazy stream of its turns."""
     from itertools import groupby
 
     def flat():
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield from zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                yield from zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)
 
     for conv, group in groupby(flat(), key=lambda r: r[0]):
-        yield conv, ((r[1], r[2]) for r in group)
+        yield conv, (r[1:] for r in group)
 
 
 DIGEST_FIELDS = [long("conv_id"), long("n_turns"), string("turns_sha256"), long("loss_chars"), string("loss_sha256"), long("formatted_chars"), long("n_windows")]
