@@ -1,6 +1,7 @@
 """Telephony audio in columns: G.711 mu-law and A-law by lookup tables, IMA ADPCM by numpy across blocks, PCM out.
 
-The stored form is a RIFF/WAVE file of one channel. Codes are 8-bit samples, so any bytes are a lossless mu-law stream.
+The stored form is a RIFF/WAVE file of one channel. Codes are 8-bit samples, so any bytes are a lossless mu-law or A-law
+stream, and any bytes in whole blocks an IMA one. The blocks of many clips are decoded together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from postern.llm.common import long, map_texts, string
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 RATE = 8000
-#: Samples that are expanded at once; memory does not grow with a clip.
+#: Samples that are expanded at once.
 CHUNK = 1 << 18
 
 
@@ -42,61 +43,81 @@ STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 3
 
 
 def decode_ima(data: bytes, block: int) -> np.ndarray:
-    """PCM of mono IMA ADPCM. All blocks advance together, a nibble at a time; decode_clip() adds a last short block."""
+    """PCM of mono IMA ADPCM. Blocks advance together, a nibble at a time; decode_many() adds last short blocks."""
     n = len(data) // block
     if block < 5 or not n:
         return np.zeros(0, np.int16)
-    rows = np.frombuffer(data, np.uint8, n * block).reshape(n, block)
-    value = rows[:, :2].copy().view("<i2").astype(np.int32).ravel()
-    index = np.minimum(rows[:, 2].astype(np.int32), 88)
-    codes = np.stack([rows[:, 4:] & 15, rows[:, 4:] >> 4], axis=2).reshape(n, -1).astype(np.int32)
-    out = np.empty((n, codes.shape[1] + 1), np.int16)
-    out[:, 0] = value
-    for k in range(codes.shape[1]):
-        code, step = codes[:, k], STEPS[index]
-        move = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
-        value = np.clip(np.where(code & 8, value - move, value + move), -32768, 32767)
-        index = np.clip(index + SHIFTS[code], 0, 88)
-        out[:, k + 1] = value
+    out = np.empty((n, 2 * (block - 4) + 1), np.int16)
+    every = np.frombuffer(data, np.uint8, n * block).reshape(n, block)
+    for at in range(0, n, max(1, CHUNK // block)):
+        rows = every[at : at + max(1, CHUNK // block)]
+        value = rows[:, :2].copy().view("<i2").astype(np.int32).ravel()
+        index = np.minimum(rows[:, 2].astype(np.int32), 88)
+        codes = np.stack([rows[:, 4:] & 15, rows[:, 4:] >> 4], axis=2).reshape(len(rows), -1).T.astype(np.int32)
+        made = np.empty((len(codes) + 1, len(rows)), np.int16)
+        made[0] = value
+        for k, code in enumerate(codes):
+            step = STEPS[index]
+            move = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
+            value = np.clip(np.where(code & 8, value - move, value + move), -32768, 32767)
+            index = np.clip(index + SHIFTS[code], 0, 88)
+            made[k + 1] = value
+        out[at : at + len(rows)] = made.T
     return out.ravel()
 
 
-def decode_clip(data: bytes, block: int) -> np.ndarray:
-    """PCM of a whole IMA ADPCM stream: its whole blocks, then the last short block by itself. ValueError where that holds no header."""
-    if block < 5:
-        raise ValueError(f"IMA block of {block} bytes")
-    tail = data[len(data) // block * block :]
-    whole = decode_ima(data, block)
-    if not tail:
-        return whole
-    if len(tail) < 4:
-        raise ValueError(f"last IMA block of {len(tail)} bytes has no header")
-    last = decode_ima(tail, len(tail)) if len(tail) > 4 else np.frombuffer(tail, "<i2", 1).astype(np.int16)
-    return np.concatenate([whole, last])
+def decode_many(clips: list[tuple[bytes, int]]) -> list[np.ndarray | ValueError]:
+    """PCM of IMA ADPCM streams (data, block): the whole blocks of all clips of one block size together, then each last short block by itself. A ValueError in place of a clip that has a block without its header."""
+    out: list[np.ndarray | ValueError] = [np.zeros(0, np.int16)] * len(clips)
+    by_size: dict[int, list[int]] = {}
+    for k, (data, block) in enumerate(clips):
+        tail = len(data) % block if block >= 5 else 0
+        if block < 5:
+            out[k] = ValueError(f"IMA block of {block} bytes")
+        elif 0 < tail < 4:
+            out[k] = ValueError(f"last IMA block of {tail} bytes has no header")
+        else:
+            by_size.setdefault(block, []).append(k)
+    for block, members in by_size.items():
+        whole = [len(clips[k][0]) // block for k in members]
+        pcm = decode_ima(b"".join(clips[k][0][: n * block] for k, n in zip(members, whole, strict=True)), block)
+        each = 2 * (block - 4) + 1
+        ends = np.cumsum(whole) * each
+        for k, n, end in zip(members, whole, ends.tolist(), strict=True):
+            tail = clips[k][0][n * block :]
+            last = [decode_ima(tail, len(tail)) if len(tail) > 4 else np.frombuffer(tail, "<i2", 1).astype(np.int16)] if tail else []
+            out[k] = np.concatenate([pcm[end - n * each : end], *last])
+    return out
+
+
+#: Fraction bits of a filter tap. Sums of 16-bit samples and such taps are exact in float64, in whatever order they are added.
+TAP_BITS = 14
 
 
 def resample(x: np.ndarray, old: int, new: int, half: int = 16) -> np.ndarray:
-    """Polyphase windowed-sinc resampling of 16-bit PCM."""
+    """Polyphase windowed-sinc resampling of 16-bit PCM: one filter for each phase, run over all its outputs at once."""
     g = gcd(old, new)
     up, down = new // g, old // g
     if up == down or not len(x):
         return x.astype(np.int16)
     wide = half * max(up, down)
     t = np.arange(-wide, wide + 1)
-    taps = np.sinc(t / max(up, down)) * np.hanning(len(t) + 2)[1:-1] * min(1.0, up / down)
+    taps = np.rint((1 << TAP_BITS) * np.sinc(t / max(up, down)) * np.hanning(len(t) + 2)[1:-1] * min(1.0, up / down))
     n = (len(x) * up + down - 1) // down
     out = np.empty(n, np.int16)
     reach = wide // up + 1
-    padded = np.concatenate([np.zeros(reach), x.astype(np.float64), np.zeros(reach + 1)])
-    for lo in range(0, n, CHUNK):
-        at = np.arange(lo, min(n, lo + CHUNK)) * down
-        base, phase = at // up, at % up
-        total = np.zeros(len(at))
-        for j in range(-reach, reach + 1):
-            k = phase - j * up + wide
-            ok = (k >= 0) & (k < len(taps))
-            total += np.where(ok, taps[np.clip(k, 0, len(taps) - 1)], 0) * padded[base + j + reach]
-        out[lo : lo + len(at)] = np.clip(np.rint(total), -32768, 32767)
+    padded = np.concatenate([np.zeros(reach, np.int16), x.astype(np.int16), np.zeros(reach + 1, np.int16)])
+    offsets = np.arange(-reach, reach + 1)
+    for first in range(min(up, n)):  # outputs first, first + up, ... are of one phase
+        base, phase = divmod(first * down, up)
+        k = phase - offsets * up + wide
+        h = np.where((k >= 0) & (k < len(taps)), taps[np.clip(k, 0, len(taps) - 1)], 0)
+        count = len(range(first, n, up))
+        for lo in range(0, count, CHUNK):
+            hi = min(count, lo + CHUNK)
+            part = padded[base + lo * down : base + (hi - 1) * down + len(h)].astype(np.float64)
+            total = np.correlate(part, h, "valid")[::down] if down <= 8 else np.lib.stride_tricks.sliding_window_view(part, len(h))[::down] @ h
+            out[first + lo * up : first + (hi - 1) * up + 1 : up] = np.clip(np.floor((total + (1 << TAP_BITS - 1)) / (1 << TAP_BITS)), -32768, 32767)
     return out
 
 
@@ -128,15 +149,28 @@ def read_wave(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data chunk")
 
 
-def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
-    tag, rate, block, data = read_wave(media)
-    if tag in TABLES:
-        return TABLES[tag][np.frombuffer(data, np.uint8)], rate
-    if tag == IMA:
-        return decode_clip(data, block), rate
-    if tag == PCM and block == 2:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
-    raise ValueError(f"format {tag} is not supported")
+def to_pcm(clips: list[bytes | None]) -> list[tuple[np.ndarray, int] | ValueError | None]:
+    """(PCM, rate) of each RIFF/WAVE clip, or the error that says why it has none."""
+    out: list[tuple[np.ndarray, int] | ValueError | None] = [None] * len(clips)
+    blocks: list[tuple[int, int, bytes, int]] = []
+    for k, c in enumerate(clips):
+        if c is None:
+            continue
+        try:
+            tag, rate, block, data = read_wave(c)
+            if tag in TABLES:
+                out[k] = TABLES[tag][np.frombuffer(data, np.uint8)], rate
+            elif tag == IMA:
+                blocks.append((k, rate, data, block))
+            elif tag == PCM and block == 2:
+                out[k] = np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
+            else:
+                raise ValueError(f"format {tag} is not supported")
+        except ValueError as e:
+            out[k] = e
+    for (k, rate, _, _), pcm in zip(blocks, decode_many([(data, block) for _, _, data, block in blocks]), strict=True):
+        out[k] = pcm if isinstance(pcm, ValueError) else (pcm, rate)
+    return out
 
 
 def expand_audio(df: DataFrame, media: str = "media", rate: int = 16000) -> DataFrame:
@@ -149,16 +183,11 @@ def expand_audio(df: DataFrame, media: str = "media", rate: int = 16000) -> Data
     def make():
         def fn(clips):
             pcm, n, error = [], [], []
-            for c in clips:
-                x, why = None, None
-                if c is not None:
-                    try:
-                        x = resample(*to_pcm(bytes(c)), rate)
-                    except ValueError as e:
-                        why = str(e)
+            for found in to_pcm([None if c is None else bytes(c) for c in clips]):
+                x = resample(*found, rate) if isinstance(found, tuple) else None
                 pcm.append(None if x is None else x.astype("<i2").tobytes())
                 n.append(None if x is None else len(x))
-                error.append(why)
+                error.append(str(found) if isinstance(found, ValueError) else None)
             return [pcm, n, error]
 
         return fn
@@ -166,19 +195,18 @@ def expand_audio(df: DataFrame, media: str = "media", rate: int = 16000) -> Data
     return map_texts(df, make, [T.StructField("pcm", T.BinaryType()), long("n_samples"), string("audio_error")], media, slice_rows=32)
 
 
-def features(codes: bytes, tag: int = MULAW) -> str:
-    """Samples, mean square, zero crossings and peak of a G.711 stream, in exact integers."""
-    table = TABLES[tag]
+def features(pcm: np.ndarray) -> str:
+    """Samples, mean square, zero crossings and peak of PCM, in exact integers."""
     power = crossings = peak = 0
     last = None
-    for at in range(0, len(codes), CHUNK):
-        x = table[np.frombuffer(codes, np.uint8, min(CHUNK, len(codes) - at), at)].astype(np.int64)
+    for at in range(0, len(pcm), CHUNK):
+        x = pcm[at : at + CHUNK].astype(np.int64)
         power += int((x * x).sum())
         peak = max(peak, int(np.abs(x).max(initial=0)))
         sign = x < 0
-        crossings += int((sign[1:] != sign[:-1]).sum()) + int(last is not None and len(x) and bool(sign[0]) != last)
-        last = bool(sign[-1]) if len(x) else last
-    return f"samples={len(codes)};mean_square={power // max(1, len(codes))};crossings={crossings};peak={peak}"
+        crossings += int((sign[1:] != sign[:-1]).sum()) + int(last is not None and bool(sign[0]) != last)
+        last = bool(sign[-1])
+    return f"samples={len(pcm)};mean_square={power // max(1, len(pcm))};crossings={crossings};peak={peak}"
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -186,22 +214,37 @@ def payload_of(text: bytes | None) -> bytes:
     return text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
 
 
+#: Formats that payloads are stored in, and bytes of an IMA block: payloads are whole blocks.
+FORMATS, IMA_BLOCK, OUT_RATE = (MULAW, ALAW, IMA), 64, 16000
+
+
+def store(payload: bytes) -> bytes:
+    """A clip of the payload's bytes, in the format that their checksum chooses."""
+    tag = FORMATS[zlib.crc32(payload) % len(FORMATS)]
+    return write_wave(payload, tag, block=IMA_BLOCK, bits=4) if tag == IMA else write_wave(payload, tag)
+
+
 def store_texts(docs: DataFrame, text: str = "text", with_media: bool = False) -> DataFrame:
-    """Each text's UTF-8 bytes, zero-padded to a positive multiple of 64, stored as a mu-law clip, read back and measured.
+    """Each text's UTF-8 bytes, zero-padded to a positive multiple of 64, stored as a mu-law, A-law or IMA ADPCM clip, read back, decoded and resampled.
 
-    A null text counts as empty. Equal texts give equal values. ``with_media`` adds the clip itself.
+    A null text counts as empty. Equal texts give equal values: the bytes choose the format. ``feature`` tells the format, the
+    decoded samples and the checksum of the PCM at ``OUT_RATE``. ``with_media`` adds the clip (media) and that PCM (pcm).
     """
 
     def make():
         def fn(texts):
             rows = []
-            for t in texts:
-                media = write_wave(payload_of(t), MULAW)
+            clips = [store(payload_of(t)) for t in texts]
+            for t, media, found in zip(texts, clips, to_pcm(clips), strict=True):
                 tag, _, _, back = read_wave(media)
-                rows.append((len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back, tag), *([media] if with_media else [])))
-            return [list(c) for c in zip(*rows, strict=True)] or [[]] * (7 + with_media)
+                pcm, rate = found
+                out = resample(pcm, rate, OUT_RATE).astype("<i2").tobytes()
+                feature = f"format={tag};{features(pcm)};pcm_{OUT_RATE}={zlib.crc32(out):08x}"
+                rows.append((len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, *([media, out] if with_media else [])))
+            return [list(c) for c in zip(*rows, strict=True)] or [[]] * (7 + 2 * with_media)
 
         return fn
 
     fields = [long("n_bytes"), long("payload_bytes"), string("payload_sha256"), long("tail_crc32"), long("media_bytes"), string("media_sha256"), string("feature")]
-    return map_texts(docs, make, fields + [T.StructField("media", T.BinaryType())] * with_media, text, keep=[c for c in docs.columns if c != text], slice_rows=64)
+    more = [T.StructField("media", T.BinaryType()), T.StructField("pcm", T.BinaryType())] if with_media else []
+    return map_texts(docs, make, fields + more, text, keep=[c for c in docs.columns if c != text], slice_rows=64)

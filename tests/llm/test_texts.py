@@ -31,10 +31,9 @@ def test_each_id_lies_in_one_piece(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    rows = texts(120) + [(900, None), (901, ""), (5, "<|endoftext|> ünï 😀"), (5, "<|endoftext|> ünï 😀"), (None, "x")]
+    rows = texts(120) + [(900, None), (901, ""), (5, "<|endoftext|> ünï 😀"), (5, "<|endoftext|> ünï 😀"), (None, "x"), (902, "a<|endoftext|>b"), (903, "<|endoftext|><|endoftext|> <|endoftext"), (904, "\n <|endo<|endoftext|>text|>")]
     pieces = packing.pack_documents(spark.createDataFrame(rows, DOCS), with_ids=True).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True  # control strings in a text are ordinary text
     want = Counter((i, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 0])) for i, t in rows)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -58,6 +57,23 @@ def test_each_id_lies_in_one_piece(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ids_are_those_of_the_json_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    draw = random.Random(11)
+    bits = ["a", " ", end, end[:-1], end[1:], "\n", "é", "😀", "<|", "|>", "endoftext", "12", "'s", "\xad", "  ", "\u3000", "\x00", "日本"]
+    cases = [f"a{end}b", end, end + end, end[:-1], f" {end} ", ""] + ["".join(draw.choice(bits) for _ in range(draw.randrange(40))) for _ in range(2000)]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert Ids().encode(cases[0].encode()).tolist() == [64, 50256, 65]
+    for plain in (False, True):
+        tok.encode_special_tokens = plain
+        ids = Ids(plain=plain)
+        for t in cases:
+            assert ids.encode(t.encode()).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_step_groups_are_balanced(spark):
     pieces = packing.pack_documents(spark.createDataFrame(texts(300, 4), DOCS).coalesce(1)).collect()
     steps = Counter()
@@ -98,6 +114,9 @@ def test_windows_read_back(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in turns).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     ids = Ids()
+    many = spark.createDataFrame([(1, k, "user", "x") for k in range(2000)], frame.schema)
+    most = max(w.n_turns for w in chat.format_windows(many, budget=1 << 20, history=0).collect())
+    assert most == 2000  # the budget alone ends a window
     for w in windows.collect():
         assert w.n_tokens <= 300 or w.over_budget
         assert ids.count(w.formatted) <= w.n_tokens + 2 * w.n_turns
@@ -135,6 +154,29 @@ def test_adpcm_blocks_equal_a_loop():
     assert audio.decode_ima(data.tobytes() + b"short", 64).tolist() == want
 
 
+def test_resampling_equals_a_loop():
+    x = np.random.default_rng(5).integers(-32768, 32768, 90).astype(np.int16)
+    for rate in (16000, 11025, 4000, 6000, 700):
+        up, down = rate // np.gcd(8000, rate), 8000 // np.gcd(8000, rate)
+        wide = 16 * max(up, down)
+        t = np.arange(-wide, wide + 1)
+        taps = np.rint((1 << audio.TAP_BITS) * np.sinc(t / max(up, down)) * np.hanning(len(t) + 2)[1:-1] * min(1.0, up / down)).astype(int)
+        for n in (1, 5, 90):
+            want = []
+            for m in range(-(-n * up // down)):
+                total = sum(int(x[i]) * int(taps[m * down - i * up + wide]) for i in range(n) if 0 <= m * down - i * up + wide < len(taps))
+                want.append(max(-32768, min(32767, (total + (1 << audio.TAP_BITS - 1)) >> audio.TAP_BITS)))
+            assert audio.resample(x[:n], 8000, rate).tolist() == want
+
+
+def test_clips_decoded_together_equal_each_by_itself():
+    draw = np.random.default_rng(6)
+    clips = [(draw.integers(0, 256, n, dtype=np.uint8).tobytes(), block) for n, block in ((0, 64), (64, 64), (640, 64), (100, 36), (147, 36), (65, 64), (10, 3), (128, 64))]
+    for clip, got in zip(clips, audio.decode_many(clips), strict=True):
+        alone = audio.decode_many([clip])[0]
+        assert str(got) == str(alone) if isinstance(got, ValueError) else got.tolist() == alone.tolist()
+
+
 def test_resampling_keeps_a_tone(spark):
     t = np.arange(8000)
     x = np.rint(8000 * np.sin(2 * np.pi * 440 * t / 8000)).astype(np.int16)
@@ -148,8 +190,14 @@ def test_resampling_keeps_a_tone(spark):
 
 
 def test_texts_as_clips(spark):
-    rows = [(1, None), (2, ""), (3, "ü" * 32), (4, "a" * 65), (5, "a" * 65), (6, "x" * 700_000)]
-    for r in audio.store_texts(spark.createDataFrame(rows, DOCS), with_media=True).collect():
+    rows = [(1, None), (2, ""), (3, "ü" * 32), (4, "a" * 65), (5, "a" * 65), (6, "x" * 700_000)] + [(7 + k, f"text {k} " * k) for k in range(30)]
+    out = audio.store_texts(spark.createDataFrame(rows, DOCS), with_media=True)
+    again = audio.expand_audio(out.select("doc_id", "media"), rate=audio.OUT_RATE).collect()
+    stored = {r.doc_id: r for r in out.collect()}
+    assert {r.doc_id: bytes(r.pcm) for r in again} == {i: bytes(r.pcm) for i, r in stored.items()}
+    assert stored[4].feature == stored[5].feature
+    assert {audio.read_wave(bytes(r.media))[0] for r in stored.values()} == set(audio.FORMATS)
+    for r in stored.values():
         b = (dict(rows)[r.doc_id] or "").encode()
         padded = b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
         assert audio.read_wave(bytes(r.media))[3] == padded
