@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postern.limits import Limits
+from postern.shared import cut
 
 VERSION = "postern-1"
 
@@ -33,32 +34,29 @@ def thread_claims(fields: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "message_id", F.coalesce(last("refs"), last("reply")).alias("parent_id"), F.coalesce(last("refs") != last("reply"), F.lit(False)).alias("disagreement"))
 
 
-def thread_roots(claims: DataFrame, rounds: int = 24) -> DataFrame:
-    """(message_id, root_id): pointer jumping along parents, doubling the reach each round; ids that form a cycle keep what they reach. ``claims`` may name parents that are not there."""
-    up = claims.where("message_id is not null").groupBy("message_id").agg(F.min("parent_id").alias("root_id"), F.count("*").alias("n"))
-    up = up.select("message_id", F.coalesce("root_id", "message_id").alias("root_id"))
-    for _ in range(rounds):
-        up = checkpointed(up)
-        to = up.select(F.col("message_id").alias("m"), F.col("root_id").alias("r"))
-        moved = up.join(to, F.col("root_id") == F.col("m"), "left").select("message_id", F.coalesce("r", "root_id").alias("root_id"), F.coalesce(F.col("r") != F.col("root_id"), F.lit(False)).alias("moved"))
-        moved = checkpointed(moved)
-        up = moved.select("message_id", "root_id")
-        if moved.where("moved").isEmpty():
-            break
-    return up
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
+def thread_roots(claims: DataFrame) -> DataFrame:
+    """(message_id, root_id, state): pointer jumping along parents, doubling the reach each round until nothing moves.
 
-            found = tempfile.mkdtemp(prefix="postern-")
-        context.setCheckpointDir(found)
-    return df.checkpoint()
+    ``claims`` may name parents that are not there. An id that several messages claim follows the least parent named, and is
+    ``ambiguous`` if they name several. Ids that lead into a cycle have its least id as root and are ``cyclic``; all others are ``rooted``.
+    """
+    named = claims.where("message_id is not null").groupBy("message_id").agg(F.min("parent_id").alias("parent_id"), F.count_distinct("parent_id").alias("n"))
+    first = named.select("message_id", F.coalesce("parent_id", "message_id").alias("root_id"), F.least("message_id", F.coalesce("parent_id", "message_id")).alias("least_id"), (F.col("n") > 1).alias("several"))
+    up = cut(first.withColumn("moved", F.lit(True)))
+    n, reach = up.count(), 1
+    while True:
+        to = up.select(F.col("message_id").alias("m"), F.col("root_id").alias("r"), F.col("least_id").alias("l"))
+        far = F.coalesce("r", "root_id")
+        up = cut(up.join(to, F.col("root_id") == F.col("m"), "left").select("message_id", far.alias("root_id"), F.least("least_id", F.coalesce("l", "least_id")).alias("least_id"), "several", (far != F.col("root_id")).alias("moved")))
+        reach *= 2
+        if up.where("moved").isEmpty():
+            return up.select("message_id", "root_id", F.when(F.col("several"), "ambiguous").otherwise("rooted").alias("state"))
+        if reach > n:
+            break
+    # what still moves goes round: where it has come to lies in the cycle, and has passed all of it
+    ring = up.select(F.col("message_id").alias("m"), F.col("least_id").alias("l"))
+    ends = up.join(ring, (F.col("root_id") == F.col("m")) & F.col("moved"), "left")
+    return ends.select("message_id", F.coalesce("l", "root_id").alias("root_id"), F.when(F.col("l").isNotNull(), "cyclic").when(F.col("several"), "ambiguous").otherwise("rooted").alias("state"))
 
 
 def same_message(bodies: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:

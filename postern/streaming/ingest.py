@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postern.limits import Limits
 from postern.operators import corpus, parse
+from postern.shared import new_path
+from postern.sources import messages
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='postern-')}"
-    return f"{found}/stream-{uuid.uuid4().hex}"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, limits: Limits | None = None) -> None:
-    """Parse what is new below ``path`` into the Parquet ``store``, then return. A file seen before is not read again, and bytes that the store holds are not parsed again, whatever file they come in."""
+    """Parse what is new below ``path`` into the Parquet ``store``, then return.
+
+    A file seen before is not read again, and bytes that the store holds are not parsed again, whatever file they come in.
+    Each file leaves a row in ``store``/outcomes: parse, hit (held already), not_a_message or file_over_cap. Messages are in ``store``/messages.
+    """
     limits = limits or Limits()
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
-    messages = files.where(F.col("length") <= limits.max_input_bytes).select("path", F.col("content").alias("raw"))
+    kept, outcomes = f"{store}/messages", f"{store}/outcomes"
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(path)
 
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["raw"])
-        try:
-            new = corpus.not_stored(new, spark.read.parquet(store), limits)
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            new = new.withColumn("container_hash", F.sha2("raw", 256)).withColumn("document_key", corpus.document_key(F.sha2("raw", 256), limits))
-        parse.parse_messages(new.drop("container_hash"), limits).write.mode("append").parquet(store)
+        over = F.col("length") > limits.max_input_bytes
+        rows = batch.select("path", F.col("length").alias("size_bytes"), F.when(~over, F.col("content")).alias("raw"))
+        keyed = messages.gated(rows, limits).withColumn("container_hash", F.sha2("raw", 256)).withColumn("document_key", corpus.document_key(F.col("container_hash"), limits))
+        if exists(spark, kept):
+            keyed = keyed.join(spark.read.parquet(kept).select("document_key", F.lit(True).alias("held")), "document_key", "left")
+        else:
+            keyed = keyed.withColumn("held", F.lit(False))
+        keyed = keyed.withColumn("outcome", F.when((F.col("outcome") == "parse") & F.coalesce("held", F.lit(False)), "hit").otherwise(F.col("outcome")))
+        # first, as a batch that is run again would find its own messages held
+        keyed.select("path", "size_bytes", "outcome", "document_key").write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
+        new = keyed.where("outcome = 'parse'").dropDuplicates(["document_key"]).select("path", "document_key", "raw")
+        parse.parse_messages(new).write.mode("append").parquet(kept)
+
+    files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def windows(events: DataFrame, time: str, group: str, size: str, late: str) -> DataFrame:
@@ -50,7 +56,7 @@ def closed_windows(spark: SparkSession, directory: str, file: str, time: str, gr
     """windows() over a file read as a stream, up to the last window that is closed."""
     schema = spark.read.parquet(f"{directory}/{file}").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(directory)
-    home = shared(spark)
+    home = new_path(spark)
     made = windows(events, time, group, size, late)
     made.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(made.schema).parquet(f"{home}/out")

@@ -6,6 +6,7 @@ import pytest
 
 from postern.functions import compound, mapi, rtf
 from postern.operators import outlook, quality
+from postern.limits import Limits
 from postern.streaming import ingest
 
 SAMPLE = bytes.fromhex("2d0000002b0000004c5a4675f1c5c7a703000a007263706731323542320af32068656c090020627705b06c647d0a800fa0")
@@ -90,4 +91,9 @@ def test_streamed_files_are_parsed_once(spark, tmp_path):
             (inbox / name).write_bytes(b"From: a@example.test\r\n\r\n" + (b"hi" if name == "again.eml" else b"other"))
         for _ in range(2):
             ingest.ingest(spark, f"file://{inbox}", store, state)
-        assert spark.read.parquet(store).count() == 1 + bool(names)
+        assert spark.read.parquet(f"{store}/messages").count() == 1 + bool(names)
+    (inbox / "odd.bin").write_bytes(b"no message")
+    (inbox / "big.eml").write_bytes(b"From: a@example.test\r\n\r\n" + b"x" * 300)
+    ingest.ingest(spark, f"file://{inbox}", store, state, Limits(max_input_bytes=200))
+    rows = spark.read.parquet(f"{store}/outcomes").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.outcome) for r in rows) == [("a.eml", "parse"), ("again.eml", "hit"), ("big.eml", "file_over_cap"), ("copy.eml", "parse"), ("new.eml", "parse"), ("odd.bin", "not_a_message")]

@@ -91,3 +91,28 @@ def test_whole_citations_reach_the_end_of_each_body(spark):
         ends[r.conv_id, r.turn] = max(ends.get((r.conv_id, r.turn), 0), r.offset + r.size)
     assert all(r.size is not None for r in rows) and max(ends.values()) > 64
     assert sum(ends.values()) == sum(r.size for r in rows)
+
+
+def test_thread_roots_follow_long_chains_and_name_cycles(spark):
+    chain = [(f"m{k:03d}", f"m{k - 1:03d}" if k else "gone") for k in range(300)]
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("tail2", "tail1"), ("tail1", "r2"), ("self", "self"), ("alone", None), ("two", "a"), ("two", "b"), (None, "a")]
+    claims = spark.createDataFrame(chain + ring, "message_id string, parent_id string")
+    got = {r.message_id: (r.root_id, r.state) for r in corpus.thread_roots(claims).collect()}
+    assert {got[m] for m, _ in chain} == {("gone", "rooted")}
+    assert {got[m] for m in ("r1", "r2", "r3", "tail1", "tail2")} == {("r1", "cyclic")}
+    assert (got["self"], got["alone"], got["two"]) == (("self", "rooted"), ("alone", "rooted"), ("a", "ambiguous"))
+    assert corpus.thread_roots(claims.limit(0)).count() == 0
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from postern import shared
+
+    with shared.scratch(spark) as kept:
+        a, b = shared.cut(spark.range(3)), shared.cut(spark.range(4))
+        kept.append(b)
+    import pytest as p
+
+    assert b.count() == 4
+    with p.raises(Exception):
+        spark.read.schema(a.schema).parquet(f"{shared.folder(spark)}/postern/{a.inputFiles()[0].split('/')[-2]}").collect()
+    shared.forget(b)
