@@ -9,7 +9,6 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -28,35 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='postern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/postern/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what cut() wrote for ``df``; later reads of it fail."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/postern/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without the columns that a result of these names replaces."""
     low = {n.lower() for n in names}
@@ -75,6 +45,27 @@ def unwrap(names: Sequence[str], **columns: str) -> list[Column]:
     return [(F.col(there[c]) if c in there else F.col("row_").getField(c)).alias(c) for c in names]
 
 
+M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``n`` neighbours."""
+    count = max(0, len(h) - n + 1)
+    out = np.full(count, n, np.uint64)
+    for k in range(n):
+        out = mix(out * M1 + h[k : k + count])
+    return out
+
+
 #: Bits of a membership filter: its size is fixed, whatever it holds; where it is full it passes everything, and the exact join that follows decides.
 FILTER_BITS = 1 << 26
 

@@ -4,25 +4,30 @@ Items and documents are lower-cased (A-Z) and cut into words of ASCII letters, d
 The automaton accepts every run of consecutive item words; a document is streamed through it word by word, which gives the
 longest match that ends at each word. Matches of ``window`` words or more, and whole items that are shorter, are hits.
 
-The benchmark is curated and small. Its automaton is broadcast only up to ``shard_words`` words; a larger benchmark is cut
-into shards of that size and the documents make one pass for each, so that no worker ever holds more than one shard.
+Executors build the automaton; it is broadcast only up to about ``shard_words`` words. A larger benchmark is cut into shards of
+that size, which lie in the shared folder and pass the driver one at a time. Documents are then read once, with a filter of
+fixed size over the hashes of all item windows; only those that the filter passes meet the shards, one after another, so no
+worker ever holds more than one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import boolean, cut, long, map_texts, string, unwrap, wrap
+from postern.llm.common import boolean, filter_of, long, map_texts, passes, rolled, string, unwrap, word_hashes, wrap
+from postern.shared import cut
 
 WINDOW = 10
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -46,13 +51,13 @@ class Automaton:
             at = 0
             for x in seq:
                 at = self._extend(at, x)
-        self.items: list[set[str]] = [set() for _ in self.length]
+        self.items: dict[int, set[str]] = {}  # of states that stand for a whole window
         for item, seq in seqs:
             at = 0
             for x in seq:
                 at = self.next[at][x]
                 up = at
-                while up > 0 and item not in self.items[up]:
+                while self.length[up] >= window and item not in self.items.setdefault(up, set()):
                     self.items[up].add(item)
                     up = self.link[up]
             if len(seq) < window:
@@ -137,19 +142,55 @@ class Automaton:
                     up = link[up]
 
 
-def shards_of(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The items as word lists, in shards of at most ``shard_words`` words (or one item). Null ids and texts without words take no part."""
-    shards: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    for row in rows.toLocalIterator():
-        words = words_of(row.t.encode())
-        if shards[-1] and size + len(words) > shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append((row.i, words))
-        size += len(words)
-    return shards
+def pieces_of(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """A long item in pieces of at most ``most`` words that overlap by a window less one word: each window lies in a piece."""
+    most = max(most, 2 * window)
+    out, at = [], 0
+    while len(words) - at > most:
+        out.append(words[at : at + most])
+        at += most - window + 1
+    return [*out, words[at:]]
+
+
+def item_pieces(items: DataFrame, window: int, shard_words: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, n, words) of each piece: its number of words, and the words joined by blanks. Null ids and texts without words take no part."""
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("item is not null and text is not null")
+    piece = T.StructType([long("n"), T.StructField("words", T.BinaryType())])
+
+    def make():
+        return lambda texts: [[[{"n": len(p), "words": b" ".join(p)} for p in pieces_of(words_of(t), window, shard_words) if p] for t in texts]]
+
+    return map_texts(rows, make, [T.StructField("p", T.ArrayType(piece))], keep=["item"]).select("item", F.inline("p"))
+
+
+def window_hashes(words: list[bytes], sizes: Sequence[int]) -> np.ndarray:
+    h = word_hashes(words) if words else np.empty(0, np.uint64)
+    return np.unique(np.concatenate([rolled(h, n) for n in sizes] or [h])).view(np.int64)
+
+
+def build(pieces: DataFrame, window: int, n_shards: int) -> DataFrame:
+    """(shard, automaton) in the shared folder: pieces dealt by hash, one automaton built by a task at a time."""
+    rows = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(n_shards)))
+    dealt = rows.select("shard", "item", "words").repartition(n_shards, "shard").sortWithinPartitions("shard", "item", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def drain() -> pa.RecordBatch:
+            made = pickle.dumps(Automaton(held, window), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([made], pa.binary())], names=["shard", "automaton"])
+
+        for batch in batches:
+            for shard, item, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    if held:
+                        yield drain()
+                    at, held = shard, []
+                held.append((item, words.split()))
+        if held:
+            yield drain()
+
+    return cut(dealt.mapInArrow(run, T.StructType([long("shard"), T.StructField("automaton", T.BinaryType())])))
 
 
 def mark_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", keep: Sequence[str] | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -160,38 +201,59 @@ def mark_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     """
     sc = docs.sparkSession.sparkContext
     fields = [long("n_words"), T.StructField("hit_ranges", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    shards = shards_of(items, shard_words=shard_words)
-    out = docs
-    cols = list(docs.columns if keep is None else keep)
-    cols = [c for c in cols if c.lower() not in {f.name for f in fields}]
-    for k, shard in enumerate(shards):
-        shared = sc.broadcast(shard)
-
-        def make(shared=shared, first=k == 0):
-            automaton = Automaton(shared.value, window)
-
-            def fn(texts, *before):
-                n, ranges, found = [], [], []
-                for j, t in enumerate(texts):
-                    words = words_of(t)
-                    spans, hit = automaton.scan(words) if words else ([], set())
-                    if not first:
-                        old = before[0][j]
-                        spans = union([*spans, *zip(old[::2], old[1::2], strict=True)])
-                        hit = hit | set(before[1][j])
-                    n.append(len(words))
-                    ranges.append([x for s in spans for x in s])
-                    found.append(sorted(hit))
-                return [n, ranges, found]
-
-            return fn
-
-        last = k == len(shards) - 1
-        passed = cols if last else list(dict.fromkeys([*cols, text]))
-        out = map_texts(out, make, fields, [text] if k == 0 else [text, "hit_ranges", "hit_items"], keep=passed)
-        if not last:
-            out = cut(out)
-    return out
+    cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in fields}]
+    pieces = cut(item_pieces(items, window, shard_words))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    n_shards = -(-total // shard_words)
+    if n_shards <= 1:
+        made = [bytes(r.automaton) for r in build(pieces, window, 1).collect()] or [pickle.dumps(Automaton([], window))]  # at most one
+        return map_texts(docs, _scanning(sc.broadcast(made[0]), True), fields, text, keep=cols)
+    # a larger benchmark: one read of the documents chooses those that a window may lie in
+    sizes = [r.n for r in pieces.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most ``window``
+
+    def hashes():
+        return lambda words: [[window_hashes(w.split(), [min(window, len(w.split()))]).tolist() for w in words]]
+
+    packed = filter_of(map_texts(pieces, hashes, [T.StructField("h", T.ArrayType(T.LongType()))], "words", keep=[]).select(F.explode("h").alias("h")), "h")
+
+    def first():
+        def fn(texts):
+            words = [words_of(t) for t in texts]
+            return [[len(w) for w in words], [[] for _ in words], [[] for _ in words], [bool(passes(packed.value, window_hashes(w, sizes)).any()) for w in words]]
+
+        return fn
+
+    seen = cut(map_texts(docs, first, [*fields, boolean("maybe_")], text, keep=list(dict.fromkeys([*cols, text]))))
+    found = seen.where("maybe_").drop("maybe_")
+    for row in build(pieces, window, n_shards).toLocalIterator():
+        shared = sc.broadcast(bytes(row.automaton))
+        found = cut(map_texts(found, _scanning(shared, False), fields, [text, "hit_ranges", "hit_items"], keep=list(dict.fromkeys([*cols, text]))))
+        shared.unpersist()
+    names = [*cols, *[f.name for f in fields]]
+    return found.select(*[f"`{c}`" for c in names]).union(seen.where("not maybe_").select(*[f"`{c}`" for c in names]))
+
+
+def _scanning(shared, alone: bool):
+    def make():
+        automaton = pickle.loads(shared.value)
+
+        def fn(texts, *before):
+            n, ranges, found = [], [], []
+            for j, t in enumerate(texts):
+                words = words_of(t)
+                spans, hit = automaton.scan(words) if words else ([], set())
+                if not alone:
+                    old = before[0][j]
+                    spans = union([*spans, *zip(old[::2], old[1::2], strict=True)])
+                    hit = hit | set(before[1][j])
+                n.append(len(words))
+                ranges.append([x for s in spans for x in s])
+                found.append(sorted(hit))
+            return [n, ranges, found]
+
+        return fn
+
+    return make
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, string, unwrap, wrap
+from postern.llm.common import filter_of, flagged, long, map_texts, passes, string, unwrap, wrap
+from postern.shared import cut
 
 #: A chunk ends where the rolling hash is 0 modulo this; words of a line that is a passage by itself.
 MODULUS, LONG = 3, 50

@@ -24,14 +24,14 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, flagged, long, map_texts, passes, unwrap, wrap
+from postern.llm.common import M1, filter_of, flagged, long, map_texts, mix, passes, rolled, unwrap, word_hashes, wrap
+from postern.shared import cut
 
 #: Words of a shingle and similarity in percent where no contract says otherwise.
 WORDS, PERCENT = 5, 80
@@ -46,7 +46,6 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(20240229)
 _A = _DRAW.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 1 << 63, COORDS, dtype=np.uint64)
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def reach_of(percent: int, depth: int) -> float:
@@ -66,22 +65,12 @@ def slack_of(percent: int) -> int:
     return math.floor(COORDS * q + 4.3 * math.sqrt(COORDS * q * (1 - q)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    return x ^ (x >> np.uint64(29))
-
-
 def shingles_of(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``words``-word shingles; with fewer words the whole sequence is one."""
     found = text.translate(_LOWER).split() if text else []
     if not found:
         return np.empty(0, np.uint64)
-    h = pd.util.hash_array(np.array(found, dtype=object), categorize=False)
-    n = min(words, len(found))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out * _M1 + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    return np.unique(rolled(word_hashes(found), min(words, len(found))))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -89,7 +78,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 256):
         np.minimum(least, (shingles[at : at + 256, None] * _A + _B).min(axis=0), out=least)
-    return _mix(least + _M1)
+    return mix(least + M1)
 
 
 B = ("b1", "b2", "b3", "b4")

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.llm.common import cut, filter_of, long, map_texts, passes, string, unwrap, wrap
+from postern.llm.common import filter_of, long, map_texts, passes, string, unwrap, wrap
+from postern.shared import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Rows of a pair, P(e | t), bits.
