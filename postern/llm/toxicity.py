@@ -2,10 +2,10 @@
 
 Grades are 0 (clean), 1 (toxic) and 2 (toxic and of low quality). P(grade > k) = sigmoid(w x - t_k) with one weight vector
 and ordered thresholds; the score is the expected severity, the sum over k. Features are words and word beginnings with enough support and a
-significant link to the grade, so that chance words of long texts carry no weight.
+significant link to the grade, so that chance words of long texts carry no weight; the ``FEATURES`` strongest are taken.
 
-The fit takes at most ``max_rows`` labelled documents (those of least hash); word counts of that sample are gathered by
-executors, the model is a few hundred words.
+The fit takes about ``max_rows`` labelled documents (those of least hash; twice as many at most), one row of each id; word
+counts of that sample are gathered by executors, the model is a few hundred words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from postern.llm.common import boolean, double, long, map_texts
 from postern.llm.decontaminate import words_of
 from postern.llm.neardup import shingles_of
+from postern.shared import cut
 
 #: Labelled documents of a fit, least documents of a feature, least chi-square, least share of toxic texts among a feature's, most features.
 MAX_ROWS, SUPPORT, CHI, SHARE, FEATURES = 12_000, 8, 32.0, 0.97, 512
@@ -118,9 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     n = marks.count()
     if not n:
         return Model([], np.zeros(0), np.array([30.0]))
-    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, max_rows / n) * float(1 << 30)).limit(2 * max_rows)
-    # at most 2 * max_rows ids and grades: a bounded broadcast
-    sample = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(drawn), "doc_id")
+    ranked = marks.withColumn("rank", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("rank") < min(1.0, max_rows / n) * float(1 << 30))
+    drawn = ranked.orderBy("rank", "doc_id").limit(2 * max_rows).drop("rank")
+    # at most 2 * max_rows ids and grades: a bounded broadcast; of a repeated id the least text
+    sample = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def make():
         def fn(texts):
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         return fn
 
     # near copies of a text mostly share their least shingle, and count once: a word needs texts of its own
-    bags = map_texts(sample, make, [T.StructField("bag", T.ArrayType(T.BinaryType())), long("least")], keep=["doc_id", "grade"])
+    bags = cut(map_texts(sample, make, [T.StructField("bag", T.ArrayType(T.BinaryType())), long("least")], keep=["grade"]))
     bad = F.when(F.col("grade") > 0, F.col("least"))
     good = F.when(F.col("grade") == 0, F.col("least"))
     totals = bags.agg(F.count_distinct(bad).alias("a"), F.count_distinct(good).alias("b")).first()
@@ -147,10 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     at = {w: k for k, w in enumerate(words)}
 
     def known():
-        keys = at.keys()
-        return lambda texts: [[sorted(at[w] for w in keys & features_of(t)) for t in texts]]
+        return lambda given: [[sorted(at[w] for w in map(bytes, bag) if w in at) for bag in given]]
 
-    rows = map_texts(sample, known, [T.StructField("at", T.ArrayType(T.LongType()))], keep=["doc_id", "grade"]).collect()
+    rows = map_texts(bags, known, [T.StructField("at", T.ArrayType(T.LongType()))], "bag", keep=["grade"]).collect()
     return fit(sorted((r.grade, r.at) for r in rows), words)
 
 
