@@ -366,6 +366,27 @@ def test_single_labels_and_paths_with_case(spark):
     assert [r.entry for r in out] == ["zip", "zip", "host.example/Ads", None, None, None]
 
 
+def test_list_against_brute_force(spark):
+    from urllib.parse import urlsplit
+
+    draw = random.Random(13)
+    labels, parts = ["a", "b", "c"], ["x", "y", "Z"]
+    host = lambda: ".".join(draw.choice(labels) for _ in range(draw.randrange(1, 4)))
+    path = lambda: "".join(draw.choice(["/", "//"]) + draw.choice(parts) for _ in range(draw.randrange(0, 5)))
+    events = [(host() + draw.choice(["", "/", path()]), draw.choice(["add", "add", "remove"]), date(2024, 1, draw.randrange(1, 20))) for _ in range(150)]
+    rows = [(k, f"http://{host()}{path()}{draw.choice(['', '/', '?q=/x', '#/y'])}", date(2024, 1, draw.randrange(1, 25))) for k in range(400)]
+    norm = lambda p: p.partition("/")[0].lower() + ("/" + "/".join(x for x in p.partition("/")[2].split("/") if x) if "/" in p else "")
+    log = defaultdict(set)
+    for p, what, at in events:
+        log[norm(p)].add((at, what))
+    out = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, fetched_on date"), spark.createDataFrame(events, "pattern string, action string, at date")).collect()}
+    for k, u, day in rows:
+        name, segs = urlsplit(u).hostname, [x for x in urlsplit(u).path.split("/") if x]
+        asked = {".".join(name.split(".")[i:]) for i in range(name.count(".") + 1)} | {f"{name}/" + "/".join(segs[:i]) for i in range(len(segs) + 1)}
+        want = sorted(p for p in asked if (past := sorted(e for e in log[p] if e[0] <= day)) and past[-1][1] == "add")
+        assert (out[k].n_entries, out[k].entry) == (len(want), want[0] if want else None), (u, day)
+
+
 # -- registered queries ----------------------------------------------------------------------------
 
 
