@@ -5,10 +5,12 @@ is a protected entity. Words may reveal it: over the whole corpus, n(t, e) rows
 row, n(t) rows hold t, n(e) rows hold e. A term discloses e when n(t, e) is at least ``SUPPORT``, P(e | t) at least
 ``SHARE``, more than P(e), and n(t) times the divergence of P(e | t) from P(e) at least ``BITS`` and the logarithm of the
 number of pairs tested: chance gives any such pair with about 2^-BITS. A frequent entity reaches that by terms of more rows.
-Every occurrence of a disclosing term, in all rows, is a span of kind ``term``.
+Every occurrence of a disclosing term, in all rows, is a span of kind ``term``. In the clean text entities are replaced by their
+kind and disclosing terms are generalised to ``[TERM]``.
 
-Counting is partial within tasks, then by key. Terms are paired with entities of ``SUPPORT`` rows only, and
-only terms rare enough to reach ``SHARE`` are, by bitmaps of fixed size; the exact joins follow. Term counts are shuffled once.
+Rows of entities and terms are counted in one read, within tasks first, then by key. Terms are paired with entities of
+``SUPPORT`` rows only, and only terms rare enough to reach ``SHARE`` are, by bitmaps of fixed size; the exact joins follow.
+The disclosing terms go to the workers as at most ``TOLD`` numbers at a time: one more read of the texts for each such lot.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +31,11 @@ from postern.llm.common import filter_of, long, map_texts, passes, string, unwra
 from postern.shared import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
+TERM_KIND = 4
 #: Rows of a pair, P(e | t), bits.
 SUPPORT, SHARE, BITS = 4, 0.8, 6.0
+#: Disclosing terms that a worker holds at once.
+TOLD = 1 << 20
 #: Rows of an entity up to which it is of a level.
 LEVELS = (16, 256, 4096)
 
@@ -98,21 +105,33 @@ def entity_hash(kind: int, value: str) -> int:
 
 
 class Terms:
-    """Hashes of words, if they pass a filter (None passes all), else 0. Known words are kept; a full store is emptied."""
+    """Hashes of words, if they pass a test (None passes all), else 0. Known words are kept; a full store is emptied."""
 
-    def __init__(self, packed: np.ndarray | None = None):
-        self.packed, self.known = packed, {}
+    def __init__(self, test: Callable[[list[int]], Iterable[bool]] | None = None):
+        self.test, self.known = test, {}
 
     def of(self, words: set[str]) -> dict[str, int]:
         if len(self.known) > 300_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         h = [term_hash(w) for w in new]
-        ok = [True] * len(h) if self.packed is None else passes(self.packed, h)
+        ok = [True] * len(h) if self.test is None else self.test(h)
         self.known.update(zip(new, (x if good else 0 for x, good in zip(h, ok, strict=True)), strict=True))
         return {w: self.known[w] for w in words if self.known[w]}
 
 
+def member(told: np.ndarray) -> Callable[[list[int]], Iterable[bool]]:
+    """Whether hashes are among those of a sorted array."""
+
+    def test(hashes: list[int]) -> Iterable[bool]:
+        if not len(told) or not hashes:
+            return [False] * len(hashes)
+        h = np.asarray(hashes, np.int64)
+        return told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h
+
+    return test
+
+
 def words_of(text: str, spans: list[tuple]) -> list[tuple[int, int]]:
     """Words of at least four letters that meet no base span: (start, end)."""
     out, k = [], 0
@@ -131,27 +150,6 @@ def words_of(text: str, spans: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-SPAN = T.StructType([long("s"), long("k"), long("f")])
-BASE = [*[long(f"n_{k}") for k in KINDS[:4]], string("base_sha256"), T.StructField("base", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.LongType()))]
-
-
-def find_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans and the entities they hold, row by row. A null text counts as empty."""
-
-    def make():
-        def fn(texts):
-            rows = []
-            for t in texts:
-                spans = base_spans(t.decode()) if t else []
-                counts = [sum(k == kind for _, k, _, _ in spans) for kind in range(4)]
-                rows.append((*counts, hashlib.sha256(joined(spans).encode()).hexdigest(), [{"s": a, "k": k, "f": b} for a, k, b, _ in spans], sorted({entity_hash(k, v) for _, k, _, v in spans})))
-            return [list(c) for c in zip(*rows, strict=True)] or [[]] * len(BASE)
-
-        return fn
-
-    return map_texts(docs, make, BASE, text, keep=keep)
-
-
 def vocabulary(text: str) -> set[str]:
     return {w.lower() for w in set(_WORDS.findall(text))}
 
@@ -161,47 +159,58 @@ def located(text: str, spans: list[tuple]) -> list[tuple[str, int, int]]:
     return [(text[s:f].lower(), s, f) for s, f in words_of(text, spans)]
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """(t, n_t): rows of the corpus that hold each term, counted within tasks first."""
+ENTITY, TERM, ROWS = 0, 1, 2
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) in the shared folder: rows that hold each entity and each term, of ``SUPPORT`` rows at least, and all rows."""
 
     def make():
         terms, held = Terms(), {}
 
         def fn(texts):
+            def add(kind, key):
+                held[kind, key] = held.get((kind, key), 0) + 1
+
             for t in texts:
-                for x in terms.of(vocabulary(t.decode()) if t else set()).values():
-                    held[x] = held.get(x, 0) + 1
+                add(ROWS, 0)
+                text = t.decode() if t else ""
+                for e in {entity_hash(k, v) for _, k, _, v in base_spans(text)}:
+                    add(ENTITY, e)
+                for x in terms.of(vocabulary(text)).values():
+                    add(TERM, x)
             out = [[] for _ in texts]
             if out:  # the counts so far leave with the slice's first row
-                out[0] = [{"t": t, "k": k} for t, k in held.items()]
+                out[0] = [{"kind": kind, "key": key, "k": k} for (kind, key), k in held.items()]
                 held.clear()
             return [out]
 
         return fn
 
-    kind = T.StructType([long("t"), long("k")])
-    counted = map_texts(docs, make, [T.StructField("c", T.ArrayType(kind))], keep=[], slice_rows=8192)
-    return counted.select(F.inline("c")).groupBy("t").agg(F.sum("k").alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    kind = T.StructType([long("kind"), long("key"), long("k")])
+    rows = map_texts(docs, make, [T.StructField("c", T.ArrayType(kind))], keep=[], slice_rows=8192)
+    return cut(rows.select(F.inline("c")).groupBy("kind", "key").agg(F.sum("k").alias("n")).where((F.col("n") >= SUPPORT) | (F.col("kind") == ROWS)))
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(e, t): terms that disclose an entity, by counts over whole rows of all the corpus. ``found``: entities of find_base().
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(e, t): terms that disclose an entity, by counts over whole rows of all the corpus.
 
     P(e | t) of ``SHARE`` needs n(t) <= n(e) / SHARE. So entities of each level meet only terms of at most its bound; both
     filters may pass more, never less.
     """
-    n = max(found.count(), 1)
-    n_e = cut(found.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    counts = counted(docs)
+    n = max(counts.where(F.col("kind") == ROWS).agg(F.sum("n")).first()[0] or 0, 1)
+    n_e = counts.where(F.col("kind") == ENTITY).select(F.col("key").alias("e"), F.col("n").alias("n_e"))
+    n_t = counts.where(F.col("kind") == TERM).select(F.col("key").alias("t"), F.col("n").alias("n_t"))
     if n_e.isEmpty():
-        return found.sparkSession.createDataFrame([], T.StructType([long("e"), long("t")]))
-    n_t = cut(term_rows(docs))
+        return docs.sparkSession.createDataFrame([], T.StructType([long("e"), long("t")]))
     levels = []
     for low, high in zip((0, *LEVELS), (*LEVELS, None), strict=True):
         of_level = n_e.where(F.col("n_e") > low) if high is None else n_e.where((F.col("n_e") > low) & (F.col("n_e") <= high))
         levels.append((filter_of(of_level, "e"), filter_of(n_t if high is None else n_t.where(F.col("n_t") * SHARE <= high), "t")))
 
     def make():
-        terms = [Terms(t.value) for _, t in levels]
+        terms = [Terms(partial(passes, t.value)) for _, t in levels]
 
         def fn(texts):
             out = [[] for _ in texts]
@@ -229,48 +238,61 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.where((share >= SHARE) & (share > p) & (bits >= BITS + math.log2(max(pairs.count(), 1)))).select("e", "t")
 
 
-def key_of(text: str) -> Column:
-    """128 bits of a text."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+SPAN = T.StructType([long("s"), long("k"), long("f")])
+SPANS = T.StructField("span_list", T.ArrayType(SPAN))
+REPORT = [*[long(f"n_{k}") for k in KINDS[:4]], string("base_sha256"), string("spans"), SPANS]
 
 
-def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """(key, t, s, f): every occurrence, in all texts, of the terms ``told``."""
-    packed = filter_of(told, "t")
+def marked(docs: DataFrame, told: np.ndarray, last: bool, digest: bool, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the occurrences of the terms ``told`` added to span_list; with ``last``, the whole report."""
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+    fields = [*REPORT, string("clean_sha256" if digest else "clean_text")] if last else [SPANS]
+    more = "span_list" in docs.columns
 
     def make():
-        terms = Terms(packed.value)
+        terms = Terms(member(shared.value))
 
-        def fn(texts):
-            out = []
-            for t in texts:
-                text = t.decode() if t else ""
-                h = terms.of(vocabulary(text))
-                out.append([{"t": h[w], "s": s, "f": f} for w, s, f in located(text, base_spans(text)) if w in h] if h else [])
-            return [out]
+        def fn(texts, *before):
+            rows = []
+            for j, t in enumerate(texts):
+                body = t.decode() if t else ""
+                base = base_spans(body)
+                h = terms.of(vocabulary(body)) if body else {}
+                spans = [(s, TERM_KIND, f) for w, s, f in located(body, base) if w in h] if h else []
+                if more:
+                    spans += [(x["s"], x["k"], x["f"]) for x in before[0][j]]
+                if not last:
+                    rows.append(([{"s": s, "k": k, "f": f} for s, k, f in spans],))
+                    continue
+                every = sorted([*[x[:3] for x in base], *spans])
+                clean = None if t is None else redact(body, every)
+                counts = [sum(k == kind for _, k, _, _ in base) for kind in range(4)]
+                clean = clean if clean is None or not digest else hashlib.sha256(clean.encode()).hexdigest()
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), [{"s": s, "k": k, "f": f} for s, k, f in every], clean))
+            return [list(c) for c in zip(*rows, strict=True)] or [[]] * len(fields)
 
         return fn
 
-    kind = T.StructType([long("t"), long("s"), long("f")])
-    made = map_texts(docs.select("text", key_of("text").alias("key")), make, [T.StructField("ts", T.ArrayType(kind))], keep=["key"])
-    return made.select("key", F.inline("ts")).join(told, "t")
+    return map_texts(docs, make, fields, [text, "span_list"] if more else text, keep=keep)
 
 
-def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all but those replaced) with n_email, n_ip, n_card, n_phone, base_sha256, spans and span_list.
+def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, digest: bool = False, lot: int = TOLD) -> DataFrame:
+    """``keep`` columns (default: all but those replaced) with n_email, n_ip, n_card, n_phone, base_sha256, spans, span_list and clean_text.
 
-    Spans are code-point offsets, end exclusive. A null text counts as empty and has none. Repeated rows count as rows of the corpus and get equal spans.
+    Spans are code-point offsets, end exclusive. A null text counts as empty and has none; its clean text is null. Repeated
+    rows count as rows of the corpus and get equal spans. With ``digest``, clean_sha256 takes the place of clean_text.
     """
-    made = {*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list"}
+    made = {*[f.name for f in REPORT], "clean_sha256" if digest else "clean_text"}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
-    docs = wrap(docs, names, text=text)
-    found = cut(find_base(docs, keep=["row_", "text"]).withColumn("key", key_of("text")).drop("text"))
-    told = cut(disclosing(found, docs).select("t").distinct())
-    terms = occurrences(docs, told).groupBy("key").agg(F.collect_set(F.struct("s", F.lit(4).cast("long").alias("k"), "f")).alias("terms"))
-    every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<s:bigint,k:bigint,f:bigint>>"))))
-    names_of = F.array(*[F.lit(k) for k in KINDS])
-    shown = F.array_join(F.transform("span_list", lambda x: F.concat_ws(":", F.element_at(names_of, (x.k + 1).cast("int")), x.s.cast("string"), x.f.cast("string"))), ",")
-    return found.join(terms, "key", "left").withColumn("span_list", every).withColumn("spans", shown).select(*unwrap(names), *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "span_list")
+    rows = wrap(docs, names, text=text)
+    told = cut(disclosing(rows.select("text")).select("t").distinct())
+    lots = max(1, -(-told.count() // lot))
+    for k in range(lots):
+        some = told.where(F.pmod(F.xxhash64("t"), F.lit(lots)) == k).toPandas()["t"]  # about ``lot`` numbers
+        last = k == lots - 1
+        rows = marked(rows, np.sort(some.to_numpy(np.int64)), last, digest, keep=["row_"] if last else ["row_", "text"])
+        rows = rows if last else cut(rows)
+    return rows.select(*unwrap(names), *[f.name for f in REPORT], "clean_sha256" if digest else "clean_text")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -46,7 +46,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("span_list")
+    return pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], digest=True).drop("span_list")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

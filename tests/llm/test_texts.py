@@ -249,6 +249,10 @@ def test_disclosing_terms_are_found_and_redacted(spark):
     assert f"term:{lo}:{lo + 10}" in out[0].spans and "email:" in out[0].spans
     assert not re.search(r"term:%d:" % text.index("please"), out[0].spans)
     assert out[150].spans == "" and out[2000].n_email == 0
+    assert out[0].clean_text.startswith("please ask [TERM] at [EMAIL] about item ") and out[150].clean_text == dict(rows)[150]
+    assert out[2000].clean_text is None and out[2001].clean_text == ""
+    lots = {r.doc_id: (r.spans, r.clean_text) for r in pii.sanitise(spark.createDataFrame(rows, DOCS), lot=2).collect()}
+    assert lots == {i: (r.spans, r.clean_text) for i, r in out.items()}
     assert pii.redact(text, [(s.s, s.k, s.f) for s in out[0].span_list]).startswith("please ask [TERM] at [EMAIL]")
     want = {i: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(t or "")) for i, t in rows}
     assert all(out[i].base_sha256 == hashlib.sha256(w.encode()).hexdigest() for i, w in want.items())
