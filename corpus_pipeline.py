@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postern.llm import decontaminate, linededup, neardup, packing, toxicity
 from postern.llm.common import table
-from postern.shared import cut
+from postern.shared import cut, forget, scratch
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -72,8 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again. What a stage wrote besides goes with its end, its result with that of the next."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
