@@ -51,3 +51,15 @@ def test_unlike_texts_with_null_or_equal_ids_all_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], table(spark, DATA, "documents").schema)
     out = corpus_pipeline.dedup_documents(spark, docs, DATA).collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))], key=repr)
+
+
+def test_run_leaves_one_table_behind(spark):
+    from pathlib import Path
+
+    from postern import shared
+
+    home = Path(shared.folder(spark).removeprefix("file://")) / "postern"
+    there = set(home.iterdir()) if home.exists() else set()
+    out = corpus_pipeline.run(spark, DATA)
+    assert len(set(home.iterdir()) - there) == 1
+    assert out.count() > 0

@@ -314,6 +314,58 @@ def test_landmarks_keep_all_their_ngrams():
     assert len(wide.known) > 60_000 and wide.known.max() == (1 << 24) + (1 << 16) + 255
 
 
+def test_kernel_ridge_equals_the_dual_by_brute_force():
+    draw = random.Random(21)
+    vocab = {"a": ["alpha", "beta", "gamma"], "b": ["delta", "beta", "zeta"], "c": ["xi", "omega", "gamma"]}
+    rows = [(lang, " ".join(draw.choice(w) for _ in range(6)).encode()) for lang, w in vocab.items() for _ in range(8)]
+    model = langid.fit(rows, landmarks=8)  # every text is a landmark: the kernel is exact up to its rank
+    sets = [{bytes(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)} for _, t in rows]
+    k = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    gram = np.array([[k(x, y) for y in sets] for x in sets])
+    langs = sorted(vocab)
+    target = np.array([[1.0 if lang == name else -1.0 for name in langs] for lang, _ in rows])
+    centre = np.eye(len(rows)) - 1 / len(rows)
+    values, vectors = np.linalg.eigh(gram)
+    rank = int((values > 1e-8 * values.max()).sum())
+    alpha = np.linalg.solve(centre @ gram @ centre + langid.RIDGE * len(rows) * np.eye(len(rows)) / rank, centre @ target)
+    new = [b"alpha delta beta", b"xi gamma omega gamma", rows[3][1]]
+    known = set().union(*sets)
+    presence = langid.Presence(model.known)
+    for t in new:
+        x = {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} & known
+        near = np.array([k(x, s) for s in sets])
+        want = target.mean(axis=0) + (near - gram.mean(axis=0)) @ centre @ alpha
+        row = presence.rows(langid.segments_of(t))
+        got = (row @ model.weights) / np.sqrt(row.sum()) + model.bias
+        assert np.abs(got[0] - want).max() < 2e-3
+        assert model.scorer()([t])[0] == [langs[int(want.argmax())]]
+
+
+def test_severity_is_the_likeliest_ordinal_model():
+    draw = np.random.default_rng(9)
+    rows = [(int(draw.integers(0, 3)), [k for k in range(3) if draw.random() < 0.5]) for _ in range(200)]
+    l2 = 1e-2
+    model = toxicity.fit(rows, [b"p", b"q", b"r"], l2=l2, steps=3000)
+
+    def loss(w, cuts):
+        total = 0.0
+        for grade, at in rows:
+            z = sum(w[k] for k in at)
+            above = [1.0, *(1 / (1 + np.exp(-(z - c))) for c in cuts), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(rows) + l2 / 2 * float(np.dot(w, w))
+
+    best = loss(model.weights, model.thresholds)
+    for k in range(5):  # no step in any direction lowers the loss
+        for step in (-0.02, 0.02):
+            w, cuts = model.weights.copy(), model.thresholds.copy()
+            (w if k < 3 else cuts)[k % 3 if k < 3 else k - 3] += step
+            assert loss(w, cuts) > best
+    severity = model.scorer()([b"p r"])[0][0]
+    z = model.weights[0] + model.weights[2]
+    assert abs(severity - sum(1 / (1 + np.exp(-(z - c))) for c in model.thresholds)) < 1e-9
+
+
 def test_toxicity_on_labels(spark):
     docs, labels = (spark.read.parquet(f"{SAMPLE}/{t}.parquet") for t in ("documents", "labels"))
     even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
@@ -324,6 +376,10 @@ def test_toxicity_on_labels(spark):
     assert (np.diff(model.thresholds) > 0).all()
     odd = spark.createDataFrame([(1, None), (2, "")], DOCS)
     assert not any(x.rejected for x in toxicity.score(odd, model).collect())
+    # repeated rows of labelled ids neither multiply the sample nor change the model
+    small = docs.join(labels.where(even).select("doc_id"), "doc_id", "left_semi")
+    again = toxicity.train(docs.union(small).union(small), labels.where(even))
+    assert again.words == model.words and np.allclose(again.weights, model.weights)
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs, none).where("rejected").count() == 0
 
