@@ -100,7 +100,8 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     at = map_texts(rows, pieces, [T.StructField("p", T.ArrayType(piece))], keep=["doc_id", "text_hash"], slice_rows=64).select("doc_id", "text_hash", F.inline("p"))
     found = cut(at.join(often, "h", "left_semi"))
     first = F.min(F.struct("doc_id", "line", "text_hash")).alias("first")
-    kept = found.groupBy("h", "chunk").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("same_h"), F.col("chunk").alias("same"), "first")
+    # written, so that the join deals its rows by itself and adaptive execution can split a hot chunk
+    kept = cut(found.groupBy("h", "chunk").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("same_h"), F.col("chunk").alias("same"), "first"))
     gone = found.join(kept, (F.col("h") == F.col("same_h")) & (F.col("chunk") == F.col("same"))).where(~F.struct("doc_id", "line", "text_hash").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -198,7 +199,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     found = cut(map_texts(rows, pieces, [T.StructField("p", T.ArrayType(piece))], keep=["doc_id", "text_hash"], slice_rows=64).select("doc_id", "text_hash", F.inline("p")))
     place = F.struct("doc_id", "lo", "text_hash")
-    again = found.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("g").alias("same_g"), F.col("h").alias("same_h"), "first")
+    again = cut(found.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("g").alias("same_g"), F.col("h").alias("same_h"), "first"))
     marks = found.join(again, (F.col("g") == F.col("same_g")) & (F.col("h") == F.col("same_h")))
     marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", place.eqNullSafe(F.col("first")).alias("stays"))).alias("marks"))
     marks = cut(marks.where(F.exists("marks", lambda m: ~m["stays"])))
