@@ -280,7 +280,9 @@ def mixed(nodes: DataFrame) -> DataFrame:
     """Nodes (key, root, class) of several groups, with ``main``, the largest, ``all``, their classes, and ``outside``, how many of them are not of it."""
     sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"))
     heads = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    return cut(nodes.join(heads.select("key", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outside")), "key"))
+    # written, so that the join deals its rows by itself and adaptive execution can split a hot node
+    small = cut(heads.select("key", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outside")))
+    return cut(nodes.join(small, "key"))
 
 
 class Guests:
