@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,19 +107,20 @@ def entity_hash(kind: int, value: str) -> int:
 
 
 class Terms:
-    """Hashes of words, if they pass a test (None passes all), else 0. Known words are kept; a full store is emptied."""
+    """Hashes of the words that pass a test. Words met before are not hashed again; a full store is emptied."""
 
-    def __init__(self, test: Callable[[list[int]], Iterable[bool]] | None = None):
-        self.test, self.known = test, {}
+    def __init__(self, test: Callable[[list[int]], Iterable[bool]]):
+        self.test, self.met, self.good = test, set(), {}
 
     def of(self, words: set[str]) -> dict[str, int]:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        h = [term_hash(w) for w in new]
-        ok = [True] * len(h) if self.test is None else self.test(h)
-        self.known.update(zip(new, (x if good else 0 for x, good in zip(h, ok, strict=True)), strict=True))
-        return {w: self.known[w] for w in words if self.known[w]}
+        if len(self.met) > 300_000:
+            self.met.clear()
+            self.good.clear()
+        if new := list(words - self.met):
+            h = [term_hash(w) for w in new]
+            self.good.update((w, x) for w, x, ok in zip(new, h, self.test(h), strict=True) if ok)
+            self.met.update(new)
+        return {w: self.good[w] for w in words & self.good.keys()}
 
 
 def member(told: np.ndarray) -> Callable[[list[int]], Iterable[bool]]:
@@ -160,30 +163,27 @@ def located(text: str, spans: list[tuple]) -> list[tuple[str, int, int]]:
 
 
 ENTITY, TERM, ROWS = 0, 1, 2
+ARROW_COUNT = [pa.field(n, pa.int64()) for n in ("kind", "key", "k")]
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(kind, key, n) in the shared folder: rows that hold each entity and each term, of ``SUPPORT`` rows at least, and all rows."""
 
     def make():
-        terms, held = Terms(), {}
-
         def fn(texts):
-            def add(kind, key):
-                held[kind, key] = held.get((kind, key), 0) + 1
-
+            held = [Counter(), Counter(), Counter({0: len(texts)})]
+            words = Counter()
             for t in texts:
-                add(ROWS, 0)
-                text = t.decode() if t else ""
-                for e in {entity_hash(k, v) for _, k, _, v in base_spans(text)}:
-                    add(ENTITY, e)
-                for x in terms.of(vocabulary(text)).values():
-                    add(TERM, x)
-            out = [[] for _ in texts]
-            if out:  # the counts so far leave with the slice's first row
-                out[0] = [{"kind": kind, "key": key, "k": k} for (kind, key), k in held.items()]
-                held.clear()
-            return [out]
+                if t:
+                    text = t.decode()
+                    held[ENTITY].update({entity_hash(k, v) for _, k, _, v in base_spans(text)})
+                    words.update(vocabulary(text))
+            for w, k in words.items():
+                held[TERM][term_hash(w)] += k
+            columns = [np.repeat(np.arange(3), [len(some) for some in held]), *(np.fromiter((x for some in held for x in pick(some)), np.int64) for pick in (Counter.keys, Counter.values))]
+            # the slice's counts leave with its first row
+            ends = [0, *[len(columns[0])] * len(texts)]
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=ARROW_COUNT))]
 
         return fn
 
