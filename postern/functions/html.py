@@ -140,6 +140,44 @@ def dom_rule(e: Element) -> str | None:
     return {"divRplyFwdMsg": DOM_RULES[2], "appendonsend": DOM_RULES[3]}.get(name) or next((r for c, r in (("moz-cite-prefix", DOM_RULES[4]), ("moz-forward-container", DOM_RULES[5])) if c in classes), None)
 
 
+_PLAIN_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
+def marked_runs(text: str) -> list[tuple[int, int]]:
+    """Spans of the runs of lines that begin with ``>``; a run that reaches the last line takes in its end of line."""
+    out: list[tuple[int, int]] = []
+    before = -1
+    for m in _PLAIN_LINE.finditer(text):
+        if m[0].startswith(">"):
+            end = m.end() if m.end() == len(text) else m.start() + len(m[0].rstrip("\r\n"))
+            out.append((out.pop()[0] if before == m.start() else m.start(), end))
+            before = m.end()
+    return out
+
+
+VENDORS, REPLY = ("gmail_", "moz-", "yahoo_"), "RplyFwdMsg"
+
+
+def vendor_gap(tree: Tree) -> bool:
+    """Whether an element looks like a vendor's quote, but no rule knows it."""
+    for e in tree.elements:
+        classes, name = e.attributes.get("class", "").split(), e.attributes.get("id", "")
+        if dom_rule(e) is None and (any(c.startswith(VENDORS) or REPLY in c for c in classes) or REPLY in name):
+            return True
+    return False
+
+
+def is_container(e: Element) -> bool:
+    return e.tag == "blockquote" or e.tag == "div" and ("gmail_quote" in e.attributes.get("class", "").split() or e.attributes.get("id", "").strip() == "divRplyFwdMsg")
+
+
+def dom_gaps(tree: Tree, quotes: list[dict]) -> list[str]:
+    unclosed = any(e.unclosed and is_container(e) for e in tree.elements)
+    vendor = vendor_gap(tree)
+    found = ["body.html_quote_rule_gap"] if vendor or unclosed else []
+    return found if quotes or vendor else [*found, "body.no_boundary_found"]
+
+
 def dom_quotes(tree: Tree) -> list[dict]:
     """Quote boundaries of the tree: rule, kind, span in the projection; a quote within an accepted quote is part of it."""
     follower: dict[int, Element] = {}
@@ -173,6 +211,11 @@ def dom_quotes(tree: Tree) -> list[dict]:
                 continue
             reach = max(reach, r["end"])
         kept.append(r)
+    spans = [(r["start"], r["end"]) for r in kept if r["kind"] == "quote"]
+    for start, end in marked_runs("".join(tree.pieces)):
+        if not any(lo <= start and end <= hi for lo, hi in spans):
+            kept.append({"rule_id": "gt_family", "kind": "quote", "start": start, "end": end})
+    kept.sort(key=lambda r: (r["start"], r["end"], r["rule_id"]))
     ordinal = 0
     for r in kept:
         ordinal += r["kind"] == "quote"

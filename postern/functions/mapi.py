@@ -15,10 +15,14 @@ UNICODE, STRING8, BINARY, OBJECT, I16, I32, BOOL, I64, TIME, REAL = 0x1F, 0x1E,
 CODEPAGES = {65001: "utf-8", 20127: "ascii", 28591: "latin-1", 28605: "iso8859-15", 50220: "iso2022-jp", 51949: "euc-kr", 54936: "gb18030", 20866: "koi8-r"}
 SUBJECT, CLASS, BODY, HTML, RTF, SENT, MESSAGE_ID, NAME, ADDRESS, ROLE = 0x37, 0x1A, 0x1000, 0x1013, 0x1009, 0x39, 0x1035, 0x3001, 0x3003, 0xC15
 ATTACH_DATA, ATTACH_NAME, ATTACH_SHORT, ATTACH_MIME, ATTACH_CID, ATTACH_METHOD, SMTP = 0x3701, 0x3707, 0x3704, 0x370E, 0x3712, 0x3705, 0x39FE
-INTERNET_PAGE, MESSAGE_PAGE = 0x3FDE, 0x3FFD
+INTERNET_PAGE, MESSAGE_PAGE, TRANSPORT, ATTACH_FLAGS, ATTACH_HIDDEN, REFERENCED = 0x3FDE, 0x3FFD, 0x7D, 0x3714, 0x7FFE, 4
 ROLES = {1: "to", 2: "cc", 3: "bcc"}
 
 
+def stream_name(tag: int, kind: int) -> str:
+    return f"__substg1.0_{tag:04X}{kind:04X}"
+
+
 def utc_of(ticks: int) -> str | None:
     """A count of 100 ns since 1601 as RFC 3339 text; None past year 9999."""
     try:
@@ -86,11 +90,16 @@ def message(file: Compound) -> dict:
     kind = text(by_tag, CLASS)
     refused = None if props and (kind or "").lower().startswith("ipm.note") else "no_properties" if not props else "not_a_mail_class"
     pages = [int(by_tag[t]["value"]) for t in (INTERNET_PAGE, MESSAGE_PAGE) if t in by_tag and by_tag[t]["value"]]
-    out = {"message_class": kind, "refused": refused, "properties": props, "recipients": [], "attachments": [], "subject": text(by_tag, SUBJECT), "sent": text(by_tag, SENT), "message_id": text(by_tag, MESSAGE_ID), "body": text(by_tag, BODY), "html": None, "rtf": None, "rtf_fault": None}
+    out = {"message_class": kind, "refused": refused, "properties": props, "recipients": [], "attachments": [], "subject": text(by_tag, SUBJECT), "sent": text(by_tag, SENT), "message_id": text(by_tag, MESSAGE_ID), "body": text(by_tag, BODY), "html": None, "rtf": None, "rtf_fault": None, "html_data": None, "html_how": None, "transport": text(by_tag, TRANSPORT)}
+    for name, tag in (("body", BODY), ("transport", TRANSPORT), ("html", HTML)):
+        out[f"{name}_stream"] = stream_name(tag, by_tag[tag]["type"]) if tag in by_tag else None
+        if name != "html":
+            out[f"{name}_data"] = file.get(out[f"{name}_stream"]) if tag in by_tag else None
     if refused:
         return out
     if HTML in by_tag and by_tag[HTML]["data"] is not None:
-        out["html"] = text8(by_tag[HTML]["data"], pages)[0]
+        out["html_data"] = by_tag[HTML]["data"]
+        out["html"], out["html_how"] = text8(by_tag[HTML]["data"], pages)
     if RTF in by_tag and by_tag[RTF]["data"] is not None:
         out["rtf"], out["rtf_fault"] = rtf.expand(by_tag[RTF]["data"])
     for e in file.entries:
@@ -104,12 +113,15 @@ def message(file: Compound) -> dict:
             else:
                 data = rows[ATTACH_DATA]["data"] if ATTACH_DATA in rows else None
                 embedded = any(x.path.lower() == f"{low}/__substg1.0_3701000d" for x in file.entries)
-                out["attachments"].append({"filename": text(rows, ATTACH_NAME, ATTACH_SHORT), "mime": text(rows, ATTACH_MIME), "content_id": text(rows, ATTACH_CID), "method": text(rows, ATTACH_METHOD), "embedded": embedded, "data": data})
+                filename = next((rows[t]["value"] for t in (ATTACH_NAME, ATTACH_SHORT, NAME) if t in rows and rows[t]["value"]), None)
+                flags = int(text(rows, ATTACH_FLAGS) or 0)
+                more = {"inline": bool(flags & REFERENCED), "hidden": text(rows, ATTACH_HIDDEN) == "true", "stream": f"{e.path}/{stream_name(ATTACH_DATA, BINARY)}"}
+                out["attachments"].append(more | {"filename": filename, "mime": text(rows, ATTACH_MIME), "content_id": text(rows, ATTACH_CID), "method": text(rows, ATTACH_METHOD), "embedded": embedded, "data": data})
     return out
 
 
-def render(subject: str, body: str, recipients: list[tuple[int, str, str]], attachments: list[tuple[str, str, bytes]], sent: int, rich: bytes | None = None) -> dict:
-    """The storages of a message, for compound.write()."""
+def render(subject: str, body: str | None, recipients: list[tuple[int, str, str]], attachments: list[tuple], sent: int, rich: bytes | None = None, html: bytes | None = None, transport: str | None = None) -> dict:
+    """The storages of a message, for compound.write(). Attachments: name, media type, data (None: embedded elsewhere), and a content id if it is inline."""
 
     def storage(header: bytes, values: list[tuple[int, int, object]]) -> dict:
         tree, table = {}, bytearray(header)
@@ -124,10 +136,13 @@ def render(subject: str, body: str, recipients: list[tuple[int, str, str]], atta
         return tree | {TABLE: bytes(table)}
 
     head = bytes(8) + struct.pack("<4I", len(recipients), len(attachments), len(recipients), len(attachments)) + bytes(8)
-    top = [(CLASS, UNICODE, "IPM.Note"), (SUBJECT, UNICODE, subject), (BODY, UNICODE, body), (SENT, TIME, sent)] + ([(RTF, BINARY, rich)] if rich is not None else [])
+    more = [(BODY, UNICODE, body), (RTF, BINARY, rich), (HTML, BINARY, html), (TRANSPORT, UNICODE, transport)]
+    top = [(CLASS, UNICODE, "IPM.Note"), (SUBJECT, UNICODE, subject), (SENT, TIME, sent), *[p for p in more if p[2] is not None]]
     tree = storage(head, top)
     for k, (role, name, address) in enumerate(recipients):
         tree[f"__recip_version1.0_#{k:08X}"] = storage(bytes(8), [(ROLE, I32, role), (NAME, UNICODE, name), (SMTP, UNICODE, address)])
-    for k, (name, mime, data) in enumerate(attachments):
-        tree[f"__attach_version1.0_#{k:08X}"] = storage(bytes(8), [(ATTACH_NAME, UNICODE, name), (ATTACH_MIME, UNICODE, mime), (ATTACH_METHOD, I32, 1), (ATTACH_DATA, BINARY, data)])
+    for k, (name, mime, data, *cid) in enumerate(attachments):
+        inline = [(ATTACH_CID, UNICODE, cid[0]), (ATTACH_FLAGS, I32, REFERENCED)] if cid else []
+        held = [(ATTACH_METHOD, I32, 1), (ATTACH_DATA, BINARY, data)] if data is not None else [(ATTACH_METHOD, I32, 5)]
+        tree[f"__attach_version1.0_#{k:08X}"] = storage(bytes(8), [(ATTACH_NAME, UNICODE, name), *([(ATTACH_MIME, UNICODE, mime)] if mime else []), *held, *inline])
     return tree

@@ -212,6 +212,11 @@ def pick_charset(body: bytes, declared: str | None) -> tuple[str, str, bool, str
     return "windows-1252", "fallback", True, "body.decode_destroyed_bytes"
 
 
+def part_id(container_hash: str, at: int, size: int, data: bytes) -> str:
+    """Identity of a part by content: its container, its place and its bytes."""
+    return hashlib.sha256("\n".join([container_hash, str(at), str(size), hashlib.sha256(data).hexdigest()]).encode()).hexdigest()
+
+
 def walk(raw: bytes, limits: Limits | None = None) -> Message:
     """Parts in document order and regions that tile the bytes; an explicit stack, so depth costs no recursion."""
     limits = limits or Limits()
@@ -246,7 +251,7 @@ def walk(raw: bytes, limits: Limits | None = None) -> Message:
         declared = part.value("content-transfer-encoding")
         part.declared_cte = declared.strip().lower() if declared else None
         part.declared_charset = params.get("charset")
-        part.part_id = hashlib.sha256("\n".join([message.container_hash, str(lo), str(hi - lo), hashlib.sha256(raw[lo:hi]).hexdigest()]).encode()).hexdigest()
+        part.part_id = part_id(message.container_hash, lo, hi - lo, raw[lo:hi])
         message.regions.append(("headers", path, head, body - head))
         cut = None
         if media.startswith("multipart/") and body < hi:

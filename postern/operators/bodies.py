@@ -8,11 +8,17 @@ from pyspark.sql import Window as W
 
 from postern.operators.quotes import SPACE
 
-MAGIC = (("pdf", "255044462d"), ("png", "89504e470d0a1a0a"), ("gif", "474946383761"), ("gif", "474946383961"), ("jpeg", "ffd8ff"), ("zip", "504b0304"), ("zip", "504b0506"), ("gzip", "1f8b"), ("ole-cfb", "d0cf11e0a1b11ae1"), ("rtf", "7b5c727466"))
-FAMILY = {
-    "application/pdf": "pdf", "image/png": "png", "image/gif": "gif", "image/jpeg": "jpeg", "application/zip": "zip", "application/gzip": "gzip", "application/rtf": "rtf", "text/rtf": "rtf", "application/msword": "ole-cfb", "application/vnd.ms-excel": "ole-cfb", "application/vnd.ms-outlook": "ole-cfb",
-    **{f"application/vnd.openxmlformats-officedocument.{k}": "zip" for k in ("spreadsheetml.sheet", "wordprocessingml.document", "presentationml.presentation")},
-}
+#: Signatures, and the containers that declared types are.
+MAGIC = (("zip", "504b0304"), ("ole-cfb", "d0cf11e0a1b11ae1"), ("pdf", "255044462d"), ("png", "89504e470d0a1a0a"), ("jpeg", "ffd8ff"), ("gif", "474946383761"), ("gif", "474946383961"), ("rtf", "7b5c727466"), ("gzip", "1f8b08"), ("7z", "377abcaf271c"), ("rar", "526172211a07"))
+ZIPPED = ("application/zip", "application/x-zip-compressed", *[f"application/vnd.openxmlformats-officedocument.{k}.{form}" for k, forms in (("spreadsheetml", ("sheet", "template")), ("wordprocessingml", ("document", "template")), ("presentationml", ("presentation", "template"))) for form in forms], *[f"application/vnd.ms-{k}.{form}.macroenabled.12" for k, own in (("excel", "sheet"), ("word", "document"), ("powerpoint", "presentation")) for form in (own, "template")])
+COMPOUND = ("application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.ms-outlook", "application/x-ole-storage")
+TNEF, MACROS = "789f3e22", (".docm", ".xlsm")
+
+
+def family_of(mime: Column) -> Column:
+    """The kind of container that a declared type claims: its table entry, else its subtype; a claim of plain bytes claims none."""
+    bare = F.lower(F.trim(F.substring_index(mime, ";", 1)))
+    return F.when((bare == "") | (bare == "application/octet-stream"), F.lit(None)).when(bare.isin(*ZIPPED), "zip").when(bare.isin(*COMPOUND), "ole-cfb").otherwise(F.element_at(F.split(bare, "/"), -1))
 
 
 def path_order(path: Column) -> Column:
@@ -43,16 +49,9 @@ def selection(parts: DataFrame, views: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "path", "media", state.alias("state"))
 
 
-def selected_body(chosen: DataFrame, views: DataFrame, *keys: str) -> DataFrame:
-    """One view per message: the selected part, else the first; HTML gives its projection. body_digest is the hash of its text."""
-    order = W.partitionBy(*keys).orderBy((F.col("state") != "selected").cast("int"), path_order(F.col("path")))
-    first = chosen.where("state <> 'alternative_not_selected'").withColumn("k", F.row_number().over(order)).where("k = 1").select(*keys, "path", F.when(F.col("media") == "text/html", "projection").otherwise(F.col("media")).alias("media"))
-    return first.join(views.select(*keys, "path", "media", "text"), [*keys, "path", "media"]).select(*keys, "path", "media", "text", F.sha2("text", 256).alias("body_digest"))
-
-
 def magic_of(prefix: Column) -> Column:
     """Type by the first bytes; ``unrecognized`` where no signature fits, null without bytes."""
-    found = F.when(prefix.isNull(), F.lit(None))
+    found = F.when(prefix.isNull() | (F.octet_length(prefix) == 0), F.lit(None))
     for name, signature in MAGIC:
         size = len(signature) // 2
         found = found.when(F.substring(F.hex(prefix), 1, 2 * size) == signature.upper(), name)
@@ -65,19 +64,18 @@ def dimensions(prefix: Column) -> Column:
     number = lambda digits: F.conv(digits, 16, 10).cast("int")
     little = lambda at: number(F.concat(part(at + 1, 1), part(at, 1)))
     png, gif = magic_of(prefix) == "png", magic_of(prefix) == "gif"
-    return F.when(png & (F.length(prefix) >= 24), F.struct(number(part(16, 4)).alias("width"), number(part(20, 4)).alias("height"))).when(gif & (F.length(prefix) >= 10), F.struct(little(6).alias("width"), little(8).alias("height")))
+    return F.when(png & (F.length(prefix) >= 24) & (part(12, 4) == "49484452"), F.struct(number(part(16, 4)).alias("width"), number(part(20, 4)).alias("height"))).when(gif & (F.length(prefix) >= 10), F.struct(little(6).alias("width"), little(8).alias("height")))
 
 
 def attachments(parts: DataFrame, *keys: str) -> DataFrame:
     """Leaves that are no body view: declared, magic and winning type, whether they disagree, name, size and hash."""
-    family = F.create_map(*[F.lit(x) for pair in FAMILY.items() for x in pair])
     rows = parts.where("is_leaf and not is_body and coalesce(content_type, '') not like 'multipart/%'")
-    rows = rows.withColumns({"magic": magic_of(F.col("prefix")), "declared_family": family[F.lower("declared_mime")]})
+    rows = rows.withColumns({"magic": magic_of(F.col("prefix")), "declared_family": family_of(F.col("declared_mime"))})
     known = F.col("magic") != "unrecognized"
     role = F.when(F.col("disposition").isin("attachment", "inline"), F.col("disposition")).when(F.col("filename").isNotNull(), "attachment").otherwise("unknown")
     return rows.select(
         *keys, "path", "part_id", "filename", "filename_raw", "filename_state", "filename_reason", "declared_mime", "content_id", "disposition", F.col("declared_cte").alias("cte"), F.col("body_sha256").alias("sha256"), F.col("decoded_size").alias("size"), "magic",
-        F.when(known, "magic").when(F.col("declared_mime").isNotNull(), "declared_mime").alias("winner"), F.coalesce(known & F.col("declared_family").isNotNull() & (F.col("magic") != F.col("declared_family")), F.lit(False)).alias("disagreement"), role.alias("role"), dimensions(F.col("prefix")).alias("dimensions"),
+        F.when(known, "magic").when(F.col("declared_mime").isNotNull(), "declared_mime").alias("winner"), F.coalesce(known & F.col("declared_family").isNotNull() & (F.col("magic") != F.col("declared_family")), F.lit(False)).alias("disagreement"), role.alias("role"), F.coalesce(F.substring(F.hex("prefix"), 1, 8) == TNEF.upper(), F.lit(False)).alias("tnef"), dimensions(F.col("prefix")).alias("dimensions"),
     )
 
 
@@ -124,9 +122,15 @@ def payload_budget(found: DataFrame, max_count: int, max_bytes: int, *keys: str)
 
 
 def attachment_gaps(found: DataFrame, use: DataFrame, *keys: str) -> DataFrame:
-    """(keys, gap_id, locator) of the attachment stage."""
+    """(keys, gap_id, locator) of the attachment stage. A name is missed only where a message is attached, a reference only where the part is inline."""
     at = lambda df, gap: df.select(*keys, F.lit(gap).alias("gap_id"), F.col("path").alias("locator"))
-    rows = at(found.where("filename is null"), "attach.filename_absent").union(at(use.where("use = 'unreferenced'"), "attach.cid_unreferenced"))
-    rows = rows.union(at(found.where("disagreement"), "attach.type_disagreement"))
-    rows = rows.union(repeated(found, "content_id", *keys).select(*keys, F.lit("attach.duplicate_content_id"), "locator"))
+    macro = (F.col("magic") == "zip") & F.lower("filename").rlike("\\.(docm|xlsm)$")
+    rules = {
+        "attach.filename_absent": F.col("filename_raw").isNull() & (F.lower("declared_mime") == "message/rfc822"), "attach.type_disagreement": F.col("disagreement"),
+        "attach.ole_container_unknown": F.col("magic") == "ole-cfb", "security.macro_present": macro, "attach.tnef_present": F.col("tnef"),
+    }
+    own = found.select(*keys, F.explode(F.array_compact(F.array(*[F.when(rule, gap) for gap, rule in rules.items()]))).alias("gap_id"), F.col("path").alias("locator"))
+    inline = found.where("role = 'inline'").select(*keys, "path")
+    rows = own.union(at(use.where("use = 'unreferenced'").join(inline, [*keys, "path"], "left_semi"), "attach.cid_unreferenced"))
+    rows = rows.union(repeated(found.withColumn("cid", bare_cid(F.col("content_id"))), "cid", *keys).select(*keys, F.lit("attach.duplicate_content_id"), "locator"))
     return rows.union(repeated(found, "sha256", *keys).select(*keys, F.lit("attach.occurrence_repeated"), "locator"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from postern.limits import Limits
@@ -98,6 +103,96 @@ def term_hits(texts: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     return counts.join(terms.select("term").distinct(), "term").select(*keys, "term", "n_hits")
 
 
+TOKEN = "[\\p{L}\\p{N}_]"
+
+
+def _placed(runs: DataFrame, odd: bool, case_sensitive: bool, *keys: str) -> DataFrame:
+    """(keys, ordinal, piece, place) of the tokens of each run, with ``odd`` of all other characters too."""
+    names = [*keys, "ordinal"]
+    source = runs.select(*names, "text")
+    piece = "array<struct<piece: string, place: int>>"
+    schema = T.StructType([*[source.schema[n] for n in names], *T.StructType.fromDDL(f"pieces {piece}").fields])
+    pattern = re.compile(r"\w+|\W" if odd else r"\w+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        inner = arrow.field("pieces").type.value_type
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [[(m[0], m.start()) for m in pattern.finditer(t if case_sensitive else t.casefold())] if t else [] for t in part.column(len(names)).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)])
+                flat = [x for row in found for x in row]
+                values = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], inner.field(0).type), pa.array([x[1] for x in flat], pa.int32())], fields=[inner.field(0), inner.field(1)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).cast(arrow.field(k).type) for k in range(len(names))], lists.cast(arrow.field("pieces").type)], schema=arrow)
+
+    return source.mapInArrow(run, schema).select(*names, F.inline("pieces"))
+
+
+def match_terms(runs: DataFrame, terms: DataFrame, *keys: str, case_sensitive: bool = True) -> DataFrame:
+    """(keys, term, start, end): whole-token occurrences of terms of any number of tokens, overlapping ones too, none across a run.
+
+    ``runs``: keys, ordinal, text, at (where the run begins in its unit). A term is looked up by its first token, or by its
+    first character if it has none, in an equi-join with the pieces of the runs; its places then meet their texts, where the rest is compared.
+    """
+    fold = (lambda c: c) if case_sensitive else F.lower
+    given = terms.where("term <> ''").select("term", fold(F.col("term")).alias("needle")).distinct().withColumn("token", F.regexp_extract("needle", f"{TOKEN}+", 0))
+    given = given.select("term", "needle", F.when(F.col("token") != "", F.col("token")).otherwise(F.substring("needle", 1, 1)).alias("piece"), F.when(F.col("token") != "", F.expr("locate(token, needle) - 1")).otherwise(0).alias("skip"), (F.col("token") == "").alias("odd"))
+    odd = not given.where("odd").isEmpty()
+    hits = _placed(runs, odd, case_sensitive, *keys).join(given, "piece").withColumn("begin", F.col("place") - F.col("skip")).where("begin >= 0")
+    hits = hits.select(*keys, "ordinal", "term", "needle", "begin").join(runs.select(*keys, "ordinal", "at", fold(F.col("text")).alias("shown")), [*keys, "ordinal"])
+    text = lambda at, n: F.substring(F.col("shown"), at.cast("int") + 1, n)
+    size = F.length("needle")
+    open_left = F.when(F.col("begin") > 0, ~text(F.col("begin") - 1, F.lit(1)).rlike(TOKEN)).otherwise(True)
+    open_right = ~text(F.col("begin") + size, F.lit(1)).rlike(TOKEN)
+    start = F.col("at") + F.col("begin")
+    return hits.where((text(F.col("begin"), size) == F.col("needle")) & open_left & open_right).select(*keys, "term", start.cast("long").alias("start"), (start + F.length("term")).cast("long").alias("end"))
+
+
+def runs_from_texts(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ordinal, text, at): the texts of a unit, given as an array, one after another."""
+    rows = texts.select(*keys, F.posexplode("texts").alias("ordinal", "text"))
+    before = W.partitionBy(*keys).orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+
+
+def thread_index(value: Column) -> Column:
+    """What a Thread-Index header claims: its state, the 16 bytes that name the conversation, the time of its first message in ticks, and the number of replies. Never used for threading."""
+    raw = F.try_to_binary(F.regexp_replace(value, "\\s", ""), F.lit("base64"))
+    size = F.octet_length(raw)
+    ok = (size >= 22) & ((size - 22) % 5 == 0)
+    digits = F.hex(raw)
+    ticks = F.conv(F.concat(F.substring(digits, 1, 12), F.lit("0000")), 16, 10).cast("decimal(20,0)")
+    return F.when(ok, F.struct(F.lit("claimed").alias("state"), F.lower(F.substring(digits, 13, 32)).alias("conversation"), ticks.alias("ticks"), F.floor((size - 22) / 5).cast("int").alias("n_replies"))).when(value.isNotNull(), F.struct(F.lit("undecodable").alias("state"), F.lit(None).cast("string").alias("conversation"), F.lit(None).cast("decimal(20,0)").alias("ticks"), F.lit(None).cast("int").alias("n_replies")))
+
+
+def same_name_versions(occurrences: DataFrame, thread: str, name: str, utc: str, key: str) -> DataFrame:
+    """``occurrences`` whose filename occurs again in its thread, with version (by message date, unknown dates last), and whether the content is that of the version before."""
+    rows = occurrences.where(F.col(name).isNotNull())
+    group = W.partitionBy(thread, name)
+    order = group.orderBy(F.col(utc).asc_nulls_last(), key)
+    rows = rows.withColumns({"n_versions": F.count("*").over(group), "version": F.row_number().over(order), "same_content": F.coalesce(F.lag("sha256").over(order) == F.col("sha256"), F.lit(False))})
+    return rows.where("n_versions > 1")
+
+
+#: Fixed values of time evidence.
+ORIGINS, PRECISIONS, AMBIGUITIES, TRUSTS = ("stated_in_text", "derived_by_named_rule", "absent"), ("year", "month", "day", "second"), ("none", "day_month", "timezone", "relative"), ("claimed", "derived", "user_supplied", "filesystem")
+
+
+def invalid_times(events: DataFrame, *keys: str) -> DataFrame:
+    """(keys, violation): evidence that claims more than it may, or a value out of its domain. Columns: when_raw, utc, offset, offset_origin, precision, ambiguity, trust, usable."""
+    outside = lambda name, domain: ~F.coalesce(F.col(name).isin(*domain), F.lit(False))
+    rules = {
+        "offset of absent origin": (F.col("offset_origin") == "absent") & F.col("offset").isNotNull(), "relative time resolved": (F.col("ambiguity") == "relative") & F.col("utc").isNotNull(),
+        "filesystem time orders arrivals": (F.col("trust") == "filesystem") & F.col("usable"), "no claim": F.coalesce(F.col("when_raw") == "", F.lit(True)), "usable unknown": F.col("usable").isNull(),
+        "offset_origin": outside("offset_origin", ORIGINS), "precision": outside("precision", PRECISIONS), "ambiguity": outside("ambiguity", AMBIGUITIES), "trust": outside("trust", TRUSTS),
+    }
+    return events.select(*keys, F.explode(F.array_compact(F.array(*[F.when(bad, why) for why, bad in rules.items()]))).alias("violation"))
+
+
 def link_children(occurrences: DataFrame, stores: DataFrame, version: str = VERSION) -> DataFrame:
     """Outcome of each occurrence's hash in stores that are probed in order: resolved, version_mismatch, child_absent or store_absent.
 
@@ -119,6 +214,13 @@ def cite(views: DataFrame, parts: DataFrame, spans: DataFrame, *keys: str) -> Da
     return rows.select(*keys, "path", "start", "end", F.when(ok, F.col("body_at") + width(F.lit(0), F.col("start"))).alias("at"), F.when(ok, width(F.col("start"), F.col("end"))).alias("size"), F.when(~ok, F.col("precision_reason")).alias("reason"))
 
 
+def tiles(regions: Column, size: Column) -> Column:
+    """Whether regions cover ``size`` bytes from the first on, each byte once."""
+    placed = F.array_sort(F.transform(F.filter(regions, lambda r: r["size"] > 0), lambda r: F.struct(r["at"].alias("at"), r["size"].alias("size"))))
+    end = F.aggregate(placed, F.lit(0).cast("long"), lambda at, r: F.when((at >= 0) & (r["at"] == at), at + r["size"]).otherwise(F.lit(-1).cast("long")))
+    return end == size
+
+
 def untiled(regions: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
     """Violations of the rule that regions tile a message: holes, overlaps and a wrong total. Empty when all is well."""
     order = W.partitionBy(*keys).orderBy("at", "size")

@@ -18,7 +18,7 @@ NESTED = {
     "accounting": "class string, bytes long",
     "properties": "tag string, type string, value string, size long, how string, fault string",
     "recipients": "role string, name string, address string",
-    "attachments": "ordinal int, filename string, mime string, content_id string, method string, embedded boolean, size long, sha256 string",
+    "attachments": "ordinal int, filename string, mime string, content_id string, method string, embedded boolean, inline boolean, hidden boolean, size long, sha256 string",
 }
 PLAIN = {"container_hash": "string", "size_bytes": "long", "error": "string", "version": "int", "sector_size": "int", "storage_sha256": "string", "refused": "string", "message_class": "string", "subject": "string", "sent": "string", "message_id": "string", "body": "string", "html": "string", "rtf": "binary", "rtf_fault": "string"}
 
@@ -46,7 +46,7 @@ def read_one(raw: bytes) -> dict:
     row["properties"] = [{"tag": f"{p['tag']:04x}", "type": f"{p['type']:04x}", "value": p["value"], "size": None if p["data"] is None else len(p["data"]), "how": p["how"], "fault": p["fault"]} for p in found["properties"]]
     row["recipients"] = found["recipients"]
     for k, a in enumerate(found["attachments"]):
-        data = a.pop("data")
+        data, _ = a.pop("data"), a.pop("stream")
         row["attachments"].append(a | {"ordinal": k, "size": None if data is None else len(data), "sha256": None if data is None else hashlib.sha256(data).hexdigest()})
     return row
 
@@ -85,3 +85,18 @@ def compound_mail(conversations: DataFrame) -> DataFrame:
         return {"raw": compound.write(mapi.render(f"★ {conv}/{turn}", text, people, files, sent, rtf.literal(text.encode())))}
 
     return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)
+
+
+def mixed_compound_mail(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, raw): each turn as a compound file whose body is plain, HTML, both or none by turn; every third has header lines of its own, and every second conversation a named attachment and an embedded item."""
+    source = conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("conv_id", F.lit(0)).alias("c"), F.coalesce("turn", F.lit(0)).alias("t"))
+    schema = T.StructType([source.schema["conv_id"], source.schema["turn"], T.StructField("raw", T.BinaryType())])
+
+    def make(text: str, conv: int, turn: int) -> dict:
+        inline = [f"pic{turn}@example.test"] if turn % 2 == 0 else []
+        files = [(f'ü "{turn}".txt', "text/plain", text.encode(), *inline), ("inner.msg", None, None)] if conv % 2 == 0 else []
+        html = f"<p>{text}</p>".encode() if turn % 4 in (1, 2) else None
+        head = "From: a@example.test\r\nSubject: other\r\n\r\n" if turn % 3 == 0 else None
+        return {"raw": compound.write(mapi.render(f"★ {conv}/{turn}", text if turn % 4 in (0, 2) else None, [], files, 0, html=html, transport=head))}
+
+    return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.functions import headers as H
-from postern.functions import html, mime
+from postern.functions import compound, html, mime, projection
 from postern.limits import Limits
 
 FIELD = "ordinal int, name string, raw_value string, parse_status string, parsed_kind string, parsed_value string, decoded string, name_at long, name_len long, value_at long, value_len long, raw_at long, raw_len long"
@@ -25,16 +25,17 @@ ADDRESS = "ordinal int, field string, seq int, at long, size long, display_name
 DATE = "ordinal int, raw string, zone_state string, utc_offset string, utc string, reason_id string"
 PARAMETER = "ordinal int, field string, parameter string, value string, state string, fallback_reason string"
 WIDE = {
-    "container_hash": "string", "size_bytes": "long", "kind": "string",
+    "container_hash": "string", "size_bytes": "long", "kind": "string", "status": "string", "reason": "string",
     "fields": f"array<struct<{FIELD}>>", "addresses": f"array<struct<{ADDRESS}>>", "dates": f"array<struct<{DATE}>>", "parameters": f"array<struct<{PARAMETER}>>",
     "parts": f"array<struct<{PART}>>", "regions": "array<struct<seq int, kind string, path string, at long, size long>>", "caps": "array<struct<path string, reason string>>",
-    "views": f"array<struct<{VIEW}>>", "elements": f"array<struct<{ELEMENT}>>", "references": f"array<struct<{REFERENCE}>>", "dom_boundaries": f"array<struct<{BOUNDARY}>>", "html_caps": "array<struct<path string, reason string>>", "header_gaps": "array<string>",
+    "sources": "array<struct<axis string, source string, source_at long, source_len long, source_sha256 string, at long, size long>>", "container_gaps": "array<struct<gap_id string, detail string>>",
+    "views": f"array<struct<{VIEW}>>", "elements": f"array<struct<{ELEMENT}>>", "references": f"array<struct<{REFERENCE}>>", "dom_boundaries": f"array<struct<{BOUNDARY}>>", "html_caps": "array<struct<path string, reason string>>", "html_gaps": "array<struct<path string, gap_id string>>", "header_gaps": "array<string>",
 }
 
 
-def _schema(keys: list[T.StructField]) -> T.StructType:
+def _schema(keys: list[T.StructField], asked: frozenset[str]) -> T.StructType:
     inner = lambda v: re.sub(r"(?<=[<, ])(\w+) (?=[a-z<>]+)", r"\1: ", v)
-    parsed = T.StructType.fromDDL(", ".join(f"`{k}` {inner(v)}" for k, v in WIDE.items()))
+    parsed = T.StructType.fromDDL(", ".join(f"`{k}` {inner(v)}" for k, v in WIDE.items() if k in asked or not v.startswith("array")))
     return T.StructType(keys + parsed.fields)
 
 
@@ -94,69 +95,127 @@ def part_row(part: mime.Part, parents: dict[str, mime.Part], has_child: bool) ->
     )
 
 
-def parse_one(raw: bytes, limits: Limits, html_depth: int) -> dict:
-    kind = mime.sniff(raw)
-    out: dict[str, list] = {k: [] for k, v in WIDE.items() if v.startswith("array")}
-    row = {"container_hash": hashlib.sha256(raw).hexdigest(), "size_bytes": len(raw), "kind": kind} | out
-    if kind == "cfb" or len(raw) > limits.max_input_bytes:
+#: What the top header block alone tells.
+HEADERS = frozenset(("fields", "addresses", "dates", "parameters", "header_gaps"))
+#: What an HTML tree tells.
+OF_HTML = frozenset(("elements", "references", "dom_boundaries", "html_caps", "html_gaps"))
+
+
+def parse_one(raw: bytes, limits: Limits, html_depth: int, want: frozenset[str]) -> dict:
+    """The wide row of a message, its arrays filled as far as ``want`` asks. What goes wrong inside is told by the status ``failed``; nothing is raised for any bytes."""
+    row = {"container_hash": hashlib.sha256(raw).hexdigest(), "size_bytes": len(raw), "kind": mime.sniff(raw), "status": "parsed", "reason": None}
+    empty = lambda: {k: [] for k, v in WIDE.items() if v.startswith("array")}
+    if len(raw) > limits.max_input_bytes:
+        return row | empty() | {"status": "skipped", "reason": "file_over_cap"}
+    try:
+        return _parse(raw, row, empty(), limits, html_depth, want)
+    except Exception:  # one message must not end the job; its row says so
+        return row | empty() | {"status": "failed", "reason": "extractor_error"}
+
+
+def _parse(raw: bytes, row: dict, out: dict[str, list], limits: Limits, html_depth: int, want: frozenset[str]) -> dict:
+    row = row | out
+    ids: dict[tuple[int, int], projection.Row] = {}
+    if row["kind"] == "cfb":
+        file = compound.read(raw)
+        if file.error:
+            return row | {"status": "skipped", "reason": file.error}
+        made = projection.project(file)
+        row["status"], row["reason"] = made.status, made.reason
+        out["container_gaps"] += made.gaps
+        out["sources"] += [(r.axis, r.source, r.source_at, r.source_len, r.source_sha256, r.at, r.size) for r in made.rows]
+        if made.status == "unsupported":
+            return row
+        raw, ids = made.raw, {(r.at, r.size): r for r in made.rows}
+    if want <= HEADERS:
+        head = mime.prelude_of(raw)
+        end, _ = mime.split_head(raw, head, len(raw))
+        if end - head <= limits.max_header_bytes:
+            _headers(raw, head, mime.scan_fields(raw, head, end)[0], out)
         return row
     message = mime.walk(raw, limits)
+    top = message.parts[0] if message.parts else None
     parents = {p.path: p for p in message.parts}
     with_child = {p.parent for p in message.parts}
+    for p in message.parts:
+        if (source := ids.get(p.span)) is not None:
+            p.part_id = source.part_id(row["container_hash"])
+        elif row["kind"] == "cfb":
+            p.part_id = mime.part_id(row["container_hash"], *p.span, raw[p.span[0] : sum(p.span)])
     out["caps"] += message.caps
-    out["regions"] += [(k, *r) for k, r in enumerate(message.regions)]
-    top = message.parts[0] if message.parts else None
-    for f in top.fields if top else []:
-        parsed_kind, value = H.project(f.name, f.value, f.status)
-        text, decoded, invalid, _ = H.decode_words(f.value) if parsed_kind == "text" else (None, False, False, False)
-        if invalid:
-            out["header_gaps"].append("headers.encoded_word_invalid")
-        out["fields"].append((f.ordinal, f.name, f.value, f.status, parsed_kind, value, text.strip() if decoded else None, f.name_at, f.name_len, f.value_at, f.value_len, f.at, f.size))
-        if parsed_kind == "address_list":
-            out["addresses"] += [(f.ordinal, f.name, k, f.value_at + a["offset"], a["length"], a["display_name"], a["addr_spec"], a["state"], a["reason_id"], a["member"]) for k, a in enumerate(H.addresses(raw[f.value_at : f.value_at + f.value_len]))]
-        elif parsed_kind == "date_time":
-            out["dates"].append((f.ordinal, f.value, *H.parse_date(f.value)))
-        if f.name.lower() in ("content-type", "content-disposition"):
-            out["parameters"] += [(f.ordinal, f.name, *p) for p in H.parameters(f.value)]
-    if top and not any(f.name.lower() == "date" for f in top.fields):
-        out["header_gaps"].append(H.NO_DATE)
-    names = [f.name.lower() for f in top.fields if f.status == "ok"] if top else []
-    if any(names.count(n) > 1 for n in H.UNIQUE.intersection(names)):
-        out["header_gaps"].append("headers.duplicate_header")
-    if raw.startswith(mime.BOM):
-        out["header_gaps"].append("headers.leading_bom")
-    if top and top.headers[0] > (len(mime.BOM) if raw.startswith(mime.BOM) else 0):
-        out["header_gaps"].append("headers.mbox_from_line")
+    if row["status"] == "parsed" and (capped := next((why for path, why in message.caps if path == "1"), None)):
+        row["status"], row["reason"] = "skipped", capped
+    if "regions" in want:
+        out["regions"] += [(k, *r) for k, r in enumerate(message.regions)]
+    if want & HEADERS:
+        _headers(raw, top.headers[0] if top else 0, top.fields if top else [], out)
     for p in message.parts:
         has_child = p.path in with_child
-        r = part_row(p, parents, has_child)
-        out["parts"].append(r)
-        if p.decoded is None or has_child or p.used_charset is None:
+        if "parts" in want:
+            out["parts"].append(part_row(p, parents, has_child))
+        if p.decoded is None or has_child or p.used_charset is None or not want & (OF_HTML | {"views"}):
+            continue
+        kind = effective_type(p, parents)
+        if kind != "text/html" and "views" not in want:
             continue
         text = p.decoded.decode(p.used_charset, "replace" if p.encoding_source == "fallback" else "strict")
         shown = text
         params = mime.media_of(p.value("content-type"))[1]
-        if effective_type(p, parents) == "text/plain" and params.get("format", "").lower() == "flowed":
+        if kind == "text/plain" and params.get("format", "").lower() == "flowed":
             shown = unstuff(text)
-        reason = view_reason(p)
-        out["views"].append((p.path, effective_type(p, parents), shown, text, "exact" if reason is None else "part_level", reason))
-        if effective_type(p, parents) == "text/html":
+        reason = "container_stream" if row["kind"] == "cfb" else view_reason(p)
+        out["views"].append((p.path, kind, shown, text, "exact" if reason is None else "part_level", reason))
+        if kind == "text/html":
             tree = html.parse(text, html_depth, limits.max_parts)
             out["elements"] += [(p.path, e.ordinal, e.tag, e.parent, e.start, e.end - e.start, e.unclosed) for e in tree.elements]
             out["references"] += [(p.path, x["kind"], x["target"], x["element"]) for x in html.references(tree)]
-            out["dom_boundaries"] += [(p.path, x["rule_id"], x["kind"], x["ordinal"], x["start"], x["end"] - x["start"]) for x in html.dom_quotes(tree)]
+            quoted = html.dom_quotes(tree)
+            out["dom_boundaries"] += [(p.path, x["rule_id"], x["kind"], x["ordinal"], x["start"], x["end"] - x["start"]) for x in quoted]
+            out["html_gaps"] += [(p.path, gap) for gap in html.dom_gaps(tree, quoted)]
             out["views"].append((p.path, "projection", "".join(tree.pieces), None, None, None))
             if tree.truncated:
                 out["html_caps"].append((p.path, tree.truncated))
     return row
 
 
-def parse_messages(messages: DataFrame, limits: Limits | None = None, html_depth: int = 16, raw: str = "raw", batch_rows: int = 16) -> DataFrame:
-    """The key columns of ``messages`` (all but ``raw``) and the wide row of each. A null message is an empty one."""
+def _headers(raw: bytes, at: int, found: list[mime.Field], out: dict[str, list]) -> None:
+    """Fields of the top block and what their values say."""
+    for f in found:
+        parsed_kind, value = H.project(f.name, f.value, f.status)
+        text, decoded, invalid, _ = H.decode_words(f.value) if parsed_kind == "text" else (None, False, False, False)
+        if invalid:
+            out["header_gaps"].append("headers.encoded_word_invalid")
+        out["fields"].append((f.ordinal, f.name, f.value, f.status, parsed_kind, value, text.strip() if decoded else None, f.name_at, f.name_len, f.value_at, f.value_len, f.at, f.size))
+        if parsed_kind == "address_list":
+            out["addresses"] += [(f.ordinal, f.name, k, f.value_at + a["offset"], a["length"], a["display_name"], a["addr_spec"], a["state"], a["reason_id"], a["member"]) for k, a in enumerate(H.addresses(raw[f.value_at : f.value_at + f.value_len]))]
+        elif parsed_kind == "date_time":
+            out["dates"].append((f.ordinal, f.value, *H.parse_date(f.value)))
+        if f.name.lower() in ("content-type", "content-disposition"):
+            out["parameters"] += [(f.ordinal, f.name, *p) for p in H.parameters(f.value)]
+    names = [f.name.lower() for f in found if f.status == "ok"]
+    gaps = out["header_gaps"]
+    if "date" not in [f.name.lower() for f in found]:
+        gaps.append(H.NO_DATE)
+    if any(names.count(n) > 1 for n in H.UNIQUE.intersection(names)):
+        gaps.append("headers.duplicate_header")
+    bom = raw.startswith(mime.BOM)
+    if bom:
+        gaps.append("headers.leading_bom")
+    if at > (len(mime.BOM) if bom else 0):
+        gaps.append("headers.mbox_from_line")
+
+
+def parse_messages(messages: DataFrame, limits: Limits | None = None, html_depth: int = 16, raw: str = "raw", batch_rows: int = 16, want: Sequence[str] | None = None) -> DataFrame:
+    """The key columns of ``messages`` (all but ``raw``) and the wide row of each. A null message is an empty one.
+
+    ``want`` names the arrays that are asked for (default: all): only they are made and leave the worker, and if the top
+    header block alone answers them, nothing else is read. Compound files are read through their projection.
+    """
     limits = limits or Limits()
+    asked = frozenset(k for k, v in WIDE.items() if v.startswith("array")) if want is None else frozenset(want)
     keys = [c for c in messages.columns if c != raw]
     source = messages.select(*[f"`{c}`" for c in keys], F.col(raw).cast("binary").alias(raw))
-    schema = _schema([source.schema[c] for c in keys])
+    schema = _schema([source.schema[c] for c in keys], asked)
     nested = {f.name: [x.name for x in f.dataType.elementType.fields] for f in schema.fields[len(keys) :] if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +225,7 @@ def parse_messages(messages: DataFrame, limits: Limits | None = None, html_depth
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
-                rows = [parse_one(x or b"", limits, html_depth) for x in part.column(len(keys)).to_pylist()]
+                rows = [parse_one(x or b"", limits, html_depth, asked) for x in part.column(len(keys)).to_pylist()]
                 cols = [part.column(k).cast(arrow.field(k).type) for k in range(len(keys))]
                 for f in list(arrow)[len(keys) :]:
                     names = nested.get(f.name)

@@ -114,3 +114,27 @@ def levels(lines: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     depth, ordinal = F.col("max_depth"), F.coalesce("max_ordinal", F.lit(0))
     rule = F.coalesce("by_rule", F.when(F.col("quotes") == 1, "gt_family"), "any_rule", F.lit("gt_family"))
     return both.select(*keys, F.greatest(ordinal, depth).alias("level"), rule.alias("resolution_rule_id"), ((depth > 0) & (ordinal > 0) & (depth != ordinal)).alias("disagreement"))
+
+
+def view_gaps(lines: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """(keys, gap_id) of plain views: no boundary of any kind, a block of labels in a language that no rule knows, answers between quotes, levels that disagree."""
+    view = W.partitionBy(*keys)
+    order = view.orderBy("line_no")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    trimmed = F.regexp_replace("line", f"{SPACE}+$", "")
+    label = F.col("line").rlike(f"^[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000:]{{1,15}}{SPACE}*:")
+    known = {lang: F.col("line").rlike(f"^(?:{'|'.join(heads)}){SPACE}*:") for lang, heads in LABELS.items()}
+    looking = ~F.col("blank") & ~label & trimmed.endswith(":") & trimmed.rlike(f"[^\\s]{SPACE}+[^\\s]")
+    rows = lines.withColumns({"label": label, "looking": looking, **{f"is_{k}": c for k, c in known.items()}})
+    rows = rows.withColumns({
+        "run": runs_of(rows, F.col("label"), *keys), "after": F.coalesce(F.lag("looking").over(order), F.lit(False)),
+        "last_quote": F.max(F.when(F.col("depth") > 0, F.col("line_no"))).over(before), "last_text": F.max(F.when((F.col("depth") == 0) & ~F.col("blank"), F.col("line_no"))).over(before),
+    })
+    run = W.partitionBy(*keys, "run")
+    foreign = reduce(lambda a, b: a & b, [~F.min(f"is_{k}").over(run) for k in LABELS])
+    rows = rows.withColumn("i18n", F.col("label") & (F.min("line_no").over(run) == F.col("line_no")) & (F.count("*").over(run) > 1) & foreign & F.col("after"))
+    told = rows.groupBy(*keys).agg(F.max("i18n").alias("i18n"), F.max((F.col("depth") > 0) & (F.col("last_text") > F.col("last_quote"))).alias("between"), F.max("depth").alias("deepest"))
+    told = told.join(found.groupBy(*keys).agg(F.count("*").alias("n")), list(keys), "left").join(levels(lines, found, *keys).select(*keys, "disagreement"), list(keys), "left")
+    none = F.col("n").isNull() & (F.col("deepest") == 0) & ~F.col("i18n")
+    gaps = {"body.no_boundary_found": none, "body.i18n_reply_marker": F.col("i18n"), "body.inline_reply_interleaved": F.coalesce("between", F.lit(False)), "view.quote_level_disagreement": F.coalesce("disagreement", F.lit(False))}
+    return told.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, g) for g, c in gaps.items()]))).alias("gap_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from postern.limits import Limits
 from postern.operators import bodies, corpus, parse, quotes
+from postern.operators import documents as records
+from postern.shared import cut
 from postern.sources import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,16 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_messages(messages.conversation_mail(table(spark, sf_dir, "conversations")))
+def parsed(raw: DataFrame, *want: str, limits: Limits | None = None, html_depth: int = 16) -> DataFrame:
+    """The facts ``want`` of each message. Several go to the shared folder first, so that messages are parsed once."""
+    rows = parse.parse_messages(raw, limits, html_depth, want=want)
+    return cut(rows) if len(want) > 1 else rows
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_messages(messages.document_mail(table(spark, sf_dir, "documents").select("doc_id", "text")))
+def conversations(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    return parsed(messages.conversation_mail(table(spark, sf_dir, "conversations")), *want)
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_messages(messages.page_mail(table(spark, sf_dir, "pages")), Limits(max_parts=100_000), html_depth=4096)
+def documents(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    return parsed(messages.document_mail(table(spark, sf_dir, "documents").select("doc_id", "text")), *want)
+
+
+def pages(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    return parsed(messages.page_mail(table(spark, sf_dir, "pages")), *want, limits=Limits(max_parts=100_000), html_depth=4096)
 
 
 @query("SELECT CASE WHEN turn % 5 = 4 THEN 'unknown' ELSE 'eml' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
@@ -76,13 +84,13 @@ SELECT name, CAST(sum(c * k) AS BIGINT) AS n FROM (
 ) GROUP BY name HAVING sum(k) > 0
 """)
 def header_fields(spark, sf_dir):
-    rows = parse.rows_of(conversations(spark, sf_dir), "fields", *CONV)
+    rows = parse.rows_of(conversations(spark, sf_dir, "fields"), "fields", *CONV)
     return rows.where("parse_status = 'ok'").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn, '★ ' || conv_id || '/' || turn AS subject, role || '.' || conv_id || '@example.test' AS sender, CASE WHEN turn > 0 THEN '<m' || conv_id || '.' || (turn - 1) || '@example.test>' END AS parent FROM conversations WHERE turn % 5 <> 4")
 def header_projection(spark, sf_dir):
-    rows = parse.rows_of(conversations(spark, sf_dir), "fields", *CONV)
+    rows = parse.rows_of(conversations(spark, sf_dir, "fields"), "fields", *CONV)
     value = lambda name: F.min_by("parsed_value", F.when(F.lower("name") == name, F.col("ordinal")))
     out = rows.groupBy(*CONV).agg(value("subject").alias("subject"), value("from").alias("sender"), F.min_by("parsed_value", F.when(F.lower("name") == "references", F.col("ordinal"))).alias("parent"), F.max("parse_status").alias("s"), F.count_if(F.lower("name") == "message-id").alias("k"))
     return out.where("k > 0").select(*CONV, "subject", "sender", "parent")
@@ -95,7 +103,7 @@ LATERAL (SELECT CASE k WHEN 1 THEN 'group' ELSE 'parsed' END AS state,
 WHERE turn % 5 <> 4
 """)
 def header_addresses(spark, sf_dir):
-    return parse.rows_of(conversations(spark, sf_dir), "addresses", *CONV).select(*CONV, "state", "addr_spec", "in_group")
+    return parse.rows_of(conversations(spark, sf_dir, "addresses"), "addresses", *CONV).select(*CONV, "state", "addr_spec", "in_group")
 
 
 @query("""
@@ -104,49 +112,46 @@ SELECT conv_id, turn, CASE turn % 5 WHEN 2 THEN 'zone_stated_minus_zero' ELSE 'z
   strftime(TIMESTAMP '2025-03-04 00:00:05' + to_minutes(CAST(mi + CASE WHEN turn % 5 IN (1, 3) THEN 300 ELSE 0 END AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00') AS utc FROM m
 """)
 def header_dates(spark, sf_dir):
-    return parse.rows_of(conversations(spark, sf_dir), "dates", *CONV).select(*CONV, "zone_state", "utc_offset", "utc")
+    return parse.rows_of(conversations(spark, sf_dir, "dates"), "dates", *CONV).select(*CONV, "zone_state", "utc_offset", "utc")
 
 
 @query("SELECT gap_id, count(*) AS n FROM (SELECT unnest(CASE WHEN turn % 5 = 4 THEN ['headers.no_date'] WHEN turn % 3 = 0 THEN ['headers.duplicate_header'] ELSE [] END || CASE WHEN turn % 7 = 6 THEN ['headers.leading_bom'] ELSE [] END) AS gap_id FROM conversations) GROUP BY gap_id")
 def header_gaps(spark, sf_dir):
-    return conversations(spark, sf_dir).select(F.explode("header_gaps").alias("gap_id")).groupBy("gap_id").agg(F.count("*").alias("n"))
+    return conversations(spark, sf_dir, "header_gaps").select(F.explode("header_gaps").alias("gap_id")).groupBy("gap_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, f.field, f.parameter, f.value FROM documents, (SELECT 'Content-Type' AS field, 'boundary' AS parameter, 'out' AS value) f")
 def header_parameters(spark, sf_dir):
-    return parse.rows_of(documents(spark, sf_dir), "parameters", *DOC).select(*DOC, "field", "parameter", "value")
+    return parse.rows_of(documents(spark, sf_dir, "parameters"), "parameters", *DOC).select(*DOC, "field", "parameter", "value")
 
 
 @query("SELECT doc_id, p.path, p.parent_path, CASE p.path WHEN '1.2' THEN k WHEN '1.3' THEN k ELSE p.kind END AS content_type FROM (SELECT doc_id, ['application/pdf', 'image/png', 'image/png', 'application/zip', 'application/octet-stream', 'application/x-thing'][CAST(doc_id % 6 AS INTEGER) + 1] AS k FROM documents), (SELECT unnest(['1', '1.1', '1.1.1', '1.1.2', '1.2', '1.3']) AS path, unnest([NULL, '1', '1.1', '1.1', '1', '1']) AS parent_path, unnest(['multipart/mixed', 'multipart/alternative', 'text/plain', 'text/html', '', '']) AS kind) p")
 def part_tree(spark, sf_dir):
-    return parse.rows_of(documents(spark, sf_dir), "parts", *DOC).select(*DOC, "path", "parent_path", "content_type")
+    return parse.rows_of(documents(spark, sf_dir, "parts"), "parts", *DOC).select(*DOC, "path", "parent_path", "content_type")
 
 
 @query("SELECT 'documents' AS source, count(*) AS messages, CAST(0 AS BIGINT) AS violations FROM documents UNION ALL SELECT 'conversations', count(*), CAST(0 AS BIGINT) FROM conversations")
 def regions_tile(spark, sf_dir):
-    """Every byte of every message lies in exactly one region."""
-    out = []
-    for name, parsed, keys in (("documents", documents(spark, sf_dir), DOC), ("conversations", conversations(spark, sf_dir), CONV)):
-        bad = corpus.untiled(parse.rows_of(parsed, "regions", *keys), parsed.select(*keys, "size_bytes"), *keys)
-        out.append(parsed.agg(F.count("*").alias("messages")).crossJoin(bad.agg(F.count("*").alias("violations"))).select(F.lit(name).alias("source"), "messages", "violations"))
-    return out[0].unionByName(out[1])
+    """Every byte of every message lies in exactly one region: a check within each row, nothing is shuffled but counts."""
+    bad = lambda name, made: made.agg(F.lit(name).alias("source"), F.count("*").alias("messages"), F.count_if(~corpus.tiles(F.col("regions"), F.col("size_bytes"))).alias("violations"))
+    return bad("documents", documents(spark, sf_dir, "regions")).unionByName(bad("conversations", conversations(spark, sf_dir, "regions")))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'base64' ELSE '8bit' END AS used_cte, 'utf-8' AS used_charset, sha256(regexp_replace(coalesce(text, ''), '\\r?\\n', chr(13) || chr(10), 'g')) AS body_sha256 FROM documents")
 def decode_chain(spark, sf_dir):
-    return parse.rows_of(documents(spark, sf_dir), "parts", *DOC).where("path = '1.1.1'").select(*DOC, "used_cte", "used_charset", "body_sha256")
+    return parse.rows_of(documents(spark, sf_dir, "parts"), "parts", *DOC).where("path = '1.1.1'").select(*DOC, "used_cte", "used_charset", "body_sha256")
 
 
 @query("SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\\r?\\n', chr(13) || chr(10), 'g')) AS text_sha256, CASE WHEN doc_id % 3 = 0 THEN 'cte_not_identity' END AS precision_reason FROM documents")
 def body_text(spark, sf_dir):
-    return parse.rows_of(documents(spark, sf_dir), "views", *DOC).where("path = '1.1.1'").select(*DOC, F.sha2("text", 256).alias("text_sha256"), "precision_reason")
+    return parse.rows_of(documents(spark, sf_dir, "views"), "views", *DOC).where("path = '1.1.1'").select(*DOC, F.sha2("text", 256).alias("text_sha256"), "precision_reason")
 
 
 @query("""
 SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[a-zA-Z/][^>]*>', '', 'g'), '&copy;', '©'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&')) AS projection_sha256 FROM pages
 """)
 def html_projection(spark, sf_dir):
-    return parse.rows_of(pages(spark, sf_dir), "views", *PAGE).where("media = 'projection'").select(*PAGE, F.sha2("text", 256).alias("projection_sha256"))
+    return parse.rows_of(pages(spark, sf_dir, "views"), "views", *PAGE).where("media = 'projection'").select(*PAGE, F.sha2("text", 256).alias("projection_sha256"))
 
 
 @query("""
@@ -155,12 +160,12 @@ SELECT page_id, tag, count(*) AS n FROM (
 ) GROUP BY page_id, tag
 """)
 def html_elements(spark, sf_dir):
-    return parse.rows_of(pages(spark, sf_dir), "elements", *PAGE).groupBy(*PAGE, "tag").agg(F.count("*").alias("n"))
+    return parse.rows_of(pages(spark, sf_dir, "elements"), "elements", *PAGE).groupBy(*PAGE, "tag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, r.kind, replace(r.target, '#', CAST(doc_id AS VARCHAR)) AS target FROM documents, (SELECT unnest(['cid', 'cid', 'remote']) AS kind, unnest(['pic#@example.test', 'gone@example.test', 'http://example.test/#']) AS target) r")
 def html_references(spark, sf_dir):
-    return parse.rows_of(documents(spark, sf_dir), "references", *DOC).select(*DOC, "kind", "target")
+    return parse.rows_of(documents(spark, sf_dir, "references"), "references", *DOC).select(*DOC, "kind", "target")
 
 
 @query("""
@@ -170,7 +175,7 @@ l AS (SELECT conv_id, turn, len(string_split(body, chr(10))) AS own, CASE WHEN l
 SELECT conv_id, turn, CAST(CASE WHEN quoted > 0 THEN own + 2 + quoted ELSE own END AS BIGINT) AS n_lines, CAST(quoted AS BIGINT) AS n_quoted FROM l
 """)
 def view_lines(spark, sf_dir):
-    views = parse.rows_of(conversations(spark, sf_dir), "views", *CONV).select(*CONV, "text")
+    views = parse.rows_of(conversations(spark, sf_dir, "views"), "views", *CONV).select(*CONV, "text")
     return quotes.lines_of(views, *CONV).groupBy(*CONV).agg(F.count("*").alias("n_lines"), F.count_if(F.col("depth") > 0).alias("n_quoted"))
 
 
@@ -181,27 +186,27 @@ SELECT a.conv_id, a.turn, 'on_wrote_en' AS rule_id, 'quote' AS kind, CAST(1 AS I
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1
 """)
 def quote_boundaries(spark, sf_dir):
-    views = parse.rows_of(conversations(spark, sf_dir), "views", *CONV).select(*CONV, "text")
+    views = parse.rows_of(conversations(spark, sf_dir, "views"), "views", *CONV).select(*CONV, "text")
     return quotes.boundaries(quotes.lines_of(views, *CONV), *CONV).drop("prefix_depth")
 
 
 @query("SELECT conv_id, turn, CAST(1 AS INTEGER) AS level, 'on_wrote_en' AS resolution_rule_id, false AS disagreement FROM conversations WHERE turn > 0")
 def view_levels(spark, sf_dir):
-    views = parse.rows_of(conversations(spark, sf_dir), "views", *CONV).select(*CONV, "text")
+    views = parse.rows_of(conversations(spark, sf_dir, "views"), "views", *CONV).select(*CONV, "text")
     lines = quotes.lines_of(views, *CONV)
     return quotes.levels(lines, quotes.boundaries(lines, *CONV), *CONV)
 
 
 @query("SELECT doc_id, p.path, CASE WHEN (p.path = '1.1.1') = (coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') <> '') THEN 'selected' ELSE 'alternative_not_selected' END AS state FROM documents, (SELECT unnest(['1.1.1', '1.1.2']) AS path) p")
 def body_selection(spark, sf_dir):
-    parsed = documents(spark, sf_dir)
-    return bodies.selection(parse.rows_of(parsed, "parts", *DOC), parse.rows_of(parsed, "views", *DOC), *DOC).select(*DOC, "path", "state")
+    both = documents(spark, sf_dir, "parts", "views")
+    return bodies.selection(parse.rows_of(both, "parts", *DOC), parse.rows_of(both, "views", *DOC), *DOC).select(*DOC, "path", "state")
 
 
-def _attached(spark, sf_dir):
-    parsed = documents(spark, sf_dir)
-    parts = parse.rows_of(parsed, "parts", *DOC)
-    return bodies.attachments(parts, *DOC), parts, parse.rows_of(parsed, "references", *DOC)
+def _attached(spark, sf_dir, *more: str):
+    rows = documents(spark, sf_dir, "parts", *more)
+    parts = parse.rows_of(rows, "parts", *DOC)
+    return bodies.attachments(parts, *DOC), parts, parse.rows_of(rows, "references", *DOC) if more else None
 
 
 @query("""
@@ -216,19 +221,19 @@ def attachment_types(spark, sf_dir):
 
 @query("SELECT doc_id, '1.2' AS path, 'referenced' AS use FROM documents UNION ALL SELECT doc_id, '1.3', 'n/a' FROM documents")
 def attachment_cid_use(spark, sf_dir):
-    found, _, references = _attached(spark, sf_dir)
+    found, _, references = _attached(spark, sf_dir, "references")
     return bodies.cid_use(found, references, *DOC).select(*DOC, "path", "use")
 
 
 @query("SELECT doc_id, 'gone@example.test' AS target FROM documents")
 def cid_dangling(spark, sf_dir):
-    _, parts, references = _attached(spark, sf_dir)
+    _, parts, references = _attached(spark, sf_dir, "references")
     return bodies.dangling(parts, references, *DOC).select(*DOC, "target")
 
 
-@query("SELECT gap_id, count(*) AS n FROM (SELECT unnest(CASE WHEN doc_id % 6 = 2 THEN ['attach.type_disagreement', 'attach.type_disagreement', 'attach.occurrence_repeated'] ELSE ['attach.occurrence_repeated'] END) AS gap_id FROM documents) GROUP BY gap_id")
+@query("SELECT gap_id, count(*) AS n FROM (SELECT unnest(CASE WHEN doc_id % 6 = 2 THEN ['attach.type_disagreement', 'attach.type_disagreement', 'attach.occurrence_repeated'] WHEN doc_id % 6 = 4 THEN ['attach.ole_container_unknown', 'attach.ole_container_unknown', 'attach.occurrence_repeated'] ELSE ['attach.occurrence_repeated'] END) AS gap_id FROM documents) GROUP BY gap_id")
 def attachment_gaps(spark, sf_dir):
-    found, _, references = _attached(spark, sf_dir)
+    found, _, references = _attached(spark, sf_dir, "references")
     return bodies.attachment_gaps(found, bodies.cid_use(found, references, *DOC), *DOC).groupBy("gap_id").agg(F.count("*").alias("n"))
 
 
@@ -248,50 +253,24 @@ def payload_budget(spark, sf_dir):
 @query("SELECT conv_id, turn, '<m' || conv_id || '.0@example.test>' AS root_id FROM conversations WHERE turn % 5 <> 4 AND turn < 5 UNION ALL SELECT conv_id, turn, '<m' || conv_id || '.' || (turn - turn % 5 - 1) || '@example.test>' FROM conversations WHERE turn % 5 <> 4 AND turn >= 5")
 def thread_roots(spark, sf_dir):
     """Threads by References; a message whose parent is not there hangs from the id it names."""
-    claims = corpus.thread_claims(parse.rows_of(conversations(spark, sf_dir), "fields", *CONV), *CONV).where("message_id is not null")
+    claims = corpus.thread_claims(parse.rows_of(conversations(spark, sf_dir, "fields"), "fields", *CONV), *CONV).where("message_id is not null")
     roots = corpus.thread_roots(claims)
     return claims.select(*CONV, "message_id").join(roots, "message_id").select(*CONV, "root_id")
 
 
-@query("""
-WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-x AS (SELECT user_id AS doc, event_id, CASE WHEN event_id % 4 = 0 THEN 'received' ELSE 'date' END AS source, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id AS ordinal FROM e WHERE k <= 12)
-SELECT a.doc, a.event_id AS a_event_id, b.event_id AS b_event_id FROM x a JOIN x b ON a.doc = b.doc AND a.event_id < b.event_id
-WHERE CASE WHEN a.utc IS NULL OR b.utc IS NULL THEN true WHEN a.utc = b.utc THEN false WHEN a.source = 'received' AND b.source = 'received' THEN (a.utc < b.utc) <> (a.ordinal > b.ordinal) ELSE true END
-""")
-def time_conflicts(spark, sf_dir):
-    """Unreconciled pairs among the evidence of one document (here: the first twelve events of each user)."""
-    return corpus.time_conflicts(_evidence(spark, sf_dir))
-
-
-def _evidence(spark, sf_dir, whole: bool = False):
-    from pyspark.sql import Window as W
-
+def _evidence(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    if not whole:
-        rows = rows.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("k <= 12")
     return rows.select(F.col("user_id").alias("doc"), "event_id", F.when(F.col("event_id") % 4 == 0, "received").otherwise("date").alias("source"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("utc"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 5 != 0).alias("usable"))
 
 
-@query("""
-WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-x AS (SELECT user_id AS doc, event_id, event_id % 4 = 0 AS hop, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id % 5 <> 0 AS usable FROM e WHERE k <= 12)
-SELECT doc, 'header_date_claimed' AS policy, event_id, CASE WHEN usable AND utc IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY doc, usable AND utc IS NOT NULL ORDER BY utc, event_id) AS INTEGER) END AS position FROM x
-UNION ALL SELECT doc, 'received_chain_header_order', event_id, CASE WHEN hop THEN CAST(row_number() OVER (PARTITION BY doc, hop ORDER BY -event_id) AS INTEGER) END FROM x
-""")
-def time_orders(spark, sf_dir):
-    """Positions of the first twelve events of each user, as its SQL has it; time_orders_whole() takes all."""
-    return corpus.time_orders(_evidence(spark, sf_dir))
-
-
 @query("""
 WITH x AS (SELECT user_id AS doc, event_id, CASE WHEN event_id % 4 = 0 THEN 'received' ELSE 'date' END AS source, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id AS ordinal FROM events)
 SELECT a.doc, a.event_id AS a_event_id, b.event_id AS b_event_id FROM x a JOIN x b ON a.doc = b.doc AND a.event_id < b.event_id
 WHERE CASE WHEN a.utc IS NULL OR b.utc IS NULL THEN true WHEN a.utc = b.utc THEN false WHEN a.source = 'received' AND b.source = 'received' THEN (a.utc < b.utc) <> (a.ordinal > b.ordinal) ELSE true END
 """)
-def time_conflicts_whole(spark, sf_dir):
+def time_conflicts(spark, sf_dir):
     """Unreconciled pairs among all events of each user."""
-    return corpus.time_conflicts(_evidence(spark, sf_dir, whole=True))
+    return corpus.time_conflicts(_evidence(spark, sf_dir))
 
 
 @query("""
@@ -299,9 +278,9 @@ WITH x AS (SELECT user_id AS doc, event_id, event_id % 4 = 0 AS hop, CASE WHEN e
 SELECT doc, 'header_date_claimed' AS policy, event_id, CASE WHEN usable AND utc IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY doc, usable AND utc IS NOT NULL ORDER BY utc, event_id) AS INTEGER) END AS position FROM x
 UNION ALL SELECT doc, 'received_chain_header_order', event_id, CASE WHEN hop THEN CAST(row_number() OVER (PARTITION BY doc, hop ORDER BY -event_id) AS INTEGER) END FROM x
 """)
-def time_orders_whole(spark, sf_dir):
+def time_orders(spark, sf_dir):
     """Positions of all events of each user."""
-    return corpus.time_orders(_evidence(spark, sf_dir, whole=True))
+    return corpus.time_orders(_evidence(spark, sf_dir))
 
 
 @query("""
@@ -324,26 +303,14 @@ def child_links(spark, sf_dir):
     return corpus.link_children(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("occurrence_id"), hashed.alias("sha256")), stores).select("occurrence_id", "outcome")
 
 
-@query("SELECT n, count(*) AS groups FROM (SELECT text, count(*) AS n FROM (SELECT CASE WHEN coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' THEN 'doc' || doc_id ELSE regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') END AS text FROM documents) GROUP BY text) GROUP BY n")
+@query("SELECT n, count(*) AS groups FROM (SELECT digest, count(*) AS n FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(regexp_replace(coalesce(text, ''), '\\r?\\n', chr(13) || chr(10), 'g')) ELSE sha256('in ' || coalesce(lang, '')) END AS digest FROM documents) GROUP BY digest) GROUP BY n")
 def body_fingerprints(spark, sf_dir):
-    """Groups of messages with one body digest, by size."""
-    parsed = documents(spark, sf_dir)
-    views = parse.rows_of(parsed, "views", *DOC)
-    body = bodies.selected_body(bodies.selection(parse.rows_of(parsed, "parts", *DOC), views, *DOC), views, *DOC)
+    """Groups of messages with one body digest, by size: HTML where there is any, else plain. The body is chosen within each row; digests alone are shuffled."""
+    made = parse.parse_messages(messages.alternative_mail(table(spark, sf_dir, "documents")), want=("parts", "views"))
+    body = made.withColumn("body", records.body_of()).select(F.sha2(F.coalesce("body.text", F.lit("")), 256).alias("body_digest"))
     return body.groupBy("body_digest").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
 
 
-@query("""
-SELECT conv_id, turn, CAST(octet_length(encode(substr(body, 1, least(3, length(body))))) AS BIGINT) AS size FROM (SELECT conv_id, turn, regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') AS body FROM conversations)
-""")
-def citations(spark, sf_dir):
-    """The raw bytes behind the first three characters of each body."""
-    parsed = conversations(spark, sf_dir)
-    views = parse.rows_of(parsed, "views", *CONV)
-    spans = views.select(*CONV, "path", F.lit(0).alias("start"), F.least(F.lit(3), F.length("text")).alias("end"))
-    return corpus.cite(views, parse.rows_of(parsed, "parts", *CONV), spans, *CONV).select(*CONV, F.col("size").cast("long").alias("size"))
-
-
 @query("""
 WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') AS body FROM conversations),
 m AS (SELECT a.conv_id, a.turn, a.body || CASE WHEN b.body IS NULL THEN '' ELSE chr(13) || chr(10) || chr(13) || chr(10) || 'On Tuesday, ' || b.role || ' wrote:' || chr(13) || chr(10) || '> ' || replace(b.body, chr(13) || chr(10), chr(13) || chr(10) || '> ') END AS text
@@ -351,11 +318,11 @@ m AS (SELECT a.conv_id, a.turn, a.body || CASE WHEN b.body IS NULL THEN '' ELSE
 s AS (SELECT *, unnest(range(0, greatest(length(text), 1), 64)) AS start FROM m)
 SELECT conv_id, turn, start, least(start + 64, length(text)) AS "end", CAST(octet_length(encode(substr(text, 1, start))) AS BIGINT) AS "offset", CAST(octet_length(encode(substr(text, start + 1, 64))) AS BIGINT) AS size FROM s
 """)
-def citations_whole(spark, sf_dir):
+def citations(spark, sf_dir):
     """The raw bytes behind every stretch of 64 characters of each body, from the first to the last; offsets count from the body's first byte."""
-    parsed = conversations(spark, sf_dir)
-    views = parse.rows_of(parsed, "views", *CONV)
-    parts = parse.rows_of(parsed, "parts", *CONV)
+    both = conversations(spark, sf_dir, "views", "parts")
+    views = parse.rows_of(both, "views", *CONV)
+    parts = parse.rows_of(both, "parts", *CONV)
     starts = views.select(*CONV, "path", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(64))).alias("start"))
     spans = starts.select(*CONV, "path", "start", F.least(F.col("start") + 64, F.col("n")).alias("end"))
     cited = corpus.cite(views, parts, spans, *CONV).join(parts.select(*CONV, "path", "body_at"), [*CONV, "path"])
@@ -365,6 +332,6 @@ def citations_whole(spark, sf_dir):
 @query("SELECT role || '.' AS sender_prefix, count(*) AS messages, count(DISTINCT conv_id) AS threads FROM conversations WHERE turn % 5 <> 4 GROUP BY 1")
 def messages_by_sender(spark, sf_dir):
     """Flagship: parse, take the sender of each message, aggregate."""
-    rows = parse.rows_of(conversations(spark, sf_dir), "fields", *CONV).where("lower(name) = 'from'")
+    rows = parse.rows_of(conversations(spark, sf_dir, "fields"), "fields", *CONV).where("lower(name) = 'from'")
     sender = F.regexp_extract("parsed_value", r"^([a-z]+\.)", 1)
     return rows.groupBy(sender.alias("sender_prefix")).agg(F.count("*").alias("messages"), F.count_distinct("conv_id").alias("threads"))

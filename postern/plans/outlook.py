@@ -64,7 +64,7 @@ def compound_accounting(spark, sf_dir):
 @query("SELECT 'orphans' AS gate, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'silent_drops', 0 UNION ALL SELECT 'unnamed_caps', 0")
 def quality_gates(spark, sf_dir):
     """Violations of each gate over the messages rendered from documents."""
-    parsed = mail.documents(spark, sf_dir)
+    parsed = mail.documents(spark, sf_dir, "parts", "views", "caps")
     parts, views, caps = (parse.rows_of(parsed, name, "doc_id") for name in ("parts", "views", "caps"))
     found = {"orphans": quality.orphans(parts, "doc_id"), "silent_drops": quality.silent_drops(parts, views, caps, "doc_id"), "unnamed_caps": quality.unnamed_caps(caps, "doc_id")}
     rows = None

@@ -98,3 +98,11 @@ def document_mail(documents: DataFrame) -> DataFrame:
 def page_mail(pages: DataFrame) -> DataFrame:
     head = f"From: web@example.test{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Transfer-Encoding: 8bit{CRLF}{CRLF}"
     return pages.select("page_id", F.encode(F.concat(F.lit(head), F.coalesce("html", F.lit(""))), "UTF-8").alias("raw"))
+
+
+def alternative_mail(documents: DataFrame) -> DataFrame:
+    """(doc_id, raw): the text of every second document alone, of the others with an HTML alternative that names its language."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n", CRLF)
+    plain = part("text/plain; charset=utf-8", text, "8bit")
+    both = multipart("alternative", "=alt=", [plain, part("text/html; charset=utf-8", F.concat(F.lit("<p>in <b>"), F.coalesce("lang", F.lit("")), F.lit("</b></p>")))])
+    return documents.select("doc_id", F.encode(F.when(F.col("doc_id") % 2 == 0, plain).otherwise(both), "UTF-8").alias("raw"))

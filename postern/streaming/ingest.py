@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postern.limits import Limits
 from postern.operators import corpus, parse
-from postern.shared import new_path
+from postern.shared import exists, new_path
 from postern.sources import messages
 
 
@@ -41,11 +41,6 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, limits:
     files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def windows(events: DataFrame, time: str, group: str, size: str, late: str) -> DataFrame:
     """(window_start, window_end, group, n): tumbling counts. State is dropped, and a window emitted, once the watermark passes its end."""
     counted = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), group).agg(F.count("*").alias("n"))

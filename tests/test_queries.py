@@ -78,14 +78,14 @@ def test_whole_time_queries_take_every_event(spark):
 
     events = plans.mail.table(spark, DATA, "events")
     n = events.count()
-    orders = plans.QUERIES["time_orders_whole"](spark, DATA)
+    orders = plans.QUERIES["time_orders"](spark, DATA)
     assert orders.count() == 2 * n and orders.select("event_id").distinct().count() == n
-    late = plans.QUERIES["time_conflicts_whole"](spark, DATA).groupBy("doc").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+    late = plans.QUERIES["time_conflicts"](spark, DATA).groupBy("doc").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
     assert late > 12 * 11 // 2
 
 
 def test_whole_citations_reach_the_end_of_each_body(spark):
-    rows = plans.QUERIES["citations_whole"](spark, DATA).collect()
+    rows = plans.QUERIES["citations"](spark, DATA).collect()
     ends = {}
     for r in rows:
         ends[r.conv_id, r.turn] = max(ends.get((r.conv_id, r.turn), 0), r.offset + r.size)
