@@ -37,7 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     if (made := _made.get()) is not None:
         made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -46,7 +48,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _paths(df: DataFrame) -> set[str]:
-    return {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    """Names of the folders that cut() wrote for ``df``."""
+    files = [f"{df._cut}/"] if hasattr(df, "_cut") else df.inputFiles()
+    return {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in files}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
