@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postern.llm.common import unwrap, wrap
+from postern.shared import cut, scratch
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -62,19 +63,22 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     """
     new = ("host", "blocked", "n_entries", "entry")
     names = [c for c in captures.columns if c.lower() not in new]
-    spans = validity(events)
-    deepest = spans.agg(F.max("depth")).first()[0] or 0
-    segments = F.slice(segments_of(F.regexp_extract("url", PATH, 1)), 1, deepest) if deepest else F.array().cast("array<string>")
-    rows = wrap(captures, names, url=url, day_=fetched).select("row_", host_of(F.col("url")).alias("host"), F.array_join(segments, "/").alias("path_"), "day_")
-    keys = rows.where("host is not null and day_ is not null").select(F.col("host").alias("h"), F.col("path_").alias("p"), F.col("day_").alias("d")).distinct()
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    by_domain = _covered(keys.select("h", "d").distinct().select("h", "d", F.explode(F.array_distinct(suffixes)).alias("asked")).where("asked <> ''"), spans.where("depth is null"), "h", "d")
-    parts = F.filter(F.split("p", "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat("h", join_path(F.slice(parts, 1, i))))
-    by_path = _covered(keys.select("h", "p", "d", F.explode(prefixes).alias("asked")), spans.where("depth is not null"), "h", "p", "d").withColumnsRenamed({"n": "m", "first": "other"})
-    verdicts = keys.join(by_domain, ["h", "d"], "left").join(by_path, ["h", "p", "d"], "left").where("n is not null or m is not null")
-    verdicts = verdicts.select("h", "p", "d", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_entries"), F.least("first", "other").alias("entry"))
+    with scratch(captures.sparkSession) as stays:
+        spans = cut(validity(events))
+        deepest = spans.agg(F.max("depth")).first()[0] or 0
+        segments = F.slice(segments_of(F.regexp_extract("url", PATH, 1)), 1, deepest) if deepest else F.array().cast("array<string>")
+        rows = wrap(captures, names, url=url, day_=fetched).select("row_", host_of(F.col("url")).alias("host"), F.array_join(segments, "/").alias("path_"), "day_")
+        keys = cut(rows.where("host is not null and day_ is not null").select(F.col("host").alias("h"), F.col("path_").alias("p"), F.col("day_").alias("d")).distinct())
+        labels = F.split("h", r"\.")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        by_domain = _covered(keys.select("h", "d").distinct().select("h", "d", F.explode(F.array_distinct(suffixes)).alias("asked")).where("asked <> ''"), spans.where("depth is null"), "h", "d")
+        parts = F.filter(F.split("p", "/"), lambda x: x != "")
+        prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat("h", join_path(F.slice(parts, 1, i))))
+        by_path = _covered(keys.select("h", "p", "d", F.explode(prefixes).alias("asked")), spans.where("depth is not null"), "h", "p", "d").withColumnsRenamed({"n": "m", "first": "other"})
+        verdicts = keys.join(by_domain, ["h", "d"], "left").join(by_path, ["h", "p", "d"], "left").where("n is not null or m is not null")
+        # written, as are the list and the keys: plans stay small, and each is made once
+        verdicts = cut(verdicts.select("h", "p", "d", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_entries"), F.least("first", "other").alias("entry")))
+        stays.append(verdicts)
     joined = rows.join(verdicts, (F.col("host") == F.col("h")) & (F.col("path_") == F.col("p")) & (F.col("day_") == F.col("d")), "left")
     return joined.select(*unwrap(names), "host", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "entry")
 
@@ -89,7 +93,7 @@ def _number(text: Column, salt: str, modulus: int) -> Column:
 
 def example_events(pages: DataFrame) -> DataFrame:
     """A dated list: ``FIXED``, and a third of the hosts of ``pages``, some parent domains and some paths of one to three parts, which come and go."""
-    hosts = pages.select(host_of(F.col("url")).alias("host"), F.slice(segments_of(F.regexp_extract("url", PATH, 1)), 1, 3).alias("segs")).where("host is not null")
+    hosts = pages.select(host_of(F.col("url")).alias("host"), F.slice(segments_of(F.regexp_extract("url", PATH, 1)), 1, 3).alias("segs")).where("host is not null").distinct()
     alone = hosts.select("host").distinct()
     paths = hosts.where("size(segs) > 0").select(F.concat("host", join_path(F.col("segs"))).alias("path")).distinct()
     parent = F.regexp_replace("host", r"^[^.]*\.", "")
