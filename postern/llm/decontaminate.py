@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.llm.common import boolean, filter_of, long, map_texts, passes, rolled, string, unwrap, word_hashes, wrap
-from postern.shared import cut
+from postern.shared import cut, forget
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -206,7 +206,10 @@ def mark_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     total = pieces.agg(F.sum("n")).first()[0] or 0
     n_shards = -(-total // shard_words)
     if n_shards <= 1:
-        made = [bytes(r.automaton) for r in build(pieces, window, 1).collect()] or [pickle.dumps(Automaton([], window))]  # at most one
+        built = build(pieces, window, 1)
+        made = [bytes(r.automaton) for r in built.collect()] or [pickle.dumps(Automaton([], window))]  # at most one
+        forget(built)
+        forget(pieces)
         return map_texts(docs, _scanning(sc.broadcast(made[0]), True), fields, text, keep=cols)
     # a larger benchmark: one read of the documents chooses those that a window may lie in
     sizes = [r.n for r in pieces.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most ``window``

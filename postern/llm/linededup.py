@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.llm.common import filter_of, flagged, long, map_texts, passes, string, unwrap, wrap
-from postern.shared import cut
+from postern.shared import cut, scratch
 
 #: A chunk ends where the rolling hash is 0 modulo this; words of a line that is a passage by itself.
 MODULUS, LONG = 3, 50
@@ -115,7 +115,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Lines end at ``\\n``. A null text has no lines and stays null; an empty one has one empty line. A text whose chunks all
     go becomes empty. Rows equal in id and text are one occurrence: they keep or lose the same chunks.
     """
-    gone = cut(repeated_chunks(docs, doc_id, text))
+    with scratch(docs.sparkSession) as stays:
+        gone = cut(repeated_chunks(docs, doc_id, text))
+        stays.append(gone)
     packed = filter_of(gone.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h")
     names = [c for c in docs.columns if c.lower() not in {f.name for f in REPORT}]
     rows = wrap(docs, [c for c in names if c != text], doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
@@ -183,26 +185,28 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def hashes():
         return lambda texts: [[[h for *_, h in _window_hashes(t)] for t in texts]]
 
-    seen = map_texts(rows, hashes, [T.StructField("h", T.ArrayType(T.LongType()))], keep=[]).select(F.explode("h").alias("h"))
-    packed = filter_of(cut(seen.groupBy("h").count().where("count > 1").select("h")), "h")
-    piece = T.StructType([long("lo"), long("hi"), long("g"), long("h")])
-
-    def pieces():
-        def fn(texts):
-            out = []
-            for t in texts:
-                made = _window_hashes(t)
-                out.append([dict(zip(("lo", "hi", "g", "h"), x, strict=True)) for x, ok in zip(made, passes(packed.value, [x[3] for x in made]), strict=True) if ok])
-            return [out]
-
-        return fn
-
-    found = cut(map_texts(rows, pieces, [T.StructField("p", T.ArrayType(piece))], keep=["doc_id", "text_hash"], slice_rows=64).select("doc_id", "text_hash", F.inline("p")))
-    place = F.struct("doc_id", "lo", "text_hash")
-    again = cut(found.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("g").alias("same_g"), F.col("h").alias("same_h"), "first"))
-    marks = found.join(again, (F.col("g") == F.col("same_g")) & (F.col("h") == F.col("same_h")))
-    marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", place.eqNullSafe(F.col("first")).alias("stays"))).alias("marks"))
-    marks = cut(marks.where(F.exists("marks", lambda m: ~m["stays"])))
+    with scratch(docs.sparkSession) as stays:
+        seen = map_texts(rows, hashes, [T.StructField("h", T.ArrayType(T.LongType()))], keep=[]).select(F.explode("h").alias("h"))
+        packed = filter_of(cut(seen.groupBy("h").count().where("count > 1").select("h")), "h")
+        piece = T.StructType([long("lo"), long("hi"), long("g"), long("h")])
+
+        def pieces():
+            def fn(texts):
+                out = []
+                for t in texts:
+                    made = _window_hashes(t)
+                    out.append([dict(zip(("lo", "hi", "g", "h"), x, strict=True)) for x, ok in zip(made, passes(packed.value, [x[3] for x in made]), strict=True) if ok])
+                return [out]
+
+            return fn
+
+        found = cut(map_texts(rows, pieces, [T.StructField("p", T.ArrayType(piece))], keep=["doc_id", "text_hash"], slice_rows=64).select("doc_id", "text_hash", F.inline("p")))
+        place = F.struct("doc_id", "lo", "text_hash")
+        again = cut(found.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("g").alias("same_g"), F.col("h").alias("same_h"), "first"))
+        marks = found.join(again, (F.col("g") == F.col("same_g")) & (F.col("h") == F.col("same_h")))
+        marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", place.eqNullSafe(F.col("first")).alias("stays"))).alias("marks"))
+        marks = cut(marks.where(F.exists("marks", lambda m: ~m["stays"])))
+        stays.append(marks)
     met = filter_of(marks.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h")
     all_rows = wrap(docs, [c for c in names if c != text], doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
     all_rows = flagged(all_rows, F.xxhash64("doc_id", "text_hash"), met)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.llm.common import filter_of, long, map_texts, passes, string, unwrap, wrap
-from postern.shared import cut
+from postern.shared import cut, scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM_KIND = 4
@@ -285,7 +285,9 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     made = {*[f.name for f in REPORT], "clean_sha256" if digest else "clean_text"}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     rows = wrap(docs, names, text=text)
-    told = cut(disclosing(rows.select("text")).select("t").distinct())
+    with scratch(docs.sparkSession) as stays:
+        told = cut(disclosing(rows.select("text")).select("t").distinct())
+        stays.append(told)
     lots = max(1, -(-told.count() // lot))
     for k in range(lots):
         some = told.where(F.pmod(F.xxhash64("t"), F.lit(lots)) == k).toPandas()["t"]  # about ``lot`` numbers

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from postern.llm.common import boolean, double, long, map_texts
 from postern.llm.decontaminate import words_of
 from postern.llm.neardup import shingles_of
-from postern.shared import cut
+from postern.shared import cut, forget
 
 #: Labelled documents of a fit, least documents of a feature, least chi-square, least share of toxic texts among a feature's, most features.
 MAX_ROWS, SUPPORT, CHI, SHARE, FEATURES = 12_000, 8, 32.0, 0.97, 512
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         return lambda given: [[sorted(at[w] for w in map(bytes, bag) if w in at) for bag in given]]
 
     rows = map_texts(bags, known, [T.StructField("at", T.ArrayType(T.LongType()))], "bag", keep=["grade"]).collect()
+    forget(bags)
     return fit(sorted((r.grade, r.at) for r in rows), words)
 
 
