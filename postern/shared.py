@@ -80,3 +80,15 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 _delete(spark, path)
             elif (outer := _made.get()) is not None:
                 outer.append(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Queries that run inside hand rows to Python workers in Arrow batches of at most ``size``: for rows of many KB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
