@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.llm.common import M1, filter_of, flagged, long, map_texts, mix, passes, rolled, unwrap, word_hashes, wrap
-from postern.shared import cut
+from postern.shared import cut, forget, scratch, small_batches
 
 #: Words of a shingle and similarity in percent where no contract says otherwise.
 WORDS, PERCENT = 5, 80
@@ -143,7 +143,9 @@ def root_nodes(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.select(*SHAPE, F.posexplode(keys).alias("t", "key"))
     counts = cut(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("c > 1"))
     shared = flagged(rows, F.col("key"), filter_of(counts, "key")).where("flag_")
-    return cut(shared.join(counts, "key").select("key", "t", "c", F.when(F.col("t") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("pivot"), *SHAPE))
+    nodes = cut(shared.join(counts, "key").select("key", "t", "c", F.when(F.col("t") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("pivot"), *SHAPE))
+    forget(counts)
+    return nodes
 
 
 def within(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
@@ -397,39 +399,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"n_shingles", "component_id", "kept", "rid"}]
     docs = wrap(docs, names, doc_id=doc_id, text=text)
-    rows = cut(signed(docs, words, "text", ["row_", "doc_id"]).withColumn("rid", F.monotonically_increasing_id()))
-    least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), *B, "sig")).alias("r"), F.min("doc_id").alias("first_id"))
-    classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
-    nodes = root_nodes(classes, percent)
-    pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
-    of_ids = lambda ids: classes.join(ids, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
-    known = cut(of_ids(ends_of(pairs)))
-    sets = cut(sets_of(docs, known, words))
-    # each class with its nearest and its least candidate: most groups are whole then
-    first = cut(best(pairs, percent))
-    labels = groups(confirm(first, sets, percent))
-    links = []
-    nodes = relabel(nodes.where(F.col("c") > SMALL).select("key", *SHAPE, F.col("cid").alias("root")), labels, "root")
-    for level in range(len(BRANCH) + 1):
-        nodes = mixed(nodes)
-        if nodes.isEmpty():
-            break
-        new = cut(of_ids(nodes.select("cid").distinct().join(known.select("cid"), "cid", "left_anti")))
-        if not new.isEmpty():
-            known, sets = known.union(new), sets.union(cut(sets_of(docs, new, words)))
-        last = level == len(BRANCH)
-        links.append(cut(compared(nodes if last else nodes.where(F.col("outside") <= OUTSIDE), sets, percent)))
-        nodes = nodes.where(F.col("outside") > OUTSIDE)
-        if last or nodes.isEmpty():
-            break
-        nodes = children(classes, nodes, level)
-    # what small nodes hold between groups
-    rest = between(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    links.append(confirm(rest, sets, percent, "ra", "rb").select("ra", "rb"))
-    labels = merged(labels, groups(reduce(DataFrame.union, links).toDF("a", "b")))
-    of_id = classes.select("cid", "first_id").join(labels, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
-    named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id", F.col("root").alias("group_root")))
-    of_class = classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("group_root", "cid").alias("group_id"))
+    with scratch(docs.sparkSession) as stays, small_batches(docs.sparkSession):
+        rows = cut(signed(docs, words, "text", ["row_", "doc_id"]).withColumn("rid", F.monotonically_increasing_id()))
+        least = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), *B, "sig")).alias("r"), F.min("doc_id").alias("first_id"))
+        classes = cut(least.select(F.col("r.rid").alias("cid"), "s1", "s2", F.col("r.d").alias("doc_id"), *[f"r.{k}" for k in ("n", *B, "sig")], "first_id"))
+        roots = nodes = root_nodes(classes, percent)
+        pairs = cut(within(nodes.where(F.col("c") <= SMALL), percent).union(with_pivots(nodes, percent)).distinct())
+        of_ids = lambda ids: classes.join(ids, "cid", "left_semi").select("cid", "s1", "s2", "doc_id")
+        known = cut(of_ids(ends_of(pairs)))
+        sets = cut(sets_of(docs, known, words))
+        # each class with its nearest and its least candidate: most groups are whole then
+        first = cut(best(pairs, percent))
+        labels = groups(confirm(first, sets, percent))
+        links = []
+        nodes = relabel(nodes.where(F.col("c") > SMALL).select("key", *SHAPE, F.col("cid").alias("root")), labels, "root")
+        for level in range(len(BRANCH) + 1):
+            nodes = mixed(nodes)
+            if level == 0:
+                forget(roots)
+            if nodes.isEmpty():
+                break
+            new = cut(of_ids(nodes.select("cid").distinct().join(known.select("cid"), "cid", "left_anti")))
+            if not new.isEmpty():
+                known, sets = known.union(new), sets.union(cut(sets_of(docs, new, words)))
+            last = level == len(BRANCH)
+            links.append(cut(compared(nodes if last else nodes.where(F.col("outside") <= OUTSIDE), sets, percent)))
+            nodes = nodes.where(F.col("outside") > OUTSIDE)
+            if last or nodes.isEmpty():
+                break
+            nodes = children(classes, nodes, level)
+        # what small nodes hold between groups
+        rest = between(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
+        links.append(confirm(rest, sets, percent, "ra", "rb").select("ra", "rb"))
+        labels = merged(labels, groups(reduce(DataFrame.union, links).toDF("a", "b")))
+        of_id = classes.select("cid", "first_id").join(labels, F.col("cid") == F.col("id")).select("cid", "first_id", "root")
+        named = cut(of_id.join(of_id.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select(F.col("cid").alias("id"), "least_id", F.col("root").alias("group_root")))
+        of_class = cut(classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "first_id").join(named, F.col("cid") == F.col("id"), "left").select("c1", "c2", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("group_root", "cid").alias("group_id")))
+        stays += [rows, of_class]
     out = rows.join(of_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     own = F.col("doc_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own)
