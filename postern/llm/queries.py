@@ -58,11 +58,11 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of several lines, whatever surrounds them; op10_linededup keeps to the chunks of its SQL."""
+def linededup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 10: repeated passages of several lines, whatever surrounds them; op10_linededup keeps to the chunks of its SQL."""
     done = linededup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "passage_lines_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_neardup, op3_packing, op4_chat, op5_audio, op6_urlfilter, op7_decontaminate, op8_pii, op9_toxicity, op10_linededup, op10_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_neardup, op3_packing, op4_chat, op5_audio, op6_urlfilter, op7_decontaminate, op8_pii, op9_toxicity, op10_linededup, linededup_passages)}
 SQL: dict[str, str] = {"op2_neardup": neardup.SQL, "op6_urlfilter": urlfilter.SQL, "op7_decontaminate": decontaminate.SQL, "op10_linededup": linededup.SQL}
