@@ -35,6 +35,7 @@ class Compound:
     faults: list[tuple[str, str]] = field(default_factory=list)
     accounting: dict[str, int] = field(default_factory=dict)
     streams: dict[str, bytes] = field(default_factory=dict)
+    long_difat: bool = False
 
     def get(self, path: str) -> bytes | None:
         """A stream by its path; names are compared without case."""
@@ -93,6 +94,7 @@ def read(raw: bytes) -> Compound:
         visited.append(at)
         *more, at = numbers(at) or [END]
         fat_at += more
+    out.long_difat = bool(visited)
     fat_at = [k for k in fat_at if k < FAT_MARK - 1][:n_fat]
     if any(k >= count for k in fat_at):
         out.faults.append(("fat", "out_of_range"))

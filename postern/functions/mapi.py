@@ -17,6 +17,9 @@ SUBJECT, CLASS, BODY, HTML, RTF, SENT, MESSAGE_ID, NAME, ADDRESS, ROLE = 0x37, 0
 ATTACH_DATA, ATTACH_NAME, ATTACH_SHORT, ATTACH_MIME, ATTACH_CID, ATTACH_METHOD, SMTP = 0x3701, 0x3707, 0x3704, 0x370E, 0x3712, 0x3705, 0x39FE
 INTERNET_PAGE, MESSAGE_PAGE, TRANSPORT, ATTACH_FLAGS, ATTACH_HIDDEN, REFERENCED = 0x3FDE, 0x3FFD, 0x7D, 0x3714, 0x7FFE, 4
 ROLES = {1: "to", 2: "cc", 3: "bcc"}
+#: The tags that a reader of messages knows, and where tags begin whose meaning a file itself defines.
+KNOWN = frozenset((SUBJECT, CLASS, BODY, HTML, RTF, SENT, NAME, ROLE, SMTP, ATTACH_DATA, ATTACH_NAME, ATTACH_SHORT, ATTACH_MIME, ATTACH_CID, ATTACH_METHOD, INTERNET_PAGE, MESSAGE_PAGE, TRANSPORT, ATTACH_FLAGS, ATTACH_HIDDEN, 0x0E06, 0x3007, 0x3008, 0x0C1A, 0x0C1E, 0x0C1F, 0x5D01, 0x3002, ADDRESS, 0x3703))
+NAMED, EMBEDDED = range(0x8000, 0xFFFF), 5
 
 
 def stream_name(tag: int, kind: int) -> str:
@@ -59,7 +62,7 @@ def properties(file: Compound, storage: str = "", header: int = 32, pages: list[
         pages = [numbers[t] for t in (INTERNET_PAGE, MESSAGE_PAGE) if t in numbers]
     out = []
     for kind, tag, _, value in entries:
-        row = {"tag": tag, "type": kind, "value": None, "data": None, "how": None, "fault": None}
+        row = {"tag": tag, "type": kind, "value": None, "data": None, "how": None, "ladder": False, "fault": None}
         if kind in (UNICODE, STRING8, BINARY):
             data = file.get(f"{prefix}__substg1.0_{tag:04X}{kind:04X}")
             if data is None:
@@ -73,6 +76,7 @@ def properties(file: Compound, storage: str = "", header: int = 32, pages: list[
                     row |= {"data": data, "fault": "bad_utf16"}
             else:
                 row["value"], row["how"] = text8(data.rstrip(b"\0"), pages)
+                row["ladder"] = row["how"] not in [f"cp{page}" for page in pages]
         elif kind in (I16, I32, BOOL, I64, TIME, REAL):
             number = struct.unpack({I16: "<h6x", I32: "<i4x", BOOL: "<H6x", I64: "<q", TIME: "<q", REAL: "<d"}[kind], value)[0]
             row["value"] = utc_of(number) if kind == TIME else str(bool(number)).lower() if kind == BOOL else str(number)
@@ -82,6 +86,44 @@ def properties(file: Compound, storage: str = "", header: int = 32, pages: list[
     return out
 
 
+def _children(file: Compound, prefix: str, below: str = "") -> list[str]:
+    """Storages named ``prefix`` and a number, directly below ``below``, in file order."""
+    start = f"{below}/{prefix}".lower() if below else prefix.lower()
+    return [e.path for e in file.entries if e.kind == 1 and e.path.lower().startswith(start) and "/" not in e.path[len(start) :]]
+
+
+def _number(path: str) -> int | None:
+    try:
+        return int(path.rpartition("#")[2], 16)
+    except ValueError:
+        return None
+
+
+def embedded_summary(file: Compound, storage: str) -> dict | None:
+    """What an attached message says of itself, one level deep: a message attached to it is named, not read."""
+    inner = next((e.path for e in file.entries if e.kind == 1 and e.path.lower() == f"{storage}/{stream_name(ATTACH_DATA, OBJECT)}".lower()), None)
+    if inner is None:
+        return None
+    rows = {p["tag"]: p for p in reversed(properties(file, inner, 24))}
+    value = lambda tag: rows[tag]["value"] if tag in rows else None
+    files = _children(file, "__attach_version1.0_#", inner)
+    nested = next((_number(path) for path in files if any(p["tag"] == ATTACH_METHOD and p["value"] == str(EMBEDDED) for p in properties(file, path, 8, []))), None)
+    return {"message_class": value(CLASS), "subject": value(SUBJECT), "has_transport": TRANSPORT in rows, "n_recipients": len(_children(file, "__recip_version1.0_#", inner)), "n_attachments": len(files), "nested": nested}
+
+
+def observations(file: Compound, top: list[dict], recipients: list[tuple[str, list[dict]]], attached: list[dict]) -> list[tuple[str, str]]:
+    """(gap, detail) of a message's properties: tags without a known meaning, named ones, text that no declared page decodes, recipients that disagree with their count."""
+    both = [*top, *[p for _, rows in recipients for p in rows]]
+    named = sorted({f"{p['tag']:04x}" for p in both if p["tag"] in NAMED})
+    unknown = sorted({f"{p['tag']:04x}:{p['type']:04x}" for p in [*both, *attached] if p["tag"] not in KNOWN and p["tag"] not in NAMED})
+    table = file.get(TABLE) or b""
+    declared = struct.unpack_from("<I", table, 16)[0] if len(table) >= 20 else None
+    unreadable = next((path for path, rows in recipients if _number(path) is None or file.get(f"{path}/{TABLE}") is None), None)
+    disagree = f"declared={declared} rows={len(recipients)}" if declared is not None and declared != len(recipients) else unreadable
+    found = [("msg.property_tag_unknown", ",".join(unknown) or None), ("msg.named_property_unresolved", ",".join(named) or None), ("msg.codepage_unresolved_ladder_used", "" if any(p["ladder"] for p in both) else None), ("msg.recipient_table_unreadable", disagree)]
+    return [(gap, detail) for gap, detail in found if detail is not None]
+
+
 def message(file: Compound) -> dict:
     """Properties, recipients, attachments and bodies of a message; other classes of items are refused by ``refused``."""
     props = properties(file)
@@ -102,31 +144,40 @@ def message(file: Compound) -> dict:
         out["html"], out["html_how"] = text8(by_tag[HTML]["data"], pages)
     if RTF in by_tag and by_tag[RTF]["data"] is not None:
         out["rtf"], out["rtf_fault"] = rtf.expand(by_tag[RTF]["data"])
+    people: list[tuple[str, list[dict]]] = []
+    attached: list[dict] = []
+    out["embedded"] = []
     for e in file.entries:
         if "/" in e.path or e.kind != 1:
             continue
         low = e.path.lower()
         if low.startswith(("__recip_version1.0_#", "__attach_version1.0_#")):
-            rows = {p["tag"]: p for p in reversed(properties(file, e.path, 8, pages))}
+            own = properties(file, e.path, 8, pages)
+            rows = {p["tag"]: p for p in reversed(own)}
             if low.startswith("__recip"):
+                people.append((e.path, own))
                 out["recipients"].append({"role": ROLES.get(int(text(rows, ROLE) or 0), "unknown"), "name": text(rows, NAME), "address": text(rows, SMTP, ADDRESS)})
             else:
+                attached += own
+                if text(rows, ATTACH_METHOD) == str(EMBEDDED) and (summary := embedded_summary(file, e.path)):
+                    out["embedded"].append({"ordinal": len(out["attachments"])} | summary)
                 data = rows[ATTACH_DATA]["data"] if ATTACH_DATA in rows else None
                 embedded = any(x.path.lower() == f"{low}/__substg1.0_3701000d" for x in file.entries)
                 filename = next((rows[t]["value"] for t in (ATTACH_NAME, ATTACH_SHORT, NAME) if t in rows and rows[t]["value"]), None)
                 flags = int(text(rows, ATTACH_FLAGS) or 0)
                 more = {"inline": bool(flags & REFERENCED), "hidden": text(rows, ATTACH_HIDDEN) == "true", "stream": f"{e.path}/{stream_name(ATTACH_DATA, BINARY)}"}
                 out["attachments"].append(more | {"filename": filename, "mime": text(rows, ATTACH_MIME), "content_id": text(rows, ATTACH_CID), "method": text(rows, ATTACH_METHOD), "embedded": embedded, "data": data})
+    out["observations"] = observations(file, props, people, attached)
     return out
 
 
-def render(subject: str, body: str | None, recipients: list[tuple[int, str, str]], attachments: list[tuple], sent: int, rich: bytes | None = None, html: bytes | None = None, transport: str | None = None) -> dict:
-    """The storages of a message, for compound.write(). Attachments: name, media type, data (None: embedded elsewhere), and a content id if it is inline."""
+def render(subject: str, body: str | None, recipients: list[tuple[int, str, str]], attachments: list[tuple], sent: int, rich: bytes | None = None, html: bytes | None = None, transport: str | None = None, extra: list[tuple[int, int, object]] | None = None) -> dict:
+    """The storages of a message, for compound.write(). Attachments: name, media type, data (a tree as this makes: an embedded message; None: one that is missing), and a content id if it is inline. ``extra``: more properties."""
 
     def storage(header: bytes, values: list[tuple[int, int, object]]) -> dict:
         tree, table = {}, bytearray(header)
         for tag, kind, v in values:
-            if kind in (UNICODE, BINARY):
+            if kind in (UNICODE, STRING8, BINARY):
                 data = v.encode("utf-16-le") if kind == UNICODE else v
                 tree[f"__substg1.0_{tag:04X}{kind:04X}"] = data
                 cell = struct.pack("<II", len(data) + 2 * (kind == UNICODE), 0)
@@ -137,12 +188,15 @@ def render(subject: str, body: str | None, recipients: list[tuple[int, str, str]
 
     head = bytes(8) + struct.pack("<4I", len(recipients), len(attachments), len(recipients), len(attachments)) + bytes(8)
     more = [(BODY, UNICODE, body), (RTF, BINARY, rich), (HTML, BINARY, html), (TRANSPORT, UNICODE, transport)]
-    top = [(CLASS, UNICODE, "IPM.Note"), (SUBJECT, UNICODE, subject), (SENT, TIME, sent), *[p for p in more if p[2] is not None]]
+    top = [(CLASS, UNICODE, "IPM.Note"), (SUBJECT, UNICODE, subject), (SENT, TIME, sent), *[p for p in more if p[2] is not None], *(extra or [])]
     tree = storage(head, top)
     for k, (role, name, address) in enumerate(recipients):
         tree[f"__recip_version1.0_#{k:08X}"] = storage(bytes(8), [(ROLE, I32, role), (NAME, UNICODE, name), (SMTP, UNICODE, address)])
     for k, (name, mime, data, *cid) in enumerate(attachments):
         inline = [(ATTACH_CID, UNICODE, cid[0]), (ATTACH_FLAGS, I32, REFERENCED)] if cid else []
-        held = [(ATTACH_METHOD, I32, 1), (ATTACH_DATA, BINARY, data)] if data is not None else [(ATTACH_METHOD, I32, 5)]
+        held = [(ATTACH_METHOD, I32, 1), (ATTACH_DATA, BINARY, data)] if isinstance(data, bytes) else [(ATTACH_METHOD, I32, EMBEDDED)]
         tree[f"__attach_version1.0_#{k:08X}"] = storage(bytes(8), [(ATTACH_NAME, UNICODE, name), *([(ATTACH_MIME, UNICODE, mime)] if mime else []), *held, *inline])
+        if isinstance(data, dict):  # the tree of a message; its property table's header is shorter than a top one
+            inner = data | {TABLE: data[TABLE][:24] + data[TABLE][32:]}
+            tree[f"__attach_version1.0_#{k:08X}"][stream_name(ATTACH_DATA, OBJECT)] = inner
     return tree

@@ -112,9 +112,14 @@ def project(file: Compound, found: dict | None = None) -> Projection:
     """The message of ``file`` as bytes that the MIME walk reads. Items of another class give none and the status ``unsupported``."""
     found = found or mapi.message(file)
     out = Projection()
+    if file.long_difat:
+        out.gaps.append(("msg.cfb_difat_extended", ""))
     if found["refused"]:
-        out.status, out.gaps = "unsupported", [("msg.class_not_ipm_note", found["message_class"] or "")] if found["message_class"] else []
+        out.status = "unsupported"
+        out.gaps += [("msg.class_not_ipm_note", found["message_class"])] if found["message_class"] else []
         return out
+    out.gaps += found["observations"]
+    out.gaps += [("msg.embedded_depth_cap", f"{e['ordinal'] + 2}>{e['nested']}") for e in found["embedded"] if e["nested"] is not None]
     plain, html, transport = found["body"], found["html_data"], found["transport"]
     files = found["attachments"]
     w = _Writer()

@@ -18,6 +18,7 @@ NESTED = {
     "accounting": "class string, bytes long",
     "properties": "tag string, type string, value string, size long, how string, fault string",
     "recipients": "role string, name string, address string",
+    "embedded": "ordinal int, message_class string, subject string, has_transport boolean, n_recipients int, n_attachments int, nested int",
     "attachments": "ordinal int, filename string, mime string, content_id string, method string, embedded boolean, inline boolean, hidden boolean, size long, sha256 string",
 }
 PLAIN = {"container_hash": "string", "size_bytes": "long", "error": "string", "version": "int", "sector_size": "int", "storage_sha256": "string", "refused": "string", "message_class": "string", "subject": "string", "sent": "string", "message_id": "string", "body": "string", "html": "string", "rtf": "binary", "rtf_fault": "string"}
@@ -45,6 +46,7 @@ def read_one(raw: bytes) -> dict:
     row["accounting"] = [{"class": k, "bytes": v} for k, v in file.accounting.items()]
     row["properties"] = [{"tag": f"{p['tag']:04x}", "type": f"{p['type']:04x}", "value": p["value"], "size": None if p["data"] is None else len(p["data"]), "how": p["how"], "fault": p["fault"]} for p in found["properties"]]
     row["recipients"] = found["recipients"]
+    row["embedded"] = found.get("embedded", [])
     for k, a in enumerate(found["attachments"]):
         data, _ = a.pop("data"), a.pop("stream")
         row["attachments"].append(a | {"ordinal": k, "size": None if data is None else len(data), "sha256": None if data is None else hashlib.sha256(data).hexdigest()})
@@ -100,3 +102,21 @@ def mixed_compound_mail(conversations: DataFrame) -> DataFrame:
         return {"raw": compound.write(mapi.render(f"★ {conv}/{turn}", text if turn % 4 in (0, 2) else None, [], files, 0, html=html, transport=head))}
 
     return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)
+
+
+def nested_compound_mail(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, raw): each turn as a compound file with a message attached to it, which by turn has recipients, header lines, or a message of its own; by conversation a tag without a meaning, a named one, 8-bit text without a page, or a count of recipients that is too high."""
+    source = conversations.select("conv_id", "turn", F.coalesce("conv_id", F.lit(0)).alias("c"), F.coalesce("turn", F.lit(0)).alias("t"))
+    schema = T.StructType([source.schema["conv_id"], source.schema["turn"], T.StructField("raw", T.BinaryType())])
+    odd = ([], [(0x6001, mapi.UNICODE, "x")], [(0x8005, mapi.UNICODE, "x")], [(0x0C1A, mapi.STRING8, b"plain")])
+
+    def make(conv: int, turn: int) -> dict:
+        deepest = mapi.render("deepest", None, [], [], 0)
+        people = [(1, f"r{k}", f"r{k}@example.test") for k in range(turn % 3)]
+        inner = mapi.render(f"inner {turn}", "text", people, [("deepest.msg", None, deepest)] if turn % 4 == 3 else [], 0, transport="From: a@example.test\r\n\r\n" if turn % 2 else None)
+        tree = mapi.render(f"outer {conv}", "text", [], [("inner.msg", None, inner)], 0, transport="Subject: outer " + str(conv) + "\r\n\r\n", extra=odd[conv % 5] if conv % 5 < 4 else [])
+        if conv % 5 == 4:
+            tree[mapi.TABLE] = tree[mapi.TABLE][:16] + (7).to_bytes(4, "little") + tree[mapi.TABLE][20:]
+        return {"raw": compound.write(tree)}
+
+    return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)

@@ -16,7 +16,7 @@ from postern.functions import compound, html, mime, projection
 from postern.limits import Limits
 
 FIELD = "ordinal int, name string, raw_value string, parse_status string, parsed_kind string, parsed_value string, decoded string, name_at long, name_len long, value_at long, value_len long, raw_at long, raw_len long"
-PART = "path string, parent_path string, part_id string, content_type string, raw_at long, raw_len long, headers_at long, headers_len long, body_at long, body_len long, declared_cte string, declared_charset string, used_cte string, used_charset string, fallback_fired boolean, encoding_source string, body_sha256 string, decoded_size long, prefix binary, effective_type string, disposition string, filename string, filename_raw string, filename_state string, filename_reason string, content_id string, declared_mime string, is_body boolean, is_leaf boolean, gaps array<string>"
+PART = "path string, parent_path string, part_id string, content_type string, raw_at long, raw_len long, headers_at long, headers_len long, body_at long, body_len long, declared_cte string, declared_charset string, used_cte string, used_charset string, fallback_fired boolean, encoding_source string, body_sha256 string, decoded_size long, prefix binary, effective_type string, disposition string, filename string, filename_raw string, filename_state string, filename_reason string, content_id string, declared_mime string, is_body boolean, is_leaf boolean, flowed boolean, gaps array<string>"
 VIEW = "path string, media string, text string, raw_text string, precision string, precision_reason string"
 ELEMENT = "path string, ordinal int, tag string, parent_ordinal int, start long, size long, unclosed boolean"
 REFERENCE = "path string, kind string, target string, element int"
@@ -59,6 +59,10 @@ def unstuff(text: str) -> str:
     return "".join(out)
 
 
+def is_flowed(part: mime.Part) -> bool:
+    return mime.media_of(part.value("content-type"))[1].get("format", "").lower() == "flowed"
+
+
 #: Codecs whose bytes depend on what came before: no byte span belongs to a character.
 STATEFUL = ("iso2022", "hz", "utf_7", "utf-7", "utf-16", "utf-32")
 
@@ -91,7 +95,7 @@ def part_row(part: mime.Part, parents: dict[str, mime.Part], has_child: bool) ->
     return (
         part.path, part.parent, part.part_id, part.content_type, *part.span, *part.headers, *part.body, part.declared_cte, part.declared_charset, part.used_cte, part.used_charset, part.fallback, part.encoding_source,
         None if decoded is None or has_child else hashlib.sha256(decoded).hexdigest(), None if decoded is None else len(decoded), None if decoded is None else decoded[:24], kind, token, name or None, name_raw, name_state, name_reason, cid,
-        declared.partition(";")[0].strip() or None if declared else None, is_body and not has_child, not has_child, part.gaps,
+        declared.partition(";")[0].strip() or None if declared else None, is_body and not has_child, not has_child, part.used_charset is not None and is_flowed(part), part.gaps,
     )
 
 
@@ -131,7 +135,7 @@ def _parse(raw: bytes, row: dict, out: dict[str, list], limits: Limits, html_dep
         head = mime.prelude_of(raw)
         end, _ = mime.split_head(raw, head, len(raw))
         if end - head <= limits.max_header_bytes:
-            _headers(raw, head, mime.scan_fields(raw, head, end)[0], out)
+            _headers(raw, head, end, mime.scan_fields(raw, head, end)[0], out)
         return row
     message = mime.walk(raw, limits)
     top = message.parts[0] if message.parts else None
@@ -148,7 +152,8 @@ def _parse(raw: bytes, row: dict, out: dict[str, list], limits: Limits, html_dep
     if "regions" in want:
         out["regions"] += [(k, *r) for k, r in enumerate(message.regions)]
     if want & HEADERS:
-        _headers(raw, top.headers[0] if top else 0, top.fields if top else [], out)
+        at, size = top.headers if top else (0, 0)
+        _headers(raw, at, at + size, top.fields if top else [], out)
     for p in message.parts:
         has_child = p.path in with_child
         if "parts" in want:
@@ -160,8 +165,7 @@ def _parse(raw: bytes, row: dict, out: dict[str, list], limits: Limits, html_dep
             continue
         text = p.decoded.decode(p.used_charset, "replace" if p.encoding_source == "fallback" else "strict")
         shown = text
-        params = mime.media_of(p.value("content-type"))[1]
-        if kind == "text/plain" and params.get("format", "").lower() == "flowed":
+        if kind == "text/plain" and is_flowed(p):
             shown = unstuff(text)
         reason = "container_stream" if row["kind"] == "cfb" else view_reason(p)
         out["views"].append((p.path, kind, shown, text, "exact" if reason is None else "part_level", reason))
@@ -178,8 +182,8 @@ def _parse(raw: bytes, row: dict, out: dict[str, list], limits: Limits, html_dep
     return row
 
 
-def _headers(raw: bytes, at: int, found: list[mime.Field], out: dict[str, list]) -> None:
-    """Fields of the top block and what their values say."""
+def _headers(raw: bytes, at: int, end: int, found: list[mime.Field], out: dict[str, list]) -> None:
+    """Fields of the top block, what their values say, and each gap once, but for addresses that cannot be read: once each."""
     for f in found:
         parsed_kind, value = H.project(f.name, f.value, f.status)
         text, decoded, invalid, _ = H.decode_words(f.value) if parsed_kind == "text" else (None, False, False, False)
@@ -194,10 +198,14 @@ def _headers(raw: bytes, at: int, found: list[mime.Field], out: dict[str, list])
             out["parameters"] += [(f.ordinal, f.name, *p) for p in H.parameters(f.value)]
     names = [f.name.lower() for f in found if f.status == "ok"]
     gaps = out["header_gaps"]
-    if "date" not in [f.name.lower() for f in found]:
-        gaps.append(H.NO_DATE)
+    # an offset or instant out of range is no gap: the value reads as a date
+    dated = [reason for _, _, zone, _, _, reason in out["dates"] if reason and zone == "zone_absent"]
+    told = [*gaps, *dated] if out["dates"] else [*gaps, H.NO_DATE]
     if any(names.count(n) > 1 for n in H.UNIQUE.intersection(names)):
-        gaps.append("headers.duplicate_header")
+        told.append("headers.duplicate_header")
+    if lone_cr(raw, at, end):
+        told.append("body.lone_cr_line_terminator")
+    gaps[:] = [*dict.fromkeys(told), *["headers.address_unparsable" for a in out["addresses"] if a[-3] == "unparsed"]]
     bom = raw.startswith(mime.BOM)
     if bom:
         gaps.append("headers.leading_bom")
@@ -205,6 +213,18 @@ def _headers(raw: bytes, at: int, found: list[mime.Field], out: dict[str, list])
         gaps.append("headers.mbox_from_line")
 
 
+def lone_cr(raw: bytes, at: int, end: int) -> bool:
+    """Whether a bare CR ends a line of a header block, before its blank line."""
+    if raw.count(b"\r", at, end) == raw.count(b"\r\n", at, end):
+        return False
+    for line in mime._LINE.finditer(raw, at, end):
+        if not line[0].rstrip(b"\r\n"):
+            return False
+        if line[0].endswith(b"\r"):
+            return True
+    return False
+
+
 def parse_messages(messages: DataFrame, limits: Limits | None = None, html_depth: int = 16, raw: str = "raw", batch_rows: int = 16, want: Sequence[str] | None = None) -> DataFrame:
     """The key columns of ``messages`` (all but ``raw``) and the wide row of each. A null message is an empty one.
 

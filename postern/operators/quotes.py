@@ -134,7 +134,8 @@ def view_gaps(lines: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     foreign = reduce(lambda a, b: a & b, [~F.min(f"is_{k}").over(run) for k in LABELS])
     rows = rows.withColumn("i18n", F.col("label") & (F.min("line_no").over(run) == F.col("line_no")) & (F.count("*").over(run) > 1) & foreign & F.col("after"))
     told = rows.groupBy(*keys).agg(F.max("i18n").alias("i18n"), F.max((F.col("depth") > 0) & (F.col("last_text") > F.col("last_quote"))).alias("between"), F.max("depth").alias("deepest"))
-    told = told.join(found.groupBy(*keys).agg(F.count("*").alias("n")), list(keys), "left").join(levels(lines, found, *keys).select(*keys, "disagreement"), list(keys), "left")
+    told = told.join(found.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")), list(keys), "left")
     none = F.col("n").isNull() & (F.col("deepest") == 0) & ~F.col("i18n")
-    gaps = {"body.no_boundary_found": none, "body.i18n_reply_marker": F.col("i18n"), "body.inline_reply_interleaved": F.coalesce("between", F.lit(False)), "view.quote_level_disagreement": F.coalesce("disagreement", F.lit(False))}
+    disagree = (F.col("deepest") > 0) & (F.col("ordinal") > 0) & (F.col("deepest") != F.col("ordinal"))
+    gaps = {"body.no_boundary_found": none, "body.i18n_reply_marker": F.col("i18n"), "body.inline_reply_interleaved": F.coalesce("between", F.lit(False)), "view.quote_level_disagreement": F.coalesce(disagree, F.lit(False))}
     return told.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, g) for g, c in gaps.items()]))).alias("gap_id"))

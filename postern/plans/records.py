@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postern.limits import Limits
-from postern.operators import bodies, corpus, documents, outlook, parse, quotes
+from postern.operators import bodies, corpus, documents, gaps, outlook, parse, quotes
 from postern.plans.mail import table
 from postern.shared import cut
 from postern.sources import messages
@@ -75,6 +75,21 @@ def msg_tiling(spark, sf_dir):
     return rows.agg(F.count("*").alias("messages"), F.count_if(~corpus.tiles(told, size)).alias("untold"), F.count_if(~corpus.tiles(F.col("regions"), size)).alias("untiled"))
 
 
+@query("""SELECT conv_id, turn, unnest(['msg.property_tag_unknown', 'msg.named_property_unresolved', 'msg.codepage_unresolved_ladder_used', 'msg.recipient_table_unreadable'][1 + k : 1 + k] || CASE WHEN turn % 4 = 3 THEN ['msg.embedded_depth_cap'] ELSE [] END) AS gap_id
+  FROM (SELECT conv_id, turn, conv_id % 5 - 1 AS k FROM conversations)""")
+def msg_observations(spark, sf_dir):
+    """What properties leave open: tags, named properties, pages, recipients, and messages below the first level."""
+    raw = outlook.nested_compound_mail(table(spark, sf_dir, "conversations"))
+    return parse.rows_of(parse.parse_messages(raw, want=("container_gaps",)), "container_gaps", *CONV).select(*CONV, "gap_id")
+
+
+@query("""SELECT conv_id, turn, 'IPM.Note' AS message_class, 'inner ' || turn AS subject, turn % 2 = 1 AS has_transport, CAST(turn % 3 AS INTEGER) AS n_recipients, CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS n_attachments, CASE WHEN turn % 4 = 3 THEN 0 END AS nested FROM conversations""")
+def msg_embedded(spark, sf_dir):
+    """Messages attached to messages, summarised one level deep."""
+    raw = outlook.nested_compound_mail(table(spark, sf_dir, "conversations"))
+    return parse.rows_of(outlook.parse_compound(raw), "embedded", *CONV).drop("ordinal")
+
+
 # -- documents -------------------------------------------------------------------------------------
 
 
@@ -211,6 +226,34 @@ def flowed_text(spark, sf_dir):
     return parse.rows_of(parse.parse_messages(raw, want=("views",)), "views", "doc_id").select("doc_id", "text")
 
 
+# -- gaps ------------------------------------------------------------------------------------------
+
+HEAD = "From: a@example.test\r\nDate: Tue, 4 Mar 2025 08:05:00 +0000\r\n"
+#: A message for each gap, and the gaps it has, sorted; ``#`` stands for the row's number.
+OPEN = (
+    (HEAD + "Content-Type: text/plain; charset=us-ascii; format=flowed\r\n\r\n> a #\r\n", "body.flowed_reflow_unresolved@1"),
+    (HEAD + 'Content-Type: multipart/digest; boundary="b"\r\n\r\n--b\r\n\r\nFrom: b@example.test\r\n\r\n> a #\r\n--b--\r\n', "body.digest_default_not_applied@1.1"),
+    (HEAD + 'Content-Type: text/html; charset=us-ascii\r\n\r\n<blockquote type="cite">#<img src="https://example.test/#"><img src="//x/#"></blockquote><img src="data:image/gif;base64,R0lGODlh">', "body.inline_data_uri@1|security.remote_content_present@1"),
+    (HEAD + "Content-Type: application/pdf; name=#\r\n\r\n%PDF-#", "body.no_text_part@1"),
+    (HEAD + "Subject: #\rX-A: b\r\n\r\n> a\r\n", "body.lone_cr_line_terminator@1"),
+    ("From: a b <<\r\nDate: once #\r\n\r\n> a\r\n", "headers.address_unparsable@1|headers.invalid_date@1"),
+    ("From: a@example.test\r\nDate: Tue, 4 Mar 2025 08:05:00\r\nSubject: a\r\nSubject: #\r\n\r\n> a\r\n", "headers.date_no_zone@1|headers.duplicate_header@1"),
+    (HEAD + 'Content-Type: text/html; charset=us-ascii\r\n\r\n<blockquote type="cite">#<img src="cid:none#@x"></blockquote>', "attach.cid_dangling@1"),
+    ("Date: Tue, 4 Mar 2025 08:05:00 +9960\r\nSubject: =?utf-8?q?bad word?=\r\n\r\n> a #\r\n", ""),
+    ("From: a@example.test\r\nSubject: =?utf-8?b?#!?=\r\n\r\n just #\r\n", "body.no_boundary_found@1|headers.encoded_word_invalid@1|headers.no_date@1"),
+)
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(told) for _, told in OPEN)}][CAST(doc_id % {len(OPEN)} AS INTEGER) + 1] AS gaps FROM documents")
+def open_gaps(spark, sf_dir):
+    """Each gap of headers and bodies on a message of its own, of all stages in one channel."""
+    shape = F.element_at(F.array(*[F.lit(raw) for raw, _ in OPEN]), (F.col("doc_id") % len(OPEN) + 1).cast("int"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.regexp_replace(shape, "#", F.col("doc_id").cast("string")), "UTF-8").alias("raw"))
+    parsed = cut(parse.parse_messages(raw, want=gaps.WANT))
+    told = gaps.all_gaps(parsed, "doc_id").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("gap_id", F.lit("@"), "locator"))), "|").alias("gaps"))
+    return parsed.select("doc_id").join(told, "doc_id", "left").select("doc_id", F.coalesce("gaps", F.lit("")).alias("gaps"))
+
+
 # -- attachments -----------------------------------------------------------------------------------
 
 KINDS = (("a.docm", "application/zip", "504B0304"), ("b.xls", "application/vnd.ms-excel", "D0CF11E0A1B11AE1"), ("winmail.dat", "application/ms-tnef", "789F3E22"), ("c.pdf", "application/pdf", "89504E470D0A1A0A0000000D49484452000000010000000108"), ("d.7z", "application/octet-stream", "377ABCAF271C"), ("e.rar", "application/x-thing", "526172211A0700"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from postern.functions import compound, mapi, rtf
+from postern.functions import compound, mapi, projection, rtf
 from postern.operators import outlook, quality
 from postern.limits import Limits
 from postern.streaming import ingest
@@ -97,3 +97,26 @@ def test_streamed_files_are_parsed_once(spark, tmp_path):
     ingest.ingest(spark, f"file://{inbox}", store, state, Limits(max_input_bytes=200))
     rows = spark.read.parquet(f"{store}/outcomes").collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.outcome) for r in rows) == [("a.eml", "parse"), ("again.eml", "hit"), ("big.eml", "file_over_cap"), ("copy.eml", "parse"), ("new.eml", "parse"), ("odd.bin", "not_a_message")]
+
+
+def test_observations_and_embedded_messages():
+    deepest = mapi.render("deepest", None, [], [], 0)
+    inner = mapi.render("inner", "text", [(1, "r", "r@example.test")], [("deepest.msg", None, deepest)], 0)
+    extra = [(0x6001, mapi.UNICODE, "x"), (0x8005, mapi.UNICODE, "x"), (0x0C1A, mapi.STRING8, b"plain")]
+    tree = mapi.render("outer", "text", [], [("inner.msg", None, inner)], 0, transport="Subject: outer\r\n\r\n", extra=extra)
+    tree[mapi.TABLE] = tree[mapi.TABLE][:16] + (7).to_bytes(4, "little") + tree[mapi.TABLE][20:]
+    file = compound.read(compound.write(tree))
+    made = projection.project(file)
+    assert sorted(made.gaps) == [
+        ("msg.codepage_unresolved_ladder_used", ""), ("msg.embedded_depth_cap", "2>0"), ("msg.named_property_unresolved", "8005"),
+        ("msg.property_tag_unknown", "6001:001f"), ("msg.recipient_table_unreadable", "declared=7 rows=0"),
+    ]
+    assert mapi.message(file)["embedded"] == [{"ordinal": 0, "message_class": "IPM.Note", "subject": "inner", "has_transport": False, "n_recipients": 1, "n_attachments": 1, "nested": 0}]
+
+
+def test_eight_bit_text_of_a_declared_page_uses_no_ladder():
+    pages = [(mapi.INTERNET_PAGE, mapi.I32, 1252), (0x0C1A, mapi.STRING8, b"caf\xe9")]
+    file = compound.read(compound.write(mapi.render("s", "text", [], [], 0, transport="Subject: s\r\n\r\n", extra=pages)))
+    assert projection.project(file).gaps == []
+    bare = compound.read(compound.write(mapi.render("s", "text", [], [], 0, transport="Subject: s\r\n\r\n", extra=pages[1:])))
+    assert [g for g, _ in projection.project(bare).gaps] == ["msg.codepage_unresolved_ladder_used"]
