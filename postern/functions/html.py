@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -33,9 +34,9 @@ class _Full(Exception):
 
 
 class Tree(HTMLParser):
-    def __init__(self, max_depth: int, max_elements: int):
+    def __init__(self, max_depth: int, max_elements: int, dropped: frozenset[str] = DROPPED, shown: Callable[[str], str] = str):
         super().__init__(convert_charrefs=True)
-        self.max_depth, self.max_elements = max_depth, max_elements
+        self.max_depth, self.max_elements, self.dropped, self.shown = max_depth, max_elements, dropped, shown
         self.elements: list[Element] = []
         self.open: list[Element] = []
         self.pieces: list[str] = []
@@ -55,9 +56,9 @@ class Tree(HTMLParser):
             pass
 
     def handle_data(self, data):
-        if not self.truncated and not self.hidden and data:
-            self.pieces.append(data)
-            self.size += len(data)
+        if not self.truncated and not self.hidden and (text := self.shown(data)):
+            self.pieces.append(text)
+            self.size += len(text)
 
     def _begin(self, tag, attrs, void):
         if self.truncated:
@@ -80,17 +81,18 @@ class Tree(HTMLParser):
             made.end = self.size
         else:
             self.open.append(made)
-            self.hidden += tag in DROPPED
+            self.hidden += tag in self.dropped
 
     def _end(self, closed: bool = True) -> Element:
         last = self.open.pop()
         last.end, last.unclosed = self.size, not closed
-        self.hidden -= last.tag in DROPPED
+        self.hidden -= last.tag in self.dropped
         return last
 
 
-def parse(text: str, max_depth: int = 16, max_elements: int = 1000) -> Tree:
-    tree = Tree(max_depth, max_elements)
+def parse(text: str, max_depth: int = 16, max_elements: int = 1000, dropped: frozenset[str] = DROPPED, shown: Callable[[str], str] = str) -> Tree:
+    """The tree of ``text``. Text inside ``dropped`` elements is left out of the projection; of other text it holds what ``shown`` makes of it."""
+    tree = Tree(max_depth, max_elements, dropped, shown)
     try:
         tree.feed(text)
     except _Full:

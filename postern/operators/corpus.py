@@ -71,16 +71,23 @@ def same_message(bodies: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
     return rows.join(groups, ["message_id", "body_digest", "media"]).select(*keys, "message_id", F.col("first"), "n")
 
 
-def time_orders(events: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc, policy, event_id, position or null where not placed). ``events``: doc, event_id, source, utc, ordinal, usable."""
+def time_orders(events: DataFrame, doc: str = "doc", manifest: DataFrame | None = None) -> DataFrame:
+    """(doc, policy, event_id, position or null where not placed). ``events``: doc, event_id, source, utc, ordinal, usable.
+
+    ``manifest``: (doc, event_id, place), an order that the owner states; it is taken as it is, events that it lacks are not placed.
+    """
     placed = {
         "header_date_claimed": (F.col("usable") & F.col("utc").isNotNull(), [F.col("utc"), F.col("event_id")]),
-        "received_chain_header_order": (F.col("source") == "received", [-F.col("ordinal")]),
+        "received_chain_header_order": (F.col("source") == "received", [-F.col("ordinal"), F.col("event_id")]),
     }
     out = []
     for policy, (ok, order) in placed.items():
         place = F.when(ok, F.row_number().over(W.partitionBy(doc, ok).orderBy(*order)))
         out.append(events.select(doc, F.lit(policy).alias("policy"), "event_id", place.alias("position")))
+    if manifest is not None:
+        stated = events.join(manifest.groupBy(doc, "event_id").agg(F.min("place").alias("place")), [doc, "event_id"], "left")
+        order = F.row_number().over(W.partitionBy(doc, F.col("place").isNotNull()).orderBy("place", "event_id"))
+        out.append(stated.select(doc, F.lit("owner_manifest").alias("policy"), "event_id", F.when(F.col("place").isNotNull(), order).alias("position")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -159,6 +166,22 @@ def runs_from_texts(texts: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
 
 
+def flag_hits(hits: DataFrame, boundaries: DataFrame, *keys: str) -> DataFrame:
+    """``hits`` (keys of a view, start, end, ...) with quote_ordinal and quote_kind of the innermost boundary around each: the one that begins last, of those the shortest. Null outside of all.
+
+    The boundaries of a view travel as one array, bounded by the view's lines: no pairs of hits and boundaries are made.
+    """
+    around = boundaries.groupBy(*keys).agg(F.collect_list(F.struct("start", (-F.col("size")).alias("less"), "ordinal", "kind")).alias("around_"))
+    inside = F.array_max(F.filter("around_", lambda b: (b["start"] <= F.col("start")) & (F.col("end") <= b["start"] - b["less"])))
+    found = hits.join(around, list(keys), "left").withColumn("in_", inside)
+    return found.select(*hits.columns, F.col("in_.ordinal").alias("quote_ordinal"), F.col("in_.kind").alias("quote_kind"))
+
+
+def flag_rollup(hits: DataFrame, *keys: str, group: str = "term") -> DataFrame:
+    """Counts of flagged hits per view, never across views: (keys, group, quote_ordinal, quote_kind, n, n_quoted). A summary, from which nothing is filtered."""
+    return hits.groupBy(*keys, group, "quote_ordinal", "quote_kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("quote_kind") == "quote", F.lit(False))).alias("n_quoted"))
+
+
 def thread_index(value: Column) -> Column:
     """What a Thread-Index header claims: its state, the 16 bytes that name the conversation, the time of its first message in ticks, and the number of replies. Never used for threading."""
     raw = F.try_to_binary(F.regexp_replace(value, "\\s", ""), F.lit("base64"))

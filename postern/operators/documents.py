@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.limits import CAPS, Limits
-from postern.operators import corpus
+from postern.operators import corpus, quotes
 from postern.operators.bodies import effectively_empty, path_order
 
 #: Axes that no stage builds: they are empty and say so.
@@ -62,6 +62,39 @@ def assemble(parsed: DataFrame, limits: Limits, *keys: str) -> DataFrame:
     )
 
 
+#: Characters that a reader gets unless it asks otherwise, and the most it may ask for.
+MAX_CHARS, CHARS_CEILING = 1_000_000, 2_000_000
+
+
+def body_text(parsed: DataFrame, *keys: str, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(keys, view, path, text, char_count, truncated, reason) of each message's body. Without a body the text is empty and the reason says so; a message that was not read gives its own reason.
+
+    ``parsed`` needs parts and views.
+    """
+    if not 1 <= max_chars <= CHARS_CEILING:
+        raise ValueError(f"max_chars must be in 1..{CHARS_CEILING}, got {max_chars}")
+    rows = parsed.withColumn("body", body_of())
+    text = F.coalesce("body.text", F.lit(""))
+    view = F.when(F.coalesce(F.col("body.media"), F.lit("")) == "projection", "html").otherwise("plain")
+    refused = F.when(F.col("status").isin("skipped", "failed", "unsupported"), F.coalesce("reason", "status"))
+    reason = F.when(F.col("body.path").isNull(), F.coalesce(refused, F.lit("body.no_text_part")))
+    return rows.select(*keys, view.alias("view"), F.col("body.path").alias("path"), F.substring(text, 1, max_chars).alias("text"), F.least(F.length(text), F.lit(max_chars)).alias("char_count"), (F.length(text) > max_chars).alias("truncated"), reason.alias("reason"))
+
+
+def body_lines(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, view, path, unit, start, end): the lines of ``body_text``, which they tile; a line keeps its end. No lines without text."""
+    lines = quotes.lines_of(texts.select(*keys, "view", F.coalesce("path", F.lit("")).alias("path"), "text"), *keys, "view", "path")
+    return lines.select(*keys, "view", "path", F.col("line_no").alias("unit"), "start", F.col("term_end").alias("end"))
+
+
+def invalid_axes(documents: DataFrame, *keys: str) -> DataFrame:
+    """(keys, axis, violation): axes that neither hold a value nor say why they hold none."""
+    known, reason = F.col("a.state") == "value", F.col("a.reason").isNotNull()
+    bad = F.when(~F.col("a.state").isin("value", "unknown"), "no such state").when(known & reason, "a value with a reason").when(~known & ~reason, "unknown without a reason")
+    each = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"axes.{a}").alias("a")) for a in AXES])
+    return documents.select(*keys, F.inline(each)).select(*keys, "axis", bad.alias("violation")).where("violation is not null")
+
+
 def identity(documents: DataFrame, *keys: str) -> DataFrame:
     """``documents`` without what is only recorded: two runs over the same bytes agree on every byte of it."""
     return documents.drop(*RECORDED, *keys)

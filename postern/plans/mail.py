@@ -277,10 +277,13 @@ def time_conflicts(spark, sf_dir):
 WITH x AS (SELECT user_id AS doc, event_id, event_id % 4 = 0 AS hop, CASE WHEN event_id % 7 <> 0 THEN ts END AS utc, event_id % 5 <> 0 AS usable FROM events)
 SELECT doc, 'header_date_claimed' AS policy, event_id, CASE WHEN usable AND utc IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY doc, usable AND utc IS NOT NULL ORDER BY utc, event_id) AS INTEGER) END AS position FROM x
 UNION ALL SELECT doc, 'received_chain_header_order', event_id, CASE WHEN hop THEN CAST(row_number() OVER (PARTITION BY doc, hop ORDER BY -event_id) AS INTEGER) END FROM x
+UNION ALL SELECT doc, 'owner_manifest', event_id, CASE WHEN event_id % 3 = 0 THEN CAST(row_number() OVER (PARTITION BY doc, event_id % 3 = 0 ORDER BY event_id % 101, event_id) AS INTEGER) END FROM x
 """)
 def time_orders(spark, sf_dir):
-    """Positions of all events of each user."""
-    return corpus.time_orders(_evidence(spark, sf_dir))
+    """Positions of all events of each user; of every third event a manifest states the place."""
+    events = _evidence(spark, sf_dir)
+    stated = events.where("event_id % 3 = 0").select("doc", "event_id", (F.col("event_id") % 101).alias("place"))
+    return corpus.time_orders(events, manifest=stated)
 
 
 @query("""

@@ -275,6 +275,35 @@ def attachment_rules(spark, sf_dir):
     return found.join(gaps, "doc_id", "left").join(hints, "doc_id", "left").select("doc_id", "magic", "disagreement", F.col("dimensions.width").alias("width"), F.coalesce("gaps", F.lit("")).alias("gaps"), "hint")
 
 
+# -- body text and flags ---------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT doc_id, doc_id % 2 = 1 AS html, CASE WHEN doc_id % 2 = 1 THEN 'in ' || coalesce(lang, '') ELSE regexp_replace(coalesce(text, ''), '\\r?\\n', chr(13) || chr(10), 'g') END AS t FROM documents)
+SELECT doc_id, CASE WHEN html THEN 'html' ELSE 'plain' END AS view, CASE WHEN html THEN '1.2' ELSE '1' END AS path, sha256(t) AS text_sha256, CAST(length(t) AS INTEGER) AS char_count, false AS truncated,
+  len(regexp_extract_all(t, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+')) AS n_lines, CAST(length(t) AS BIGINT) AS covered FROM b""")
+def body_lines(spark, sf_dir):
+    """The text that a reader of each message gets, and its lines, which tile it."""
+    raw = messages.alternative_mail(table(spark, sf_dir, "documents"))
+    texts = cut(documents.body_text(parse.parse_messages(raw, want=("parts", "views")), "doc_id"))
+    lines = documents.body_lines(texts, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    out = texts.join(lines, "doc_id", "left")
+    return out.select("doc_id", "view", "path", F.sha2("text", 256).alias("text_sha256"), "char_count", "truncated", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+@query("""SELECT doc_id, term, quote_ordinal, quote_kind, CAST(n AS BIGINT) AS n, CAST(CASE WHEN quote_kind = 'quote' THEN n ELSE 0 END AS BIGINT) AS n_quoted FROM (
+  SELECT doc_id, 'term' || doc_id % 3 AS term, CAST(NULL AS INTEGER) AS quote_ordinal, NULL AS quote_kind, 2 AS n FROM documents
+  UNION ALL SELECT doc_id, 'term' || doc_id % 2, 1, 'quote', 1 FROM documents UNION ALL SELECT doc_id, 'term2', 0, 'signature', 1 FROM documents)""")
+def flag_rollup(spark, sf_dir):
+    """Hits of terms in the open, in quotes and in signatures, counted per view."""
+    n = F.col("doc_id")
+    text = F.concat(F.lit("a term"), (n % 3).cast("string"), F.lit(" b\nterm"), (n % 3).cast("string"), F.lit("\n> term"), (n % 2).cast("string"), F.lit("\n-- \nterm2 c\n"))
+    views = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    terms = spark.range(3).select(F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"))
+    hits = corpus.match_terms(views.select("doc_id", F.lit(0).alias("ordinal"), "text", F.lit(0).cast("long").alias("at")), terms, "doc_id")
+    found = quotes.boundaries(quotes.lines_of(views, "doc_id"), "doc_id")
+    return corpus.flag_rollup(corpus.flag_hits(hits, found, "doc_id"), "doc_id")
+
+
 # -- relations over the corpus ---------------------------------------------------------------------
 
 

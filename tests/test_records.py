@@ -157,3 +157,55 @@ def test_quote_order_and_languages(spark):
     assert told(" On x wrote:\n") == []
     assert told("_____________________________\n") == [] and told("______________________________ \n") == [("list_footer_underscores", 0)]
     assert told("--  \n-- x\n") == []
+
+
+def test_body_text_is_cut_where_asked_and_says_why_there_is_none(spark):
+    head = b"From: a@x\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"
+    raws = [(1, head + "añb\r\nc".encode()), (2, b"From: a@x\r\nContent-Type: application/pdf\r\n\r\n%PDF"), (3, None), (4, b"\x00" * 40)]
+    parsed = parse.parse_messages(spark.createDataFrame(raws, "i int, raw binary"), Limits(max_input_bytes=30), want=("parts", "views"))
+    assert {r.i: (r.text, r.reason) for r in documents.body_text(parsed, "i").collect()}[4] == ("", "file_over_cap")
+    parsed = parse.parse_messages(spark.createDataFrame(raws[:3], "i int, raw binary"), want=("parts", "views"))
+    cut = {r.i: (r.view, r.path, r.text, r.char_count, r.truncated, r.reason) for r in documents.body_text(parsed, "i", max_chars=4).collect()}
+    assert cut[1] == ("plain", "1", "añb\r", 4, True, None)
+    assert cut[2] == ("plain", None, "", 0, False, "body.no_text_part")
+    assert cut[3][2:5] == ("", 0, False)
+    lines = documents.body_lines(documents.body_text(parsed, "i"), "i").orderBy("i", "unit").collect()
+    assert [(r.i, r.unit, r.start, r.end) for r in lines] == [(1, 0, 0, 5), (1, 1, 5, 6)]
+    for size in (0, documents.CHARS_CEILING + 1):
+        try:
+            documents.body_text(parsed, "i", max_chars=size)
+        except ValueError:
+            continue
+        raise AssertionError("a size out of range was taken")
+
+
+def test_axes_hold_a_value_or_a_reason(spark):
+    parsed = parse.parse_messages(spark.createDataFrame([(1, b"From: a@x\r\n\r\nhi")], "i int, raw binary"), want=("parts", "views", "caps", "regions"))
+    made = documents.assemble(parsed, Limits(), "i")
+    assert documents.invalid_axes(made, "i").count() == 0
+    state = lambda s, r: F.struct(F.lit(s).alias("state"), F.lit(r).alias("reason"))
+    bad = made.withColumn("axes", F.struct(state("value", "why").alias("children"), state("unknown", None).alias("thread_edges"), state("maybe", None).alias("times"), state("value", None).alias("same_message_candidates")))
+    assert {(r.axis, r.violation) for r in documents.invalid_axes(bad, "i").collect()} == {("children", "a value with a reason"), ("thread_edges", "unknown without a reason"), ("times", "no such state")}
+
+
+def test_flags_take_the_innermost_quote(spark):
+    hits = spark.createDataFrame([(1, "t", 0, 2), (1, "t", 12, 14), (1, "t", 25, 27), (1, "t", 39, 41), (2, "t", 0, 1)], "i int, term string, start long, end long")
+    found = spark.createDataFrame([(1, "quote", 1, 10, 30), (1, "quote", 2, 20, 10), (1, "signature", 0, 20, 15)], "i int, kind string, ordinal int, start long, size long")
+    flagged = corpus.flag_hits(hits, found, "i")
+    assert sorted((r.i, r.start, r.quote_ordinal, r.quote_kind) for r in flagged.where("start > 0").collect()) == [(1, 12, 1, "quote"), (1, 25, 2, "quote"), (1, 39, None, None)]
+    rows = {(r.i, r.quote_ordinal): (r.n, r.n_quoted) for r in corpus.flag_rollup(flagged, "i").collect()}
+    assert rows == {(1, None): (2, 0), (1, 1): (1, 1), (1, 2): (1, 1), (2, None): (1, 0)}
+
+
+def test_html_projection_by_a_policy_of_the_caller():
+    text = "<p>Keep <b>this</b></p><script>x</script><aside>not this</aside>"
+    assert "".join(html.parse(text).pieces) == "Keep thisnot this"
+    tree = html.parse(text, dropped=frozenset(("aside",)), shown=str.upper)
+    assert "".join(tree.pieces) == "KEEP THISX" and [e.tag for e in tree.elements] == ["p", "b", "script", "aside"]
+
+
+def test_owner_manifest_orders_what_it_names(spark):
+    events = spark.createDataFrame([(1, k, "date", 10 - k, k, True) for k in range(3)], "doc int, event_id int, source string, utc int, ordinal int, usable boolean")
+    manifest = spark.createDataFrame([(1, 2, 5), (1, 0, 7), (1, 2, 9), (1, 8, 1)], "doc int, event_id int, place int")
+    rows = corpus.time_orders(events, manifest=manifest).where("policy = 'owner_manifest'").collect()
+    assert {r.event_id: r.position for r in rows} == {2: 1, 0: 2, 1: None}
