@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postern.functions import compound, mapi, rtf
+from postern.sources.messages import Rendered
 
 NESTED = {
     "entries": "path string, kind int, size long",
@@ -65,58 +66,55 @@ def _rows(batches: Iterator[pa.RecordBatch], schema: T.StructType, at: int, make
             yield pa.RecordBatch.from_arrays([*[part.column(k).cast(arrow.field(k).type) for k in range(at)], *[pa.array([r[f.name] for r in made], f.type) for f in list(arrow)[at:]]], schema=arrow)
 
 
-def parse_compound(messages: DataFrame, raw: str = "raw") -> DataFrame:
+def parse_compound(messages: DataFrame | Rendered, raw: str = "raw") -> DataFrame:
     """The key columns of ``messages`` (all but ``raw``) and the wide row of each. Bytes that are no compound file, and null, give an error and empty arrays."""
-    keys = [c for c in messages.columns if c != raw]
-    source = messages.select(*[f"`{c}`" for c in keys], F.col(f"`{raw}`").cast("binary").alias("raw"))
+    given = Rendered.of(messages, raw)
+    make, n_keys = given.make, given.keys
     wide = ", ".join([f"{k} {v}" for k, v in PLAIN.items()] + [f"{k} array<struct<{v.replace(' ', ': ').replace(',:', ',')}>>" for k, v in NESTED.items()])
-    schema = T.StructType([source.schema[c] for c in keys] + T.StructType.fromDDL(wide).fields)
-    return source.mapInArrow(lambda batches: _rows(batches, schema, len(keys), lambda b: read_one(b or b"")), schema)
+    schema = T.StructType(given.source.schema.fields[:n_keys] + T.StructType.fromDDL(wide).fields)
+    return given.source.mapInArrow(lambda batches: _rows(batches, schema, n_keys, lambda *x: read_one(make(*x))), schema)
 
 
-def compound_mail(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, raw): each turn as a compound file with its text as plain and as compressed RTF body, a recipient of each role, and two attachments."""
+def compound_mail(conversations: DataFrame) -> Rendered:
+    """By (conv_id, turn): each turn as a compound file with its text as plain and as compressed RTF body, a recipient of each role, and two attachments."""
     source = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "conv_id", "turn").toDF("conv_id", "turn", "role", "text", "c", "t")
     source = source.select("conv_id", "turn", "role", "text", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t"))
-    schema = T.StructType([source.schema["conv_id"], source.schema["turn"], T.StructField("raw", T.BinaryType())])
 
-    def make(role: str, text: str, conv: int, turn: int) -> dict:
+    def make(role: str, text: str, conv: int, turn: int) -> bytes:
         people = [(k + 1, f"{role} {k}", f"p{k}.{conv}@example.test") for k in range(3)]
         files = [(f"note-{turn}.txt", "text/plain", text.encode()), ("zeros.bin", "application/octet-stream", bytes(5000 + turn))]
         sent = 133_000_000_000_000_000 + (conv % 1000 * 60 + turn) * 600_000_000
-        return {"raw": compound.write(mapi.render(f"★ {conv}/{turn}", text, people, files, sent, rtf.literal(text.encode())))}
+        return compound.write(mapi.render(f"★ {conv}/{turn}", text, people, files, sent, rtf.literal(text.encode())))
 
-    return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)
+    return Rendered(source, 2, make)
 
 
-def mixed_compound_mail(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, raw): each turn as a compound file whose body is plain, HTML, both or none by turn; every third has header lines of its own, and every second conversation a named attachment and an embedded item."""
+def mixed_compound_mail(conversations: DataFrame) -> Rendered:
+    """By (conv_id, turn): each turn as a compound file whose body is plain, HTML, both or none by turn; every third has header lines of its own, and every second conversation a named attachment and an embedded item."""
     source = conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("conv_id", F.lit(0)).alias("c"), F.coalesce("turn", F.lit(0)).alias("t"))
-    schema = T.StructType([source.schema["conv_id"], source.schema["turn"], T.StructField("raw", T.BinaryType())])
 
-    def make(text: str, conv: int, turn: int) -> dict:
+    def make(text: str, conv: int, turn: int) -> bytes:
         inline = [f"pic{turn}@example.test"] if turn % 2 == 0 else []
         files = [(f'ü "{turn}".txt', "text/plain", text.encode(), *inline), ("inner.msg", None, None)] if conv % 2 == 0 else []
         html = f"<p>{text}</p>".encode() if turn % 4 in (1, 2) else None
         head = "From: a@example.test\r\nSubject: other\r\n\r\n" if turn % 3 == 0 else None
-        return {"raw": compound.write(mapi.render(f"★ {conv}/{turn}", text if turn % 4 in (0, 2) else None, [], files, 0, html=html, transport=head))}
+        return compound.write(mapi.render(f"★ {conv}/{turn}", text if turn % 4 in (0, 2) else None, [], files, 0, html=html, transport=head))
 
-    return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)
+    return Rendered(source, 2, make)
 
 
-def nested_compound_mail(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, raw): each turn as a compound file with a message attached to it, which by turn has recipients, header lines, or a message of its own; by conversation a tag without a meaning, a named one, 8-bit text without a page, or a count of recipients that is too high."""
+def nested_compound_mail(conversations: DataFrame) -> Rendered:
+    """By (conv_id, turn): each turn as a compound file with a message attached to it, which by turn has recipients, header lines, or a message of its own; by conversation a tag without a meaning, a named one, 8-bit text without a page, or a count of recipients that is too high."""
     source = conversations.select("conv_id", "turn", F.coalesce("conv_id", F.lit(0)).alias("c"), F.coalesce("turn", F.lit(0)).alias("t"))
-    schema = T.StructType([source.schema["conv_id"], source.schema["turn"], T.StructField("raw", T.BinaryType())])
     odd = ([], [(0x6001, mapi.UNICODE, "x")], [(0x8005, mapi.UNICODE, "x")], [(0x0C1A, mapi.STRING8, b"plain")])
 
-    def make(conv: int, turn: int) -> dict:
+    def make(conv: int, turn: int) -> bytes:
         deepest = mapi.render("deepest", None, [], [], 0)
         people = [(1, f"r{k}", f"r{k}@example.test") for k in range(turn % 3)]
         inner = mapi.render(f"inner {turn}", "text", people, [("deepest.msg", None, deepest)] if turn % 4 == 3 else [], 0, transport="From: a@example.test\r\n\r\n" if turn % 2 else None)
         tree = mapi.render(f"outer {conv}", "text", [], [("inner.msg", None, inner)], 0, transport="Subject: outer " + str(conv) + "\r\n\r\n", extra=odd[conv % 5] if conv % 5 < 4 else [])
         if conv % 5 == 4:
             tree[mapi.TABLE] = tree[mapi.TABLE][:16] + (7).to_bytes(4, "little") + tree[mapi.TABLE][20:]
-        return {"raw": compound.write(tree)}
+        return compound.write(tree)
 
-    return source.mapInArrow(lambda batches: _rows(batches, schema, 2, make), schema)
+    return Rendered(source, 2, make)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,26 @@ from postern.limits import Limits
 CRLF = "\r\n"
 
 
+@dataclass(frozen=True)
+class Rendered:
+    """Messages that are yet to be made: rows of ``keys`` columns and then the arguments from which ``make`` makes a message's bytes.
+
+    A kernel makes each message where it reads it, so workers are handed small rows instead of batches of whole files.
+    """
+
+    source: DataFrame
+    keys: int
+    make: Callable[..., bytes]
+
+    @staticmethod
+    def of(messages: DataFrame | Rendered, raw: str) -> Rendered:
+        """Messages whose bytes are in the column ``raw``, all others being keys; null is an empty message."""
+        if isinstance(messages, Rendered):
+            return messages
+        keys = [c for c in messages.columns if c != raw]
+        return Rendered(messages.select(*[f"`{c}`" for c in keys], F.col(f"`{raw}`").cast("binary").alias(raw)), len(keys), lambda b: b or b"")
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size_bytes, raw) of every file below ``path``. Conditions on path and size reach the scan; ``raw`` is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

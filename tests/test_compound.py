@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from postern import plans
 from postern.functions import compound, mapi, projection, rtf
 from postern.operators import outlook, quality
 from postern.limits import Limits
@@ -120,3 +121,22 @@ def test_eight_bit_text_of_a_declared_page_uses_no_ladder():
     assert projection.project(file).gaps == []
     bare = compound.read(compound.write(mapi.render("s", "text", [], [], 0, transport="Subject: s\r\n\r\n", extra=pages[1:])))
     assert [g for g, _ in projection.project(bare).gaps] == ["msg.codepage_unresolved_ladder_used"]
+
+
+def kernels(plan) -> list:
+    """The nodes of a plan that hand rows to Python."""
+    below = [n for k in range(plan.children().size()) for n in kernels(plan.children().apply(k))]
+    return [plan, *below] if plan.nodeName() == "MapInArrow" else below
+
+
+#: Queries over compound files that are made and read in one pass; whole files are handed to no worker.
+ONE_PASS = [
+    "document_status",
+]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_workers_are_handed_no_whole_files(spark, tmp_path, name):
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = kernels(plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().analyzed())
+    assert found and all(len(kernels(x)) == 1 for x in found)
