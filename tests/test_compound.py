@@ -132,6 +132,7 @@ def kernels(plan) -> list:
 #: Queries over compound files that are made and read in one pass; whole files are handed to no worker.
 ONE_PASS = [
     "document_status",
+    "compound_recipients",
 ]
 
 
