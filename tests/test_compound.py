@@ -133,6 +133,7 @@ def kernels(plan) -> list:
 ONE_PASS = [
     "document_status",
     "compound_recipients",
+    "msg_embedded",
 ]
 
 
