@@ -134,6 +134,7 @@ ONE_PASS = [
     "document_status",
     "compound_recipients",
     "msg_embedded",
+    "compound_accounting",
 ]
 
 
